@@ -222,3 +222,225 @@ register("dq_subset", V.dq_subset, """SELECT step || ' ' || table_name AS label,
 register("top_k_least_sleep", V.top_k_least_sleep, f"""SELECT user_id, {r(_avg_r('hours_asleep', 2), 2)} AS avg_sleep_h,
     {r('avg(sedentary_min) / 60', 1)} AS avg_sitting_h FROM fct_daily_sleep GROUP BY user_id
     ORDER BY avg_sleep_h, user_id LIMIT 10""", "V35")
+
+# ---------------------------------------------------------------- statistics (§2.8, §2.10)
+from strideframe.operators import checks as Q  # noqa: E402
+from strideframe.operators import personas as P  # noqa: E402
+from strideframe.operators import profile as E  # noqa: E402
+from strideframe.operators import stats as H  # noqa: E402
+from strideframe.operators.ranks import mid_ranks as _mid_ranks  # noqa: E402
+from strideframe.sources import catalog as S  # noqa: E402
+from strideframe.sources.landing import RAW_FILES  # noqa: E402
+
+
+def _welch_sql(frm: str, cond: str, val: str) -> str:
+    return f"""WITH g AS (SELECT {cond} AS g, count(*) AS n, avg({val}) AS m, var_samp({val}) AS v FROM {frm}
+        AND ({cond}) IS NOT NULL AND {val} IS NOT NULL GROUP BY 1),
+      j AS (SELECT a.n AS n1, a.m AS m1, a.v AS v1, b.n AS n2, b.m AS m2, b.v AS v2
+            FROM (SELECT * FROM g WHERE g) a, (SELECT * FROM g WHERE NOT g) b)
+      SELECT n1, n2, {r('m1', 6)} AS mean1, {r('m2', 6)} AS mean2,
+        {r('(m1 - m2) / NULLIF(sqrt(v1 / n1 + v2 / n2), 0)', 6)} AS t,
+        {r('(v1 / n1 + v2 / n2) * (v1 / n1 + v2 / n2) / NULLIF((v1 / n1) * (v1 / n1) / (n1 - 1) + (v2 / n2) * (v2 / n2) / (n2 - 1), 0)', 6)} AS dof
+      FROM j"""
+
+
+def _kruskal_sql(frm: str, val: str, grp: str) -> str:
+    return f"""WITH d AS (SELECT {grp} AS grp, {val} AS v FROM {frm} AND {val} IS NOT NULL AND {grp} IS NOT NULL),
+      rk AS (SELECT grp, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS mr FROM d),
+      rs AS (SELECT grp, sum(mr) AS R, count(*) AS ng FROM rk GROUP BY grp),
+      s AS (SELECT sum(R * R / ng) AS sr, sum(ng) AS N, count(*) AS k FROM rs),
+      t AS (SELECT sum(CAST(n AS DOUBLE) ^ 3 - n) AS tt FROM (SELECT count(*) AS n FROM d GROUP BY v))
+      SELECT CAST(N AS BIGINT) AS N, k,
+        {r('(12.0 / (N * (N + 1)) * sr - 3.0 * (N + 1)) / NULLIF(1.0 - tt / (CAST(N AS DOUBLE) ^ 3 - N), 0)', 6)} AS H
+      FROM s, t"""
+
+
+_VD = "fct_daily WHERE is_valid_day"
+_WIN = ("CASE WHEN bedtime_hour < 23 THEN '1 Before 11 PM' WHEN bedtime_hour < 24.5 THEN '2 11 PM - 12:30 AM' "
+        "ELSE '3 After 12:30 AM' END")
+register("welch_weekend", H.weekend_welch, _welch_sql(_VD, "NOT is_weekend", "steps"), "H1 Welch t")
+register("kruskal_weekday", H.weekday_kruskal, _kruskal_sql(_VD, "steps", "weekday"), "H2 Kruskal-Wallis")
+register("pearson_sit_sleep", H.sit_sleep_pearson, f"""SELECT count(*) AS n,
+    {r(_corr_sql_raw := 'covar_samp(sedentary_min, hours_asleep) / NULLIF(stddev_samp(sedentary_min) * stddev_samp(hours_asleep), 0)', 6)} AS r,
+    {r(f'({_corr_sql_raw}) * sqrt((count(*) - 2) / (1.0 - ({_corr_sql_raw}) * ({_corr_sql_raw})))', 6)} AS t
+    FROM fct_daily_sleep""", "H3 Pearson")
+register("spearman_sit_sleep", H.sit_sleep_spearman, f"""WITH d AS (SELECT sedentary_min AS x, hours_asleep AS y
+      FROM fct_daily_sleep WHERE sedentary_min IS NOT NULL AND hours_asleep IS NOT NULL),
+    rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
+                  rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM d)
+    SELECT count(*) AS n, {r('covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)', 6)} AS rho,
+      {r('(covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)) * sqrt((count(*) - 2) / (1.0 - (covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)) ^ 2))', 6)} AS t
+    FROM rk""", "H4 Spearman (mid-ranks, W4)")
+register("anova_bedtime", H.bedtime_anova, f"""WITH g AS (SELECT {_WIN} AS grp, count(*) AS n, avg(hours_asleep) AS m,
+      var_samp(hours_asleep) AS v FROM fct_sleep WHERE bedtime_hour IS NOT NULL AND hours_asleep IS NOT NULL GROUP BY 1),
+    t AS (SELECT sum(n) AS n_all, count(*) AS k_all, sum(n * m) / sum(n) AS gm FROM g)
+    SELECT CAST(n_all AS BIGINT) AS N, k_all AS k, {r('(sum(n * (m - gm) * (m - gm)) / (k_all - 1)) / NULLIF(sum((n - 1) * coalesce(v, 0)) / (n_all - k_all), 0)', 6)} AS F
+    FROM g, t GROUP BY n_all, k_all""", "H5 one-way ANOVA")
+register("welch_bedtime", H.bedtime_welch,
+         _welch_sql(f"(SELECT *, {_WIN} AS bedtime_window FROM fct_sleep WHERE bedtime_hour IS NOT NULL) w "
+                    "WHERE bedtime_window IN ('1 Before 11 PM', '3 After 12:30 AM')", "bedtime_window = '1 Before 11 PM'",
+                    "hours_asleep"), "H1 Welch t (bedtime)")
+_CM_COLS = ["steps", "distance_km", "very_active_min", "fairly_active_min", "lightly_active_min", "sedentary_min",
+            "calories", "hours_asleep", "efficiency_pct"]
+_CM_PAIRS = [(a, b) for i, a in enumerate(_CM_COLS) for b in _CM_COLS[: i + 1]]
+register("corr_matrix", H.corr_matrix, "SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in _CM_PAIRS) + "]) AS var_a, unnest(["
+         + ", ".join(f"'{b}'" for _, b in _CM_PAIRS) + "]) AS var_b, unnest(["
+         + ", ".join(_corr_sql(a, b, 6) for a, b in _CM_PAIRS) + "]) AS r FROM fct_daily_sleep", "H8 Pearson matrix")
+register("test_summary", lambda wh: H.test_summary(wh, wh.dim_user_persona), None, "H6 / H7 test table with p-values")
+register("regression_ci", H.regression_ci, None, "H9 regression line with 95% band")
+register("mean_ci", H.mean_ci, None, "H10 mean with 95% t interval")
+register("mid_ranks", lambda wh: _mid_ranks(wh.fct_daily.filter("is_valid_day"), "steps").drop("total"),
+         """SELECT steps AS v, count(*) AS n, min(before) + (count(*) + 1) / 2.0 AS midrank
+    FROM (SELECT steps, count(*) OVER (ORDER BY steps RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+                 - count(*) OVER (PARTITION BY steps) AS before FROM fct_daily WHERE is_valid_day AND steps IS NOT NULL)
+    GROUP BY steps""", "W4 distributed mid-ranks")
+
+# ---------------------------------------------------------------- profiling (§2.9)
+_RAW_CTE = {"dailyActivity": "raw_daily_activity", "dailySteps": "raw_daily_steps",
+            "dailyCalories": "raw_daily_calories", "sleepDay": "raw_sleep_day", "minuteSleep": "raw_minute_sleep",
+            "hourlySteps": "raw_hourly_steps", "hourlyCalories": "raw_hourly_calories",
+            "hourlyIntensities": "raw_hourly_intensities", "heartrate_seconds": "raw_heartrate",
+            "weightLogInfo": "raw_weight"}
+register("profile_tables", lambda wh: E.profile_tables(wh.raw), " UNION ALL ".join(
+    f"SELECT '{f}' AS file, count(*) AS rows, {len(c)} AS columns, count(DISTINCT Id) AS users FROM {_RAW_CTE[f]}"
+    for f, c in RAW_FILES.items()), "E1")
+register("duplicate_count", lambda wh: E.duplicate_count(wh.raw), " UNION ALL ".join(
+    f"SELECT '{f}' AS file, (SELECT count(*) FROM {_RAW_CTE[f]}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_RAW_CTE[f]})) AS duplicate_rows"
+    for f in RAW_FILES), "E2")
+_NULLS = " UNION ALL ".join(
+    f"SELECT '{f}' AS file, '{c}' AS column, count(*) AS rows, count(*) FILTER (WHERE \"{c}\" IS NULL) AS nulls FROM {_RAW_CTE[f]}"
+    for f, cols in RAW_FILES.items() for c in cols)
+register("null_count", lambda wh: E.null_count(wh.raw), _NULLS, "E3")
+register("null_top", lambda wh: E.null_top(wh.raw), f"""SELECT file, "column", nulls * 100.0::DOUBLE / rows AS pct FROM ({_NULLS})
+    ORDER BY pct DESC, file, "column" LIMIT 12""", "E4")
+_DESC_COLS = RAW_FILES["dailyActivity"][2:]
+register("describe", lambda wh: E.describe(wh.raw.daily_activity, _DESC_COLS), " UNION ALL ".join(
+    f"""SELECT '{c}' AS column, count(x) AS count, {r('avg(x)', 6)} AS mean, {r('stddev_samp(x)', 6)} AS std, min(x) AS min,
+        {r('quantile_cont(x, 0.25)', 6)} AS q25, {r('quantile_cont(x, 0.5)', 6)} AS q50, {r('quantile_cont(x, 0.75)', 6)} AS q75,
+        max(x) AS max FROM (SELECT CAST({c} AS DOUBLE) AS x FROM raw_daily_activity)""" for c in _DESC_COLS), "E5")
+_NU_FILES = ["dailyActivity", "sleepDay", "weightLogInfo", "hourlySteps"]
+
+
+def _nunique_all(wh):
+    parts = [E.nunique(dict(wh.raw.items())[f], f) for f in _NU_FILES]
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.unionByName(p_)
+    return out
+
+
+register("nunique", _nunique_all, " UNION ALL ".join(
+    f"SELECT '{f}' AS file, '{c}' AS column, count(DISTINCT \"{c}\") AS distinct_values FROM {_RAW_CTE[f]}"
+    for f in _NU_FILES for c in RAW_FILES[f]), "E6")
+register("crosstab", lambda wh: E.crosstab(wh.dim_user), """SELECT d.seg_order, d.step_segment,
+    coalesce(count(*) FILTER (WHERE u.engagement_tier = 'Occasional'), 0) AS Occasional,
+    coalesce(count(*) FILTER (WHERE u.engagement_tier = 'Regular'), 0) AS Regular,
+    coalesce(count(*) FILTER (WHERE u.engagement_tier = 'Committed'), 0) AS Committed
+    FROM (VALUES (1, 'Sedentary'), (2, 'Low Active'), (3, 'Somewhat Active'), (4, 'Active')) d(seg_order, step_segment)
+    LEFT JOIN dim_user u USING (step_segment) GROUP BY 1, 2""", "E7")
+register("ecdf", lambda wh: E.ecdf(wh.dim_user, "valid_days"), """SELECT valid_days, count(*) AS n,
+    sum(count(*)) OVER (ORDER BY valid_days) / sum(count(*)) OVER () AS ecdf FROM dim_user
+    WHERE valid_days IS NOT NULL GROUP BY valid_days""", "E9")
+
+
+def _box_sql(frm: str, col: str, by: str | None) -> str:
+    g = f"{by}, " if by else ""
+    j = f"USING ({by})" if by else "ON TRUE"
+    return f"""WITH d AS (SELECT {g}{col} AS x FROM {frm} AND {col} IS NOT NULL),
+      q AS (SELECT {g}quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.5) AS median, quantile_cont(x, 0.75) AS q3
+            FROM d {'GROUP BY ' + by if by else ''})
+      SELECT {g}count(*) AS n, {r('q1', 6)} AS q1, {r('median', 6)} AS median, {r('q3', 6)} AS q3,
+        min(x) FILTER (WHERE x >= q1 - 1.5 * (q3 - q1)) AS whisker_lo, max(x) FILTER (WHERE x <= q3 + 1.5 * (q3 - q1)) AS whisker_hi,
+        count(*) FILTER (WHERE x < q1 - 1.5 * (q3 - q1) OR x > q3 + 1.5 * (q3 - q1)) AS outliers
+      FROM d JOIN q {j} GROUP BY {g}q1, median, q3"""
+
+
+register("box_steps_weekday", lambda wh: E.box_stats(wh.fct_daily.filter("is_valid_day"), "steps", ["weekday"]),
+         _box_sql("fct_daily WHERE is_valid_day", "steps", "weekday"), "E10 by weekday")
+register("box_sleep_window", lambda wh: E.box_stats(
+    wh.fct_sleep.filter("bedtime_hour IS NOT NULL").withColumn("bedtime_window", A.bedtime_window()), "hours_asleep",
+    ["bedtime_window"]),
+    _box_sql(f"(SELECT *, {_WIN} AS bedtime_window FROM fct_sleep) s WHERE bedtime_hour IS NOT NULL", "hours_asleep",
+             "bedtime_window"),
+    "E10 by bedtime window")
+register("box_steps", lambda wh: E.box_stats(wh.fct_daily.filter("is_valid_day"), "steps"),
+         _box_sql("fct_daily WHERE is_valid_day", "steps", None), "E10 overall")
+
+
+def _hist_sql(frm: str, col: str, bins: int) -> str:
+    w = f"((hi - lo) / {bins})"
+    return f"""WITH d AS (SELECT {col} AS x FROM {frm} AND {col} IS NOT NULL),
+      m AS (SELECT CAST(min(x) AS DOUBLE) AS lo, CAST(max(x) AS DOUBLE) AS hi FROM d),
+      b AS (SELECT CAST(coalesce(least(floor((x - lo) / NULLIF({w}, 0)), {bins - 1}), 0) AS INTEGER) AS bin, lo, hi FROM d, m)
+      SELECT bin, {r(f'lo + bin * {w}', 6)} AS bin_start, {r(f'lo + (bin + 1) * {w}', 6)} AS bin_end, count(*) AS n
+      FROM b GROUP BY bin, lo, hi"""
+
+
+register("histogram_bedtime", lambda wh: E.histogram(wh.fct_sleep, "bedtime_hour", 36),
+         _hist_sql("fct_sleep WHERE TRUE", "bedtime_hour", 36), "E11 / V19 36 bins")
+register("histogram_steps", lambda wh: E.histogram(wh.fct_daily.filter("is_valid_day"), "steps", 35),
+         _hist_sql("fct_daily WHERE is_valid_day", "steps", 35), "E11 35 bins")
+register("histogram_sleep", lambda wh: E.histogram(wh.fct_sleep, "hours_asleep", 28),
+         _hist_sql("fct_sleep WHERE TRUE", "hours_asleep", 28), "E11 28 bins")
+register("kde_steps", lambda wh: E.kde(wh.fct_daily.filter("is_valid_day"), "steps"), None, "E12 kernel density")
+register("hexbin", lambda wh: E.hexbin(wh.fct_daily.filter("is_valid_day"), "very_active_min", "calories", 28),
+         """WITH d AS (SELECT CAST(very_active_min AS DOUBLE) AS x, CAST(calories AS DOUBLE) AS y FROM fct_daily
+                       WHERE is_valid_day AND very_active_min IS NOT NULL AND calories IS NOT NULL),
+      e0 AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d),
+      e AS (SELECT x0 - (x1 - x0) * 1e-9 AS xmin, x1 + (x1 - x0) * 1e-9 AS xmax,
+                   y0 - (y1 - y0) * 1e-9 AS ymin, y1 + (y1 - y0) * 1e-9 AS ymax FROM e0),
+      p AS (SELECT coalesce((x - xmin) / NULLIF((xmax - xmin) / 28, 0), 0) AS ix,
+                   coalesce((y - ymin) / NULLIF((ymax - ymin) / 16, 0), 0) AS iy,
+                   xmin, ymin, (xmax - xmin) / 28 AS sx, (ymax - ymin) / 16 AS sy FROM d, e),
+      c AS (SELECT (ix - round_even(ix, 0)) * (ix - round_even(ix, 0)) + 3.0 * ((iy - round_even(iy, 0)) * (iy - round_even(iy, 0)))
+                 < (ix - floor(ix) - 0.5) * (ix - floor(ix) - 0.5) + 3.0 * ((iy - floor(iy) - 0.5) * (iy - floor(iy) - 0.5)) AS lattice1,
+                   ix, iy, xmin, ymin, sx, sy FROM p),
+      k AS (SELECT lattice1, CAST(CASE WHEN lattice1 THEN round_even(ix, 0) ELSE floor(ix) END AS INTEGER) AS i,
+                   CAST(CASE WHEN lattice1 THEN round_even(iy, 0) ELSE floor(iy) END AS INTEGER) AS j, xmin, ymin, sx, sy FROM c)
+      SELECT lattice1, i, j, """ + r("xmin + (i + CASE WHEN lattice1 THEN 0.0 ELSE 0.5 END) * sx", 6) + " AS cx, "
+         + r("ymin + (j + CASE WHEN lattice1 THEN 0.0 ELSE 0.5 END) * sy", 6)
+         + " AS cy, count(*) AS n FROM k GROUP BY lattice1, i, j, xmin, ymin, sx, sy", "E13 gridsize 28")
+register("median_mean", lambda wh: E.median_mean(wh.fct_daily.filter("is_valid_day"), "steps"),
+         f"SELECT {r('quantile_cont(steps, 0.5)', 6)} AS median, {r('avg(steps)', 6)} AS mean FROM fct_daily WHERE is_valid_day",
+         "E15")
+register("weekend_pivot", lambda wh: E.weekend_pivot(wh.fct_hourly), """SELECT hour_of_day,
+    avg(steps) FILTER (WHERE NOT is_weekend) AS weekday, avg(steps) FILTER (WHERE is_weekend) AS weekend
+    FROM fct_hourly GROUP BY 1""", "E17")
+register("feature_share", lambda wh: E.feature_share(wh.dim_user), f"""SELECT feature, users,
+    {r('users * 100.0 / n', 1)} AS pct_users FROM (SELECT unnest(['Activity', 'Sleep', 'Heart rate', 'Weight']) AS feature,
+    unnest([count(*), count(*) FILTER (WHERE sleep_nights > 0), count(*) FILTER (WHERE hr_days > 0),
+            count(*) FILTER (WHERE weight_logs > 0)]) AS users, count(*) AS n FROM dim_user)""", "E20")
+
+# ---------------------------------------------------------------- checks (§2.13)
+register("dq_checks", Q.all_checks, f"""
+    SELECT 'valid_days_follow_wear_rule' AS check_name, count(*) FILTER (WHERE is_valid_day AND (steps = 0 OR tracked_min < {_C.min_wear_min})) AS failing,
+           CAST(NULL AS VARCHAR) AS detail FROM fct_daily
+    UNION ALL SELECT 'no_duplicate_nights', count(*) - count(DISTINCT (user_id, sleep_date)), NULL FROM fct_sleep
+    UNION ALL SELECT 'partial_day_removed', CASE WHEN max(activity_date) = DATE '{_C.last_full_day.isoformat()}' THEN 0 ELSE 1 END,
+           CAST(max(activity_date) AS VARCHAR) FROM fct_daily
+    UNION ALL SELECT 'hours_in_range', count(*) FILTER (WHERE hour_of_day NOT BETWEEN 0 AND 23), NULL FROM fct_hourly
+    UNION ALL SELECT 'heart_rate_plausible', count(*) FILTER (WHERE resting_bpm_est NOT BETWEEN 30 AND 120), NULL FROM fct_heartrate_daily
+    UNION ALL SELECT 'daily_subfiles_reconcile', CAST(coalesce(sum(mismatches), 0) AS BIGINT), NULL FROM dq_reconciliation""",
+         "Q1-Q6")
+register("check_coverage", lambda wh: Q.check_coverage(wh, wh.dim_user_persona), None, "Q7")
+
+# ---------------------------------------------------------------- persona model (§2.7)
+register("dim_user_persona", lambda wh: wh.dim_user_persona, None, "P1-P5 K-Means personas")
+register("persona_profile", lambda wh: A.persona_profile(wh, wh.dim_user_persona), None, "A17 / V6 / V25 / P7")
+register("elbow", lambda wh: P.elbow(wh.dim_user, wh.cfg), None, "P6 / V27 elbow curve")
+register("cluster_centres", lambda wh: P.cluster_centres(
+    wh.dim_user_persona.join(P.persona_features(wh.dim_user), "user_id")), None, "P4")
+register("persona_minmax", lambda wh: P.persona_minmax(wh.dim_user, wh.dim_user_persona), None, "V26")
+register("persona_zscore", lambda wh: P.persona_zscore(wh.dim_user, wh.dim_user_persona), None, "E8")
+register("pair_by_persona", lambda wh: P.pair_by_persona(wh.dim_user, wh.dim_user_persona), None, "E19")
+register("persona_members", lambda wh: __import__("strideframe.operators.filters", fromlist=["x"]).persona_members(
+    wh.dim_user_persona), None, "F4")
+register("users_sorted", lambda wh: wh.dim_user.join(wh.dim_user_persona.select("user_id", "persona"), "user_id")
+         .orderBy("persona", A.F.col("avg_steps").desc(), "user_id"), None, "V36 / V37")
+
+# ---------------------------------------------------------------- sources (§2.1)
+register("folder_profile", lambda wh: S.folder_profile(wh.spark, wh.sf_dir), None, "S3 folder scan")
+register("table_catalog", lambda wh: S.table_catalog({n: wh.table(n) for n in (
+    "fct_daily", "fct_sleep", "fct_hourly", "fct_heartrate_daily", "dim_user")}), None, "S14")
+register("preview", lambda wh: S.preview(wh.fct_daily, ["user_id", "activity_date"], 50),
+         "SELECT * FROM fct_daily ORDER BY user_id, activity_date LIMIT 50", "S13")

@@ -30,9 +30,13 @@ class Warehouse:
         self.cfg = cfg or StudyConfig()
         self._tables = tables or {}
 
+    sf_dir: str | None = None
+
     @classmethod
     def from_driver(cls, spark: SparkSession, sf_dir: str, cfg: StudyConfig | None = None) -> "Warehouse":
-        return cls(spark, RawSources.from_driver_tables(spark, sf_dir, cfg), cfg)
+        wh = cls(spark, RawSources.from_driver_tables(spark, sf_dir, cfg), cfg)
+        wh.sf_dir = sf_dir
+        return wh
 
     @classmethod
     def from_raw_folder(cls, spark: SparkSession, raw_dir: str, cfg: StudyConfig | None = None) -> "Warehouse":
@@ -104,6 +108,14 @@ class Warehouse:
     def dq_reconciliation(self) -> DataFrame:
         return self._t("dq_reconciliation", lambda: cleaning.reconciliation(self.staged))
 
+    @cached_property
+    def dim_user_persona(self) -> DataFrame:
+        """K-Means personas (fits the model when first used; the result is cached)."""
+        if "dim_user_persona" in self._tables:
+            return self._tables["dim_user_persona"]
+        from strideframe.operators.personas import dim_user_persona
+        return dim_user_persona(self.dim_user, self.cfg).cache()
+
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
