@@ -8,6 +8,7 @@ what the dashboard-style queries should run on at scale.
 from __future__ import annotations
 
 import os
+import time
 import uuid
 from functools import cached_property
 
@@ -120,24 +121,55 @@ class Warehouse:
         return getattr(self, name)
 
     # ---- S5 / S11: build aside, then switch ------------------------------------------------
+    # build order: every mart is written, then read back, before the marts that use it
+    BUILD_ORDER = ["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
+                   "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log"]
+    DATE_PARTITIONED = {"fct_daily": "activity_date", "fct_hourly": "activity_date",
+                        "fct_heartrate_hourly": "activity_date", "fct_heartrate_daily": "activity_date"}
+
     def materialize(self, path: str, names: list[str] | None = None) -> "Warehouse":
-        """Write the marts as parquet under ``path/<build-id>`` and return a warehouse reading them.
+        """Write the cleaned layer and the marts as parquet under ``path/<build-id>``.
 
-        A failed build leaves only an orphan ``<build-id>`` folder; readers keep using the
-        previous build because the ``CURRENT`` pointer is written last.
+        The cleaned tables are written first and read back, which cuts the lineage (the
+        exploded minute-level sleep table is computed once), and each mart is built from
+        already-written inputs.  A failed build leaves only an orphan ``<build-id>`` folder;
+        readers keep the previous build because the ``CURRENT`` pointer is written last.
         """
         build_id = uuid.uuid4().hex[:12]
         base = os.path.join(path, build_id)
-        for n in names or MART_NAMES:
-            df = self.table(n)
-            writer = df.write.mode("overwrite")
-            if n in ("fct_daily", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily"):
-                # date-partitioned facts: date-range filters prune files
-                writer = writer.partitionBy("activity_date")
-            writer.parquet(os.path.join(base, n))
-        self.spark.createDataFrame([(build_id,)], "build_id string").coalesce(1) \
+        spark = self.spark
+        self.build_log: list[tuple[str, float]] = []
+
+        def write_read(name: str, df: DataFrame, part: str | None = None) -> DataFrame:
+            w = df.write.mode("overwrite")
+            if part:
+                w = w.partitionBy(part)
+            loc = os.path.join(base, name)
+            t0 = time.perf_counter()
+            w.parquet(loc)
+            self.build_log.append((name, round(time.perf_counter() - t0, 3)))
+            return spark.read.parquet(loc)
+
+        stage = Warehouse(spark, self.raw, self.cfg)
+        c = self.cleaned
+        stage.__dict__["cleaned"] = cleaning.Cleaned(
+            daily=write_read("cln_daily", c.daily), sleep_day=write_read("cln_sleep_day", c.sleep_day),
+            minute_sleep=write_read("cln_minute_sleep", c.minute_sleep), hourly=write_read("cln_hourly", c.hourly),
+            heartrate=write_read("cln_heartrate", c.heartrate), weight=write_read("cln_weight_src", c.weight))
+        wanted = set(names or MART_NAMES)
+        for n in self.BUILD_ORDER:
+            if n not in wanted and not any(self._needs(m, n) for m in wanted):
+                continue
+            stage.__dict__[n] = write_read(n, stage.table(n), self.DATE_PARTITIONED.get(n))
+        spark.createDataFrame([(build_id,)], "build_id string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "CURRENT"))
-        return Warehouse.from_tables(self.spark, base, self.cfg)
+        return Warehouse.from_tables(spark, base, self.cfg)
+
+    @staticmethod
+    def _needs(mart: str, dep: str) -> bool:
+        deps = {"fct_sleep": {"fct_sleep_sessions"}, "fct_daily_sleep": {"fct_daily", "fct_sleep", "fct_sleep_sessions"},
+                "dim_user": {"fct_daily", "fct_sleep", "fct_sleep_sessions", "fct_heartrate_daily", "cln_weight"}}
+        return dep in deps.get(mart, set())
 
     @classmethod
     def current(cls, spark: SparkSession, path: str, cfg: StudyConfig | None = None) -> "Warehouse":
