@@ -50,9 +50,13 @@ class Filters:
 
 
 def persona_members(personas: DataFrame) -> DataFrame:
-    """persona -> sorted list of member ids (one row per persona, ids bounded by users)."""
-    return (personas.groupBy("persona")
-            .agg(F.array_sort(F.collect_list("user_id")).alias("ids")).orderBy("persona"))
+    """persona membership as (persona, user_id, members) rows.
+
+    The dashboard keeps one id list per persona; a persona can hold a large share of all users,
+    so the list is kept as rows (one per member, with the persona size) rather than one array.
+    """
+    sizes = personas.groupBy("persona").agg(F.count(F.lit(1)).alias("members"))   # k rows
+    return personas.select("persona", "user_id").join(F.broadcast(sizes), "persona")
 
 
 def persona_filter(personas: DataFrame, chosen: list[str] | None, cfg: StudyConfig,

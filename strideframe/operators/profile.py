@@ -112,7 +112,9 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     qp = q.groupBy(*by).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q")).toDF(*by, "q1", "median", "q3")
     iqr = F.col("q3") - F.col("q1")
     d = df.filter(F.col(col).isNotNull())
-    j = d.join(F.broadcast(qp), by, "inner") if by else d.crossJoin(F.broadcast(qp))
+    # one quartile row per group: broadcast only the single global row; with groups the
+    # planner decides from the measured size (autoBroadcastJoinThreshold)
+    j = d.join(qp, by, "inner") if by else d.crossJoin(F.broadcast(qp))
     lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
     x = F.col(col)
     agg = j.groupBy(*by, "q1", "median", "q3").agg(

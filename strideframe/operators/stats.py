@@ -42,7 +42,7 @@ def welch_t(df: DataFrame, value: str, group_cond) -> DataFrame:
                                             F.var_samp(value).alias("v"))
     a = g.filter(F.col("g")).select(F.col("n").alias("n1"), F.col("m").alias("m1"), F.col("v").alias("v1"))
     b = g.filter(~F.col("g")).select(F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("v").alias("v2"))
-    j = a.crossJoin(b)
+    j = a.crossJoin(F.broadcast(b))     # one row x one row
     se1, se2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se1 + se2))
     dof = F.try_divide((se1 + se2) * (se1 + se2),
@@ -62,7 +62,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     s = rs.agg(F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("sr"), F.sum("ng").alias("N"),
                F.count(F.lit(1)).alias("k"))
     ties = pooled.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tt"))
-    j = s.crossJoin(ties)
+    j = s.crossJoin(F.broadcast(ties))
     N = F.col("N").cast("double")
     h = F.lit(12.0) / (N * (N + 1)) * F.col("sr") - F.lit(3.0) * (N + 1)
     corr = F.lit(1.0) - F.try_divide(F.col("tt"), N * N * N - N)
@@ -90,7 +90,7 @@ def anova(df: DataFrame, value: str, group) -> DataFrame:
          .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")))
     tot = g.agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k_all"),
                 (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
-    j = g.crossJoin(tot)
+    j = g.crossJoin(F.broadcast(tot))
     s = j.groupBy(F.col("n_all").alias("N"), F.col("k_all").alias("k")).agg(
         F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("ssb"),
         F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"))

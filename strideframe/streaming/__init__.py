@@ -1,0 +1,6 @@
+"""Streaming.
+
+The reference product is batch-only: it has no stream source, watermark, window, state or
+late-data handling.  No streaming operator is added here; a warehouse build over newly landed
+files is the batch ``Warehouse.materialize`` run again (build aside, then switch).
+"""
