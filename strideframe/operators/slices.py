@@ -259,3 +259,35 @@ def top_k_least_sleep(wh, k: int = 10) -> DataFrame:
 
 
 WEEK = WEEK_ORDER
+
+
+PERCENTILE_METRICS = ["avg_steps", "avg_mvpa_min", "avg_light_min", "avg_sedentary_min", "valid_days", "avg_calories"]
+
+
+def percentile_rank(wh, metrics=PERCENTILE_METRICS) -> DataFrame:
+    """For every clustered user and metric, 100 x share of users whose value is <= theirs.
+
+    Counts come from distributed value counts with running sums (no global sort window); a
+    NULL value compares false (0), and NULL users still count in the denominator.
+    """
+    from strideframe.operators.ranks import value_counts_cum
+    users = wh.dim_user.filter(F.col("valid_days") > 0)
+    n_all = users.agg(F.count(F.lit(1)).alias("n_all"))
+    parts = []
+    for m in metrics:
+        le = value_counts_cum(users, m).select(F.col("v").alias(m), (F.col("before") + F.col("n")).alias("le"))
+        parts.append(users.select("user_id", m).join(le, m, "left").crossJoin(F.broadcast(n_all))
+                     .select("user_id", F.lit(m).alias("metric"),
+                             (F.lit(100.0) * F.coalesce(F.col("le"), F.lit(0)) / F.col("n_all")).alias("pct")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def curve_minmax(wh, eps: float = 1e-9) -> DataFrame:
+    """The 24-hour step curve scaled to 0..1 by its min and max (+eps), for the header line."""
+    c = v_hour_curve(wh)
+    mm = c.agg(F.min("avg_steps").alias("lo"), F.max("avg_steps").alias("hi"))
+    return c.crossJoin(F.broadcast(mm)).select(
+        "hour_of_day", ((F.col("avg_steps") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(eps))).alias("scaled"))

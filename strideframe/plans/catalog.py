@@ -444,3 +444,36 @@ register("table_catalog", lambda wh: S.table_catalog({n: wh.table(n) for n in (
     "fct_daily", "fct_sleep", "fct_hourly", "fct_heartrate_daily", "dim_user")}), None, "S14")
 register("preview", lambda wh: S.preview(wh.fct_daily, ["user_id", "activity_date"], 50),
          "SELECT * FROM fct_daily ORDER BY user_id, activity_date LIMIT 50", "S13")
+
+# ---------------------------------------------------------------- layers as queries (§2.2, §2.3, M3)
+from strideframe.operators import marts as M  # noqa: E402
+
+for _name, _get, _doc in [
+        ("stg_daily_activity", lambda wh: wh.staged.daily_activity, "G1"),
+        ("stg_daily_steps", lambda wh: wh.staged.daily_steps, "G2"),
+        ("stg_daily_calories", lambda wh: wh.staged.daily_calories, "G3"),
+        ("stg_sleep_day", lambda wh: wh.staged.sleep_day, "G4"),
+        ("stg_minute_sleep", lambda wh: wh.staged.minute_sleep, "G5"),
+        ("stg_hourly", lambda wh: wh.staged.hourly, "G6 three-way join on text keys"),
+        ("stg_heartrate", lambda wh: wh.staged.heartrate, "G7"),
+        ("stg_weight", lambda wh: wh.staged.weight, "G8"),
+        ("cln_daily_activity", lambda wh: wh.cleaned.daily, "C1-C4 R5 + wear flag"),
+        ("cln_sleep_day", lambda wh: wh.cleaned.sleep_day, "C5 R1 + R5"),
+        ("cln_minute_sleep", lambda wh: wh.cleaned.minute_sleep, "C6 R1"),
+        ("cln_hourly", lambda wh: wh.cleaned.hourly, "C7 R5"),
+        ("cln_heartrate", lambda wh: wh.cleaned.heartrate, "C8 R3 + R5")]:
+    register(_name, _get, f"SELECT * FROM {_name}", _doc)
+register("main_session", lambda wh: M.main_sessions(wh.fct_sleep_sessions),
+         "SELECT * EXCLUDE (rn) FROM main_session", "M3 / W1 longest session per night")
+register("percentile_rank", V.percentile_rank, " UNION ALL ".join(
+    f"""SELECT user_id, '{m}' AS metric, 100.0 * coalesce(le, 0) / n_all AS pct FROM
+        (SELECT user_id, {m}, count({m}) OVER (ORDER BY {m} RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS le
+         FROM dim_user WHERE valid_days > 0) u,
+        (SELECT count(*) AS n_all FROM dim_user WHERE valid_days > 0) t"""
+    .replace("coalesce(le, 0)", f"CASE WHEN {m} IS NULL THEN 0 ELSE le END") for m in V.PERCENTILE_METRICS), "V28")
+register("curve_minmax", V.curve_minmax, """SELECT hour_of_day, (avg_steps - lo) / (hi - lo + 1e-9) AS scaled FROM
+    (SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly GROUP BY 1) c,
+    (SELECT min(avg_steps) AS lo, max(avg_steps) AS hi FROM (SELECT hour_of_day, avg(steps) AS avg_steps
+     FROM fct_hourly GROUP BY 1)) m""", "X20")
+register("column_catalog", lambda wh: S.column_catalog(wh.spark, {n: wh.table(n) for n in (
+    "fct_daily", "fct_sleep", "fct_hourly", "fct_heartrate_daily", "dim_user")}), None, "S15")
