@@ -37,7 +37,7 @@ def _vectors(z: DataFrame, feats) -> DataFrame:
 def fit_best(vec: DataFrame, k: int, n_init: int, seed: int, max_iter: int = 300):
     """Best of ``n_init`` K-Means fits (lowest within-cluster sum of squares)."""
     def fit(s):
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=1e-6, initMode="k-means||").fit(vec)
+        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=1e-4, initMode="k-means||").fit(vec)
         return m.summary.trainingCost, s, m
     with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
         results = list(pool.map(fit, range(n_init)))

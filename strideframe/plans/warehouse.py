@@ -13,6 +13,7 @@ import uuid
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from strideframe.config import StudyConfig
 from strideframe.operators import cleaning, marts, staging
@@ -148,7 +149,10 @@ class Warehouse:
             t0 = time.perf_counter()
             w.parquet(loc)
             self.build_log.append((name, round(time.perf_counter() - t0, 3)))
-            return spark.read.parquet(loc)
+            # the schema is known: reading it back needs no inference job
+            schema = df.schema if not part else T.StructType(
+                [f for f in df.schema.fields if f.name != part] + [df.schema[part]])
+            return spark.read.schema(schema).parquet(loc)
 
         stage = Warehouse(spark, self.raw, self.cfg)
         c = self.cleaned
@@ -163,7 +167,8 @@ class Warehouse:
             stage.__dict__[n] = write_read(n, stage.table(n), self.DATE_PARTITIONED.get(n))
         spark.createDataFrame([(build_id,)], "build_id string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "CURRENT"))
-        return Warehouse.from_tables(spark, base, self.cfg)
+        written = {n: stage.__dict__[n] for n in MART_NAMES if n in stage.__dict__}
+        return Warehouse(spark, None, self.cfg, written)
 
     @staticmethod
     def _needs(mart: str, dep: str) -> bool:
