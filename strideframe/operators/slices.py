@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.config import SLEEP_BAND_ORDER, WEEK_ORDER
+from strideframe.config import SLEEP_BAND_ORDER
 from strideframe.functions.compat import rnd
 from strideframe.functions.stats_exprs import avg_of_rounded, pct, pearson
 from strideframe.operators.filters import Filters
@@ -258,8 +258,6 @@ def top_k_least_sleep(wh, k: int = 10) -> DataFrame:
             .orderBy(F.col("avg_sleep_h").asc_nulls_last(), F.col("user_id")).limit(k))
 
 
-WEEK = WEEK_ORDER
-
 
 PERCENTILE_METRICS = ["avg_steps", "avg_mvpa_min", "avg_light_min", "avg_sedentary_min", "valid_days", "avg_calories"]
 

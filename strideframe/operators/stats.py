@@ -5,8 +5,6 @@ Rank tests use the distributed mid-ranks of ``operators.ranks``.
 """
 from __future__ import annotations
 
-import itertools
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -211,5 +209,3 @@ def mean_ci(wh, level: float = 0.95) -> DataFrame:
     return g.select("sedentary_band", "n", "mean", (F.col("mean") - half).alias("lo"),
                     (F.col("mean") + half).alias("hi")).orderBy("sedentary_band")
 
-
-ALL_PAIRS = itertools.combinations

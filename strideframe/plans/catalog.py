@@ -260,9 +260,10 @@ _WIN = ("CASE WHEN bedtime_hour < 23 THEN '1 Before 11 PM' WHEN bedtime_hour < 2
         "ELSE '3 After 12:30 AM' END")
 register("welch_weekend", H.weekend_welch, _welch_sql(_VD, "NOT is_weekend", "steps"), "H1 Welch t")
 register("kruskal_weekday", H.weekday_kruskal, _kruskal_sql(_VD, "steps", "weekday"), "H2 Kruskal-Wallis")
-register("pearson_sit_sleep", H.sit_sleep_pearson, f"""SELECT count(*) AS n,
-    {r(_corr_sql_raw := 'covar_samp(sedentary_min, hours_asleep) / NULLIF(stddev_samp(sedentary_min) * stddev_samp(hours_asleep), 0)', 6)} AS r,
-    {r(f'({_corr_sql_raw}) * sqrt((count(*) - 2) / (1.0 - ({_corr_sql_raw}) * ({_corr_sql_raw})))', 6)} AS t
+_R_SIT = ("covar_samp(sedentary_min, hours_asleep) / "
+          "NULLIF(stddev_samp(sedentary_min) * stddev_samp(hours_asleep), 0)")
+register("pearson_sit_sleep", H.sit_sleep_pearson, f"""SELECT count(*) AS n, {r(_R_SIT, 6)} AS r,
+    {r(f'({_R_SIT}) * sqrt((count(*) - 2) / (1.0 - ({_R_SIT}) * ({_R_SIT})))', 6)} AS t
     FROM fct_daily_sleep""", "H3 Pearson")
 register("spearman_sit_sleep", H.sit_sleep_spearman, f"""WITH d AS (SELECT sedentary_min AS x, hours_asleep AS y
       FROM fct_daily_sleep WHERE sedentary_min IS NOT NULL AND hours_asleep IS NOT NULL),

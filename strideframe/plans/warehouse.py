@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -125,6 +126,11 @@ class Warehouse:
     # build order: every mart is written, then read back, before the marts that use it
     BUILD_ORDER = ["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
                    "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log"]
+    BUILD_WAVES = [["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
+                    "cln_weight", "dq_reconciliation", "dq_log"],
+                   ["fct_sleep"],
+                   ["fct_daily_sleep", "dim_user"]]
+    BUILD_THREADS = 8
     DATE_PARTITIONED = {"fct_daily": "activity_date", "fct_hourly": "activity_date",
                         "fct_heartrate_hourly": "activity_date", "fct_heartrate_daily": "activity_date"}
 
@@ -156,15 +162,21 @@ class Warehouse:
 
         stage = Warehouse(spark, self.raw, self.cfg)
         c = self.cleaned
-        stage.__dict__["cleaned"] = cleaning.Cleaned(
-            daily=write_read("cln_daily", c.daily), sleep_day=write_read("cln_sleep_day", c.sleep_day),
-            minute_sleep=write_read("cln_minute_sleep", c.minute_sleep), hourly=write_read("cln_hourly", c.hourly),
-            heartrate=write_read("cln_heartrate", c.heartrate), weight=write_read("cln_weight_src", c.weight))
-        wanted = set(names or MART_NAMES)
-        for n in self.BUILD_ORDER:
-            if n not in wanted and not any(self._needs(m, n) for m in wanted):
-                continue
-            stage.__dict__[n] = write_read(n, stage.table(n), self.DATE_PARTITIONED.get(n))
+        cleaned_parts = {"daily": c.daily, "sleep_day": c.sleep_day, "minute_sleep": c.minute_sleep,
+                         "hourly": c.hourly, "heartrate": c.heartrate, "weight": c.weight}
+        # independent writes of one wave run as concurrent jobs (the scheduler interleaves their
+        # tasks); each wave only reads tables written by earlier waves
+        with ThreadPoolExecutor(max_workers=self.BUILD_THREADS) as pool:
+            futs = {k: pool.submit(write_read, f"cleaned/{k}", df) for k, df in cleaned_parts.items()}
+            stage.__dict__["cleaned"] = cleaning.Cleaned(**{k: f.result() for k, f in futs.items()})
+            wanted = set(names or MART_NAMES)
+            todo = [n for n in self.BUILD_ORDER if n in wanted or any(self._needs(m, n) for m in wanted)]
+            for wave in self.BUILD_WAVES:
+                batch = [n for n in wave if n in todo]
+                frames = {n: stage.table(n) for n in batch}
+                futs = {n: pool.submit(write_read, n, frames[n], self.DATE_PARTITIONED.get(n)) for n in batch}
+                for n, f in futs.items():
+                    stage.__dict__[n] = f.result()
         spark.createDataFrame([(build_id,)], "build_id string").coalesce(1) \
             .write.mode("overwrite").text(os.path.join(path, "CURRENT"))
         written = {n: stage.__dict__[n] for n in MART_NAMES if n in stage.__dict__}

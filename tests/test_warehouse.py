@@ -112,3 +112,18 @@ def test_materialize_and_switch(wh, tmp_path):
     assert built.fct_daily.count() == wh.fct_daily.count()
     again = Warehouse.current(wh.spark, str(tmp_path / "wh"), wh.cfg)
     assert sorted(again.dim_user.columns) == sorted(wh.dim_user.columns)
+
+
+def test_landing_folder_roundtrip(spark, tmp_path):
+    """Landing parquet files are read with an all-text schema; a missing input fails fast."""
+    from strideframe.sources.landing import RawSources
+    raw = raw_sources(spark)
+    folder = str(tmp_path / "raw")
+    for name, df in raw.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    again = RawSources.from_folder(spark, folder)
+    assert all(t.simpleString() == "string" for _, df in again.items() for t in [f.dataType for f in df.schema])
+    wh2 = Warehouse(spark, again, StudyConfig.reference_study())
+    assert wh2.fct_daily.count() == 9 and wh2.dim_user.count() == 2
+    with pytest.raises(FileNotFoundError, match="sleepDay"):
+        RawSources.from_folder(spark, str(tmp_path / "empty"))
