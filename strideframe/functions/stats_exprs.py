@@ -1,7 +1,7 @@
 """Aggregate expressions shared by insight, slice and statistics operators."""
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions.compat import rnd
@@ -29,3 +29,12 @@ def avg_of_rounded(c, digits: int) -> Column:
 def pct(cond) -> Column:
     """100 * share of rows where cond holds (NULL counts as false, as ::INT of NULL is NULL → skipped)."""
     return F.lit(100) * F.avg(cond.cast("int"))
+
+
+def scalars(one_row: DataFrame) -> dict[str, Column]:
+    """The columns of a one-row (global) aggregate as scalar subqueries.
+
+    They are used in place of a join: no cross product is planned, and Catalyst merges the
+    scalar subqueries over the same aggregate into one execution.
+    """
+    return {c: one_row.select(c).scalar() for c in one_row.columns}

@@ -73,9 +73,9 @@ def dq_log(stg: Staged, cln: "Cleaned", cfg: StudyConfig) -> DataFrame:
                                F.count_if(F.col("activity_date") < cut).alias("a"))
     valid = cln.daily.agg(F.count(F.lit(1)).alias("b"), F.count_if("is_valid_day").alias("a"))
     sd_b = stg.sleep_day.agg(F.count(F.lit(1)).alias("b"))
-    sd_a = cln.sleep_day.agg(F.count(F.lit(1)).alias("a"))
+    sd_a = cln.sleep_day.agg(F.count(F.lit(1))).scalar()
     ms_b = stg.minute_sleep.agg(F.count(F.lit(1)).alias("b"))
-    ms_a = cln.minute_sleep.agg(F.count(F.lit(1)).alias("a"))
+    ms_a = cln.minute_sleep.agg(F.count(F.lit(1))).scalar()
     hr = stg.hourly.agg(F.count(F.lit(1)).alias("b"),
                         F.count_if(F.col("activity_hour").cast("date") < cut).alias("a"))
     hb = stg.heartrate.agg(
@@ -87,10 +87,10 @@ def dq_log(stg: Staged, cln: "Cleaned", cfg: StudyConfig) -> DataFrame:
                        f"Export ended part-way through {cfg.cutoff.isoformat()}")),
         valid.select(*_row("02", "R2 wear-time flag", "daily_activity", F.col("b"), F.col("a"),
                            "Days with 0 steps or < 10 h tracked are flagged invalid")),
-        sd_b.crossJoin(sd_a).select(*_row("03", "R1 duplicates removed", "sleep_day", F.col("b"), F.col("a"),
-                                          "Exact duplicate nights removed")),
-        ms_b.crossJoin(ms_a).select(*_row("04", "R1 duplicates removed", "minute_sleep", F.col("b"),
-                                          F.col("a"), "Exact duplicate minutes removed")),
+        sd_b.select(*_row("03", "R1 duplicates removed", "sleep_day", F.col("b"), sd_a,
+                          "Exact duplicate nights removed")),
+        ms_b.select(*_row("04", "R1 duplicates removed", "minute_sleep", F.col("b"), ms_a,
+                          "Exact duplicate minutes removed")),
         hr.select(*_row("05", "R5 partial last day removed", "hourly", F.col("b"), F.col("a"),
                         "Steps, calories and intensity joined into one table")),
         hb.select(*_row("06", "R3 impossible bpm removed", "heartrate", F.col("b"), F.col("a"),

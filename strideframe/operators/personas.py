@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.config import PERSONA_FEATURES, StudyConfig
+from strideframe.functions.stats_exprs import scalars
 
 
 def persona_features(dim_user: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
@@ -23,11 +24,11 @@ def persona_features(dim_user: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
 
 
 def zscore_pop(df: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
-    """(x - mean) / population sd, with the one-row moments broadcast (sd 0 -> 0)."""
-    mom = df.agg(*[F.avg(f).alias(f"{f}__m") for f in feats], *[F.stddev_pop(f).alias(f"{f}__s") for f in feats])
-    j = df.crossJoin(F.broadcast(mom))
-    return j.select("user_id", *[F.coalesce(F.try_divide(F.col(f) - F.col(f"{f}__m"), F.col(f"{f}__s")),
-                                            F.lit(0.0)).alias(f) for f in feats])
+    """(x - mean) / population sd, the one-row moments read as scalar subqueries (sd 0 -> 0)."""
+    mom = scalars(df.agg(*[F.avg(f).alias(f"{f}__m") for f in feats],
+                         *[F.stddev_pop(f).alias(f"{f}__s") for f in feats]))
+    return df.select("user_id", *[F.coalesce(F.try_divide(F.col(f) - mom[f"{f}__m"], mom[f"{f}__s"]),
+                                             F.lit(0.0)).alias(f) for f in feats])
 
 
 def _vectors(z: DataFrame, feats) -> DataFrame:
@@ -57,8 +58,8 @@ def assign_clusters(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=P
 def cluster_centres(assigned: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
     """Centres in raw units (k rows) joined with the overall mean (one row)."""
     c = assigned.groupBy("cluster").agg(*[F.avg(f).alias(f) for f in feats])
-    o = assigned.agg(*[F.avg(f).alias(f"overall_{f}") for f in feats])
-    return c.crossJoin(F.broadcast(o))
+    o = scalars(assigned.agg(*[F.avg(f).alias(f"overall_{f}") for f in feats]))
+    return c.select("*", *[o[f"overall_{f}"].alias(f"overall_{f}") for f in feats])
 
 
 def name_personas(centres: DataFrame) -> DataFrame:
@@ -107,18 +108,17 @@ def persona_minmax(dim_user: DataFrame, personas: DataFrame,
                    feats=("avg_steps", "avg_mvpa_min", "avg_light_min", "avg_sedentary_min", "valid_days")) -> DataFrame:
     """Persona means min-max scaled by the range over all clustered users."""
     u = dim_user.join(personas.select("user_id", "persona"), "user_id")
-    rng = u.agg(*[F.min(f).alias(f"{f}__lo") for f in feats], *[F.max(f).alias(f"{f}__hi") for f in feats])
-    g = u.groupBy("persona").agg(*[F.avg(f).alias(f) for f in feats]).crossJoin(F.broadcast(rng))
-    return g.select("persona", *[F.try_divide(F.col(f) - F.col(f"{f}__lo"), F.col(f"{f}__hi") - F.col(f"{f}__lo"))
+    rng = scalars(u.agg(*[F.min(f).alias(f"{f}__lo") for f in feats], *[F.max(f).alias(f"{f}__hi") for f in feats]))
+    g = u.groupBy("persona").agg(*[F.avg(f).alias(f) for f in feats])
+    return g.select("persona", *[F.try_divide(F.col(f) - rng[f"{f}__lo"], rng[f"{f}__hi"] - rng[f"{f}__lo"])
                                  .alias(f) for f in feats])
 
 
 def persona_zscore(dim_user: DataFrame, personas: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
     """Per-persona mean of sample-sd z-scores."""
     u = dim_user.join(personas.select("user_id", "persona"), "user_id")
-    mom = u.agg(*[F.avg(f).alias(f"{f}__m") for f in feats], *[F.stddev_samp(f).alias(f"{f}__s") for f in feats])
-    z = u.crossJoin(F.broadcast(mom)).select(
-        "persona", *[F.try_divide(F.col(f) - F.col(f"{f}__m"), F.col(f"{f}__s")).alias(f) for f in feats])
+    mom = scalars(u.agg(*[F.avg(f).alias(f"{f}__m") for f in feats], *[F.stddev_samp(f).alias(f"{f}__s") for f in feats]))
+    z = u.select("persona", *[F.try_divide(F.col(f) - mom[f"{f}__m"], mom[f"{f}__s"]).alias(f) for f in feats])
     return z.groupBy("persona").agg(*[F.avg(f).alias(f) for f in feats])
 
 

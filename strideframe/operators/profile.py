@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.functions.compat import rnd
+from strideframe.functions.stats_exprs import scalars
 from strideframe.operators.ranks import exact_quantiles, value_counts_cum
 from strideframe.sources.landing import RawSources
 
@@ -35,9 +36,8 @@ def duplicate_count(raw: RawSources) -> DataFrame:
     out = []
     for name, df in raw.items():
         total = df.agg(F.count(F.lit(1)).alias("rows"))
-        distinct = df.distinct().agg(F.count(F.lit(1)).alias("distinct_rows"))
-        out.append(total.crossJoin(distinct).select(F.lit(name).alias("file"),
-                                                    (F.col("rows") - F.col("distinct_rows")).alias("duplicate_rows")))
+        distinct = df.distinct().agg(F.count(F.lit(1))).scalar()
+        out.append(total.select(F.lit(name).alias("file"), (F.col("rows") - distinct).alias("duplicate_rows")))
     return _union(out)
 
 
@@ -110,57 +110,61 @@ def box_stats(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     by = list(by)
     q = exact_quantiles(df, col, [0.25, 0.5, 0.75], by=by)
     qp = q.groupBy(*by).pivot("p", [0.25, 0.5, 0.75]).agg(F.first("q")).toDF(*by, "q1", "median", "q3")
-    iqr = F.col("q3") - F.col("q1")
     d = df.filter(F.col(col).isNotNull())
-    # one quartile row per group: broadcast only the single global row; with groups the
-    # planner decides from the measured size (autoBroadcastJoinThreshold)
-    j = d.join(qp, by, "inner") if by else d.crossJoin(F.broadcast(qp))
-    lo_f, hi_f = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
+    if by:
+        # one quartile row per group, joined on the group keys (the planner sizes the join)
+        j, keys = d.join(qp, by, "inner"), [*by, "q1", "median", "q3"]
+        q1, med, q3 = F.col("q1"), F.col("median"), F.col("q3")
+    else:
+        # the single global row is read as scalar subqueries
+        s = scalars(qp)
+        j, keys = d, []
+        q1, med, q3 = s["q1"], s["median"], s["q3"]
+    iqr = q3 - q1
+    lo_f, hi_f = q1 - 1.5 * iqr, q3 + 1.5 * iqr
     x = F.col(col)
-    agg = j.groupBy(*by, "q1", "median", "q3").agg(
+    agg = j.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.min(F.when(x >= lo_f, x)).alias("whisker_lo"), F.max(F.when(x <= hi_f, x)).alias("whisker_hi"),
         F.count_if((x < lo_f) | (x > hi_f)).alias("outliers"))
-    return agg.select(*by, "n", rnd(F.col("q1"), 6).alias("q1"), rnd(F.col("median"), 6).alias("median"),
-                      rnd(F.col("q3"), 6).alias("q3"), "whisker_lo", "whisker_hi", "outliers")
+    return agg.select(*by, "n", rnd(q1, 6).alias("q1"), rnd(med, 6).alias("median"),
+                      rnd(q3, 6).alias("q3"), "whisker_lo", "whisker_hi", "outliers")
 
 
 def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
     """Equal-width bins between the column min and max (last bin closed)."""
     d = df.filter(F.col(col).isNotNull())
-    mm = d.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi"))
-    w = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    b = F.least(F.floor(F.try_divide(F.col(col) - F.col("lo"), w)), F.lit(bins - 1))
-    j = d.crossJoin(F.broadcast(mm)).select(F.coalesce(b, F.lit(0)).cast("int").alias("bin"), "lo", "hi")
-    g = j.groupBy("bin", "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
-    wd = (F.col("hi") - F.col("lo")) / F.lit(bins)
-    return g.select("bin", rnd(F.col("lo") + F.col("bin") * wd, 6).alias("bin_start"),
-                    rnd(F.col("lo") + (F.col("bin") + 1) * wd, 6).alias("bin_end"), "n").orderBy("bin")
+    mm = scalars(d.agg(F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")))
+    lo, hi = mm["lo"], mm["hi"]
+    w = (hi - lo) / F.lit(bins)
+    b = F.least(F.floor(F.try_divide(F.col(col) - lo, w)), F.lit(bins - 1))
+    g = d.select(F.coalesce(b, F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("bin", rnd(lo + F.col("bin") * w, 6).alias("bin_start"),
+                    rnd(lo + (F.col("bin") + 1) * w, 6).alias("bin_end"), "n").orderBy("bin")
 
 
 def kde(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
     """Gaussian kernel density (Scott bandwidth) on a pre-binned column.
 
-    Rows are reduced to ``fine_bins`` counts first; the density is then a bounded
-    bins x grid product, independent of the row count.
+    Rows are reduced to at most ``fine_bins`` counts first; each bin row then emits its
+    contribution to the ``grid`` points (a bounded bins x grid expansion, independent of the
+    row count).
     """
     d = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))
-    st = d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-               F.stddev_samp("x").alias("sd"))
-    bw = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
-    width = (F.col("hi") - F.col("lo")) / F.lit(fine_bins)
-    b = (d.crossJoin(F.broadcast(st))
-         .select(F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - F.col("lo"), width)), F.lit(0)),
-                         F.lit(fine_bins - 1)).alias("b"), "lo", "hi", "n", "sd")
-         .groupBy("b", "lo", "hi", "n", "sd").agg(F.count(F.lit(1)).alias("c")))
-    centre = F.col("lo") + (F.col("b") + 0.5) * (F.col("hi") - F.col("lo")) / F.lit(fine_bins)
-    b = b.select(centre.alias("xc"), "c", "lo", "hi", "n", bw.alias("h"))
-    g = st.select(F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"), "lo", "hi")
-    g = g.select("i", (F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(grid - 1)).alias("x"))
-    j = F.broadcast(g).crossJoin(b)   # grid (bounded) x bins (bounded)
-    u = (F.col("x") - F.col("xc")) / F.col("h")
-    dens = F.col("c") * F.exp(-0.5 * u * u) / (F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
-    return j.groupBy("i", "x").agg(F.sum(dens).alias("density")).orderBy("i")
+    st = scalars(d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                       F.stddev_samp("x").alias("sd")))
+    n, lo, hi = st["n"], st["lo"], st["hi"]
+    h = st["sd"] * F.pow(n.cast("double"), F.lit(-0.2))
+    width = (hi - lo) / F.lit(fine_bins)
+    b = (d.select(F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - lo, width)), F.lit(0)),
+                          F.lit(fine_bins - 1)).alias("b"))
+         .groupBy("b").agg(F.count(F.lit(1)).alias("c")))
+    grid_x = lo + F.col("i") * (hi - lo) / F.lit(grid - 1)
+    pts = b.select((lo + (F.col("b") + 0.5) * (hi - lo) / F.lit(fine_bins)).alias("xc"), "c",
+                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    u = (grid_x - F.col("xc")) / h
+    dens = F.col("c") * F.exp(-0.5 * u * u) / (n * h * F.lit(math.sqrt(2 * math.pi)))
+    return pts.groupBy("i").agg(F.sum(dens).alias("density")).select("i", grid_x.alias("x"), "density").orderBy("i")
 
 
 def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 28) -> DataFrame:
@@ -172,13 +176,12 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 28) -> DataFrame:
     ext = d.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     pad_x = (F.col("x1") - F.col("x0")) * 1e-9
     pad_y = (F.col("y1") - F.col("y0")) * 1e-9
-    ext = ext.select((F.col("x0") - pad_x).alias("xmin"), (F.col("x1") + pad_x).alias("xmax"),
-                     (F.col("y0") - pad_y).alias("ymin"), (F.col("y1") + pad_y).alias("ymax"))
-    j = d.crossJoin(F.broadcast(ext))
-    sx = (F.col("xmax") - F.col("xmin")) / nx
-    sy = (F.col("ymax") - F.col("ymin")) / ny
-    j = j.select("*", F.try_divide(F.col("x") - F.col("xmin"), sx).alias("ix"),
-                 F.try_divide(F.col("y") - F.col("ymin"), sy).alias("iy"))
+    e = scalars(ext.select((F.col("x0") - pad_x).alias("xmin"), (F.col("x1") + pad_x).alias("xmax"),
+                           (F.col("y0") - pad_y).alias("ymin"), (F.col("y1") + pad_y).alias("ymax")))
+    xmin, ymin = e["xmin"], e["ymin"]
+    sx = (e["xmax"] - xmin) / nx
+    sy = (e["ymax"] - ymin) / ny
+    j = d.select(F.try_divide(F.col("x") - xmin, sx).alias("ix"), F.try_divide(F.col("y") - ymin, sy).alias("iy"))
     j = j.fillna(0.0, subset=["ix", "iy"])
     ix1, iy1 = F.rint("ix"), F.rint("iy")
     ix2, iy2 = F.floor("ix"), F.floor("iy")
@@ -189,20 +192,18 @@ def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 28) -> DataFrame:
     first = d1 < d2
     cell = j.select(first.alias("lattice1"),
                     F.when(first, ix1).otherwise(ix2).cast("int").alias("i"),
-                    F.when(first, iy1).otherwise(iy2).cast("int").alias("j"), "xmin", "ymin", sx.alias("sx"),
-                    sy.alias("sy"))
-    g = cell.groupBy("lattice1", "i", "j", "xmin", "ymin", "sx", "sy").agg(F.count(F.lit(1)).alias("n"))
+                    F.when(first, iy1).otherwise(iy2).cast("int").alias("j"))
+    g = cell.groupBy("lattice1", "i", "j").agg(F.count(F.lit(1)).alias("n"))
     off = F.when(F.col("lattice1"), F.lit(0.0)).otherwise(F.lit(0.5))
     return g.select("lattice1", "i", "j",
-                    rnd(F.col("xmin") + (F.col("i") + off) * F.col("sx"), 6).alias("cx"),
-                    rnd(F.col("ymin") + (F.col("j") + off) * F.col("sy"), 6).alias("cy"), "n")
+                    rnd(xmin + (F.col("i") + off) * sx, 6).alias("cx"),
+                    rnd(ymin + (F.col("j") + off) * sy, 6).alias("cy"), "n")
 
 
 def median_mean(df: DataFrame, col: str) -> DataFrame:
     """Exact median and mean reference lines."""
     q = exact_quantiles(df, col, [0.5]).select(rnd(F.col("q"), 6).alias("median"))
-    m = df.agg(rnd(F.avg(col), 6).alias("mean"))
-    return q.crossJoin(m)
+    return q.select("median", df.agg(rnd(F.avg(col), 6)).scalar().alias("mean"))
 
 
 def weekend_pivot(fct_hourly: DataFrame) -> DataFrame:

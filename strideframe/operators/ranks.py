@@ -3,8 +3,8 @@
 Pipeline for a column ``v`` (optionally within groups ``by``):
 
 1. value counts  ``(by, v) -> n``  (map-side partial aggregation; a hot value is one row).
-2. a bucket per distinct value from ``percentile_approx`` cut points (a one-row aggregate that is
-   cross-joined, so nothing goes through the driver).  The bucket is a deterministic function
+2. a bucket per distinct value from ``percentile_approx`` cut points (a one-row aggregate read
+   as a scalar subquery, so nothing goes through the driver and nothing is joined).  The bucket is a deterministic function
    of the value, so it is monotone in ``v``.
 3. running counts inside each (by, bucket) window partition, bucket totals with a running
    offset over the small (by, bucket) table, joined back.
@@ -27,10 +27,11 @@ def value_counts_cum(df: DataFrame, col: str, by: Sequence[str] = (), buckets: i
     v = F.col(col)
     vc = df.filter(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = vc.agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), 10000).alias("cuts"))
-    b = (vc.crossJoin(F.broadcast(cuts))
-         .withColumn("bucket", F.size(F.filter(F.col("cuts"), lambda c: c < F.col("v"))))
-         .drop("cuts"))
+    cuts = vc.agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), 10000)).scalar()
+    # bucket = number of cut points below v = 0-based position of v's first copy among cuts + [v]
+    # (sort_array, not a lambda: subqueries cannot appear inside higher-order functions)
+    with_v = F.sort_array(F.concat(cuts, F.array(F.col("v").cast(vc.schema["v"].dataType))))
+    b = vc.withColumn("bucket", (F.array_position(with_v, F.col("v")) - F.lit(1)).cast("int"))
     inner = Window.partitionBy(*by, "bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
     b = b.withColumn("within", F.coalesce(F.sum("n").over(inner), F.lit(0).cast("long")))
     tot = b.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.config import SLEEP_BAND_ORDER
 from strideframe.functions.compat import rnd
-from strideframe.functions.stats_exprs import avg_of_rounded, pct, pearson
+from strideframe.functions.stats_exprs import avg_of_rounded, pct, pearson, scalars
 from strideframe.operators.filters import Filters
 from strideframe.operators.insights import bedtime_window, mvpa
 
@@ -270,13 +270,13 @@ def percentile_rank(wh, metrics=PERCENTILE_METRICS) -> DataFrame:
     """
     from strideframe.operators.ranks import value_counts_cum
     users = wh.dim_user.filter(F.col("valid_days") > 0)
-    n_all = users.agg(F.count(F.lit(1)).alias("n_all"))
+    n_all = users.agg(F.count(F.lit(1))).scalar()
     parts = []
     for m in metrics:
         le = value_counts_cum(users, m).select(F.col("v").alias(m), (F.col("before") + F.col("n")).alias("le"))
-        parts.append(users.select("user_id", m).join(le, m, "left").crossJoin(F.broadcast(n_all))
+        parts.append(users.select("user_id", m).join(le, m, "left")
                      .select("user_id", F.lit(m).alias("metric"),
-                             (F.lit(100.0) * F.coalesce(F.col("le"), F.lit(0)) / F.col("n_all")).alias("pct")))
+                             (F.lit(100.0) * F.coalesce(F.col("le"), F.lit(0)) / n_all).alias("pct")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -286,6 +286,6 @@ def percentile_rank(wh, metrics=PERCENTILE_METRICS) -> DataFrame:
 def curve_minmax(wh, eps: float = 1e-9) -> DataFrame:
     """The 24-hour step curve scaled to 0..1 by its min and max (+eps), for the header line."""
     c = v_hour_curve(wh)
-    mm = c.agg(F.min("avg_steps").alias("lo"), F.max("avg_steps").alias("hi"))
-    return c.crossJoin(F.broadcast(mm)).select(
-        "hour_of_day", ((F.col("avg_steps") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(eps))).alias("scaled"))
+    mm = scalars(c.agg(F.min("avg_steps").alias("lo"), F.max("avg_steps").alias("hi")))
+    return c.select("hour_of_day",
+                    ((F.col("avg_steps") - mm["lo"]) / (mm["hi"] - mm["lo"] + F.lit(eps))).alias("scaled"))

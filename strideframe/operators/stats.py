@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from strideframe.functions.compat import rnd
 from strideframe.functions.distributions import p_value, t_ppf
-from strideframe.functions.stats_exprs import pearson
+from strideframe.functions.stats_exprs import pearson, scalars
 from strideframe.operators.insights import bedtime_window
 from strideframe.operators.ranks import mid_ranks, rank_rows
 
@@ -34,13 +34,16 @@ def _round6(c):
 
 # ---- H1 Welch t ------------------------------------------------------------------------------
 def welch_t(df: DataFrame, value: str, group_cond) -> DataFrame:
-    """Welch's two-sample t: group A = rows where group_cond, B = the rest (NULL cond dropped)."""
-    g = df.filter(group_cond.isNotNull() & F.col(value).isNotNull()) \
-        .groupBy(group_cond.alias("g")).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"),
-                                            F.var_samp(value).alias("v"))
-    a = g.filter(F.col("g")).select(F.col("n").alias("n1"), F.col("m").alias("m1"), F.col("v").alias("v1"))
-    b = g.filter(~F.col("g")).select(F.col("n").alias("n2"), F.col("m").alias("m2"), F.col("v").alias("v2"))
-    j = a.crossJoin(F.broadcast(b))     # one row x one row
+    """Welch's two-sample t: group A = rows where group_cond, B = the rest (NULL cond dropped).
+
+    Both groups' moments come from one conditional aggregate; no row when a group is empty.
+    """
+    x = F.col(value)
+    d = df.filter(group_cond.isNotNull() & x.isNotNull())
+    j = d.agg(F.count_if(group_cond).alias("n1"), F.avg(F.when(group_cond, x)).alias("m1"),
+              F.var_samp(F.when(group_cond, x)).alias("v1"),
+              F.count_if(~group_cond).alias("n2"), F.avg(F.when(~group_cond, x)).alias("m2"),
+              F.var_samp(F.when(~group_cond, x)).alias("v2")).filter((F.col("n1") > 0) & (F.col("n2") > 0))
     se1, se2 = F.col("v1") / F.col("n1"), F.col("v2") / F.col("n2")
     t = F.try_divide(F.col("m1") - F.col("m2"), F.sqrt(se1 + se2))
     dof = F.try_divide((se1 + se2) * (se1 + se2),
@@ -58,13 +61,12 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     rs = (per.join(pooled.select("v", "midrank"), "v")
           .groupBy("grp").agg(F.sum(F.col("ngv") * F.col("midrank")).alias("R"), F.sum("ngv").alias("ng")))
     s = rs.agg(F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("sr"), F.sum("ng").alias("N"),
-               F.count(F.lit(1)).alias("k"))
-    ties = pooled.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("tt"))
-    j = s.crossJoin(F.broadcast(ties))
+               F.count(F.lit(1)).alias("k")).filter(F.col("k") > 0)
+    tt = pooled.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n"))).scalar()
     N = F.col("N").cast("double")
     h = F.lit(12.0) / (N * (N + 1)) * F.col("sr") - F.lit(3.0) * (N + 1)
-    corr = F.lit(1.0) - F.try_divide(F.col("tt"), N * N * N - N)
-    return j.select("N", "k", _round6(F.try_divide(h, corr)).alias("H"))
+    corr = F.lit(1.0) - F.try_divide(tt, N * N * N - N)
+    return s.select("N", "k", _round6(F.try_divide(h, corr)).alias("H"))
 
 
 # ---- H3 / H4 correlation ------------------------------------------------------------------------
@@ -86,12 +88,10 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
 def anova(df: DataFrame, value: str, group) -> DataFrame:
     g = (df.filter(F.col(value).isNotNull()).groupBy(group.alias("grp"))
          .agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("m"), F.var_samp(value).alias("v")))
-    tot = g.agg(F.sum("n").alias("n_all"), F.count(F.lit(1)).alias("k_all"),
-                (F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("gm"))
-    j = g.crossJoin(F.broadcast(tot))
-    s = j.groupBy(F.col("n_all").alias("N"), F.col("k_all").alias("k")).agg(
-        F.sum(F.col("n") * (F.col("m") - F.col("gm")) * (F.col("m") - F.col("gm"))).alias("ssb"),
-        F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw"))
+    gm = g.agg(F.sum(F.col("n") * F.col("m")) / F.sum("n")).scalar()
+    s = g.agg(F.sum("n").alias("N"), F.count(F.lit(1)).alias("k"),
+              F.sum(F.col("n") * (F.col("m") - gm) * (F.col("m") - gm)).alias("ssb"),
+              F.sum((F.col("n") - 1) * F.coalesce(F.col("v"), F.lit(0.0))).alias("ssw")).filter(F.col("k") > 0)
     f = F.try_divide(F.col("ssb") / (F.col("k") - 1), F.col("ssw") / (F.col("N") - F.col("k")))
     return s.select("N", "k", _round6(f).alias("F"))
 
