@@ -35,6 +35,13 @@ def _vectors(z: DataFrame, feats) -> DataFrame:
     return VectorAssembler(inputCols=list(feats), outputCol="features").transform(z).select("user_id", "features")
 
 
+def _fit_input(z: DataFrame, feats) -> DataFrame:
+    """The K-Means input, written once to the shared checkpoint folder (cuts the lineage back to the
+    raw scan, so each of the many fit jobs plans a short scan and a lost executor re-reads files),
+    then kept in memory for the iterations."""
+    return _vectors(z, feats).checkpoint(eager=True).persist()
+
+
 def fit_best(vec: DataFrame, k: int, n_init: int, seed: int, max_iter: int = 300):
     """Best of ``n_init`` K-Means fits (lowest within-cluster sum of squares)."""
     def fit(s):
@@ -49,7 +56,7 @@ def assign_clusters(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=P
     cfg = cfg or StudyConfig()
     f = persona_features(dim_user, feats)
     z = zscore_pop(f, feats)
-    vec = _vectors(z, feats).persist()
+    vec = _fit_input(z, feats)
     model = fit_best(vec, cfg.persona_k, cfg.persona_n_init, cfg.seed)
     out = model.transform(vec).select("user_id", F.col("prediction").alias("cluster"))
     return f.join(out, "user_id")
@@ -92,7 +99,7 @@ def elbow(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEA
     z = zscore_pop(persona_features(dim_user, feats), feats)
     k1 = z.agg(F.sum(sum((F.col(f) * F.col(f) for f in feats), F.lit(0.0))).alias("inertia")) \
         .select(F.lit(1).alias("k"), "inertia")
-    vec = _vectors(z, feats).persist()
+    vec = _fit_input(z, feats)
     n = vec.count()
     rows = []
     for k in range(2, min(cfg.elbow_max_k, max(n, 2)) + 1):
