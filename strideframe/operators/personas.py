@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from strideframe.config import PERSONA_FEATURES, StudyConfig
 from strideframe.functions.stats_exprs import scalars
+from strideframe.session import ensure_checkpoint_dir
 
 
 def persona_features(dim_user: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
@@ -39,6 +40,7 @@ def _fit_input(z: DataFrame, feats) -> DataFrame:
     """The K-Means input, written once to the shared checkpoint folder (cuts the lineage back to the
     raw scan, so each of the many fit jobs plans a short scan and a lost executor re-reads files),
     then kept in memory for the iterations."""
+    ensure_checkpoint_dir(z.sparkSession)
     return _vectors(z, feats).checkpoint(eager=True).persist()
 
 
