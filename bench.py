@@ -9,7 +9,6 @@ import json
 import os
 import re
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -30,14 +29,13 @@ HEADLINE = [
 def main() -> None:
     from strideframe.plans import catalog
     from strideframe.plans.warehouse import Warehouse
-    from strideframe.session import local_session
+    from strideframe.session import local_session, scratch_path
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = local_session(cores=cpus, shuffle_partitions=max(8, 2 * cpus), app="strideframe-bench")
-    out_dir = os.path.join(spark.conf.get("spark.checkpoint.dir"), "bench-warehouse")
-    if not out_dir.startswith(("/", "file:")):
-        out_dir = tempfile.mkdtemp(prefix="strideframe-bench-")
+    # the build goes under the session's shared checkpoint folder (any Hadoop file system)
+    out_dir = scratch_path(spark, "bench-warehouse")
     times: dict[str, float] = {}
 
     lazy = Warehouse.from_driver(spark, sf_dir)
