@@ -2,16 +2,27 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideframe.llm import quality
+from strideframe.llm import bpe, quality, token_counts
 from strideframe.llm.store import documents
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir)).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules,)}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    round_trip = bpe.decode(bpe.encode(documents(spark, sf_dir)))
+    return round_trip.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                             F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op4_token_counts, op7_quality_rules, op8_bpe)}
 
 ORACLES: dict[str, str] = {}
