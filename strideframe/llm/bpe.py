@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from strideframe.llm import exchange
 from strideframe.llm.exchange import expand, pack, squeeze, unpack
 from strideframe.llm.store import stage, texts
-from strideframe.llm.tokens import UnitCache, encode as library_encode, space_units, tokenizer
+from strideframe.llm.tokens import UnitCache, encode as library_encode, space_units, tokenizer, vocabulary_size
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text in a chunk; one document may be longer and then is a chunk of its own.
@@ -179,7 +179,7 @@ def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
     out = []
-    for i in range(t.get_vocab_size(with_added_tokens=True)):
+    for i in range(vocabulary_size(vocabulary)):
         token = t.id_to_token(i) or ""
         out.append(bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode())
     return out

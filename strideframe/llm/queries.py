@@ -4,8 +4,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, quality, token_counts
-from strideframe.llm.store import documents
+from strideframe.llm import bpe, quality, token_counts, wavelet
+from strideframe.llm.store import documents, new_path
+
+
+def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = wavelet.shards(spark, wavelet.write_shards(documents(spark, sf_dir), new_path(spark, "token-shards")))
+    read = wavelet.read_documents(files).select("shard", "doc_id", "offset", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return read.join(wavelet.shard_starts(files), "shard").select(
+        "doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +30,6 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_token_counts, op7_quality_rules, op8_bpe)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_token_counts, op7_quality_rules, op8_bpe)}
 
 ORACLES: dict[str, str] = {}

@@ -32,9 +32,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the session's shared checkpoint folder."""
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
 def stage(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and read it back: later stages and retries
     after a lost executor read files instead of recomputing (or seeing another row order)."""
-    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    path = new_path(df.sparkSession, name)
     df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -33,6 +33,10 @@ def encode(name: str, text: str) -> list[int]:
     return tokenizer(name).encode(text, add_special_tokens=False).ids
 
 
+def vocabulary_size(name: str) -> int:
+    return tokenizer(name).get_vocab_size(with_added_tokens=True)
+
+
 def space_units(text: str) -> list[str]:
     """``text`` cut before single spaces; those spaces left out: the text is " ".join(units)."""
     return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
