@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, quality, token_counts, wavelet
-from strideframe.llm.store import documents, new_path
+from strideframe.llm import bpe, decontamination, quality, token_counts, wavelet
+from strideframe.llm.store import documents, new_path, texts
 
 
 def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_token_counts, op7_quality_rules, op8_bpe)}
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.overlaps(texts(documents(spark, sf_dir)), benchmark).select("doc_id", "overlap.*")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_token_counts, op7_quality_rules, op8_bpe, op10_winnowing)}
 
 ORACLES: dict[str, str] = {}
