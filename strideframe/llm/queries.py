@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, quality, token_counts, wavelet
+from strideframe.llm import bpe, decontamination, line_chunks, quality, token_counts, wavelet
 from strideframe.llm.store import documents, new_path, texts
 
 
@@ -30,6 +30,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                              F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_chunks.line_dedup(texts(documents(spark, sf_dir)))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", "n_removed_chunks",
+                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = decontamination.overlaps(texts(documents(spark, sf_dir)), benchmark).select("doc_id", "overlap.*")
@@ -38,6 +44,6 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_token_counts, op7_quality_rules, op8_bpe, op10_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op4_token_counts, op7_quality_rules, op8_bpe, op9_line_chunks, op10_winnowing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_line_chunks": line_chunks.ORACLE}
