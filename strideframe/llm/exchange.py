@@ -42,9 +42,9 @@ def ask(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> Da
     return messages.groupBy("bucket").applyInArrow(bucket, REPLY)
 
 
-def with_replies(chunks: DataFrame, replies: DataFrame) -> DataFrame:
-    """``chunks`` with a column replies: array of (bucket, reply), null where there was no question."""
-    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias("replies"))
+def with_replies(chunks: DataFrame, replies: DataFrame, name: str = "replies") -> DataFrame:
+    """``chunks`` with a column ``name``: array of (bucket, reply), null where there was no question."""
+    gathered = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "reply")).alias(name))
     return chunks.join(gathered, "chunk", "left")
 
 

@@ -44,8 +44,8 @@ def gram_hash(values: np.ndarray, k: int) -> np.ndarray:
     """Polynomial hashes, modulo 2**64, of every k consecutive values: by doubling, hash(2m)[i] =
     hash(m)[i] * base**m + hash(m)[i + m]."""
     n = len(values) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
+    if n <= 0 or not k:
+        return np.zeros(max(n, 0), np.uint64)
     whole, size, part, m = None, 0, values, 1
     while True:
         if k & m:
