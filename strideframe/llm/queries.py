@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, line_chunks, quality, simhash, substrings, suffixes, token_counts, wavelet
+from strideframe.llm import bpe, decontamination, line_chunks, personal, quality, simhash, substrings, suffixes, token_counts, wavelet
 from strideframe.llm.store import documents, new_path, texts
 
 
@@ -20,6 +20,11 @@ def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.find_personal(documents(spark, sf_dir))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -59,6 +64,6 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_suffix_array, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe, op9_line_chunks, op10_winnowing)}
+QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_suffix_array, op3_boosted_pii, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe, op9_line_chunks, op10_winnowing)}
 
 ORACLES: dict[str, str] = {"op9_line_chunks": line_chunks.ORACLE}
