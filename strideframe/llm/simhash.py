@@ -47,13 +47,13 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the fingerprint's bits as a long) of each row of (doc_id, text)."""
+    """doc_id, h (the text's hash), fp (the fingerprint's bits as a long) of each row of (doc_id, text)."""
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py() or "", shingle) for t in batch.column("text")), np.uint64, batch.num_rows)
-            yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fps.view(np.int64))})
+            yield pa.record_batch({"doc_id": batch.column("doc_id"), "h": batch.column("h"), "fp": pa.array(fps.view(np.int64))})
 
-    return docs.mapInArrow(of, "doc_id long, fp long")
+    return docs.withColumn("h", F.xxhash64("text")).mapInArrow(of, "doc_id long, h long, fp long")
 
 
 def _segment(fp: Column, k: int, segments: int) -> Column:
@@ -79,13 +79,30 @@ def links(distinct: DataFrame, bits: int = BITS, segments: int = SEGMENTS) -> Da
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                     bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
-    """doc_id, fp, component_id of each row."""
+    """doc_id, h, fp, root (the smallest fingerprint of the component) and component_id of each row."""
     found = stage(fingerprints(texts(docs, id_col, text_col), shingle), "fingerprints")
     distinct = stage(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "fingerprint-table")
-    rooted = components(links(distinct.select("fp"), bits, segments))
-    root = distinct.join(rooted, F.col("fp") == F.col("u"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = components(links(distinct.select("fp"), bits, segments)).withColumnRenamed("u", "fp")
+    root = distinct.join(rooted, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     ids = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found.join(root.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "fp", "component_id")
+    return found.join(root.select("fp", "root").join(ids, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def keep_smallest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
+                  bits: int = BITS, segments: int = SEGMENTS) -> DataFrame:
+    """The rows of ``docs``, with their columns, that have their component's smallest id.  Where several texts
+    have that id the one with the smallest hash stays; rows that repeat id and text stay or go together.  A row
+    without an id stays only where its component has no id at all."""
+    def key(id_: Column) -> list[Column]:
+        return [id_.isNull(), F.coalesce(id_, F.lit(0))]
+
+    groups = near_duplicates(docs, id_col, text_col, shingle, bits, segments)
+    kept = groups.groupBy("root").agg(F.min(F.struct(*key(F.col("doc_id")), "h")).alias("k")) \
+                 .select(F.col("k.col1").alias("_none"), F.col("k.col2").alias("_id"), F.col("k.h").alias("_h"))
+    none, id_ = key(F.col(f"`{id_col}`").cast("bigint"))
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), none.alias("_none"), id_.alias("_id"),
+                      F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("_h"))
+    return own.join(kept, ["_none", "_id", "_h"], "left_semi").select("own.*")
 
 
 def hexadecimal(fp: Column) -> Column:
