@@ -7,8 +7,9 @@ read back as the next stage's docs.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from strideframe.llm import quality
+from strideframe.llm import bpe, decontamination, line_chunks, quality, simhash
 from strideframe.llm.store import documents, stage
 
 
@@ -17,10 +18,36 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated multi-line chunks go from the texts; a document that has lost all its words goes."""
+    kept = line_chunks.line_dedup(docs, counts=False)
+    return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long"))
 
-#: Fingerprints, content-defined chunks and token ids have no SQL form; tests/llm compares the
-#: pipeline with a brute-force version instead.
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id stays."""
+    return simhash.keep_smallest(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth of the words or more stand in benchmark windows go."""
+    return decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and ids of every remaining document."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontaminate", decontaminate),
+    ("encode", encode),
+]
+
+#: Fingerprints and token ids have no SQL form; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
