@@ -37,6 +37,13 @@ def vocabulary_size(name: str) -> int:
     return tokenizer(name).get_vocab_size(with_added_tokens=True)
 
 
+def byte_letters() -> dict[str, int]:
+    """The letter that byte-level BPE writes for each byte, and the byte."""
+    # fixed values: printable Latin-1 bytes stand for themselves, the others are U+0100 and so on
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
+
+
 def space_units(text: str) -> list[str]:
     """``text`` cut before single spaces; those spaces left out: the text is " ".join(units)."""
     return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")

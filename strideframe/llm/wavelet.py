@@ -14,7 +14,9 @@ null text is empty and gets the end id alone.  An empty table gives no shards.
 from __future__ import annotations
 
 import math
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from strideframe.llm import exchange
 from strideframe.llm.exchange import expand, pack, squeeze, unpack
 from strideframe.llm.store import texts
-from strideframe.llm.tokens import encode as library_encode, vocabulary_size
+from strideframe.llm.tokens import byte_letters, encode as library_encode, tokenizer, vocabulary_size
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -139,29 +141,39 @@ class WaveletMatrix:
                    [np.frombuffer(p, np.uint32) for p in parts[bits:]])
 
 
+#: Letters that its normalizer leaves alone but for their case, and byte-level writes letter by letter.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
 class _Ids(dict):
     """unit between spaces or line breaks -> its ids' bytes.
 
-    This tokenizer drops white space, so such units are encoded independently.  On a miss a unit is
-    first taken apart where the tokenizer does so anyway (a full stop or comma after an ASCII letter
-    at its end) and lower-cased where that is all its normalizer does (ASCII letters).
+    This tokenizer drops white space, so such units are encoded independently.  On a miss a full stop or
+    comma after plain letters is taken off, as the tokenizer does, plain letters are lower-cased and go
+    straight to the library's BPE model, and any other unit through the whole tokenizer.
     """
 
-    def __init__(self, vocabulary: str, limit: int = 300_000):
+    def __init__(self, vocabulary: str, limit: int = 800_000):
         super().__init__({"": b""})
         self.vocabulary, self.limit = vocabulary, limit
+        self.model = tokenizer(vocabulary).model
+        self.bytes = {b: c for c, b in byte_letters().items()}
 
     def __missing__(self, unit: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
             self[""] = b""
-        ascii_word = unit.isascii() and unit.isalpha()
-        if ascii_word and not unit.islower():
-            value = self[unit.lower()]
-        elif unit[-1] in ".," and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
+        if _PLAIN.fullmatch(unit):
+            low = unit.lower()
+            if low != unit:
+                value = self[low]
+            else:
+                text = low if low.isascii() else low.encode().decode("latin-1").translate(self.bytes)
+                value = array("I", [t.id for t in self.model.tokenize(text)]).tobytes()
+        elif unit[-1] in ".," and _PLAIN.fullmatch(unit, 0, len(unit) - 1):
             value = self[unit[:-1]] + self[unit[-1]]
         else:
-            value = np.array(library_encode(self.vocabulary, unit), "<u4").tobytes()
+            value = array("I", library_encode(self.vocabulary, unit)).tobytes()
         self[unit] = value
         return value
 
