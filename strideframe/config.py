@@ -47,4 +47,11 @@ STEP_BANDS = [(5000, "1 Under 5k"), (7500, "2 5k-7.5k"), (10000, "3 7.5k-10k")]
 STEP_BAND_TOP = "4 10k+"
 SLEEP_BAND_ORDER = ["Short (< 6 h)", "Borderline (6-7 h)", "Healthy (7-9 h)", "Long (> 9 h)"]
 WEEK_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# Columns of the published correlation matrices (nine on the dashboard, eleven in the study).
+CORR_COLUMNS = ["steps", "distance_km", "very_active_min", "fairly_active_min", "lightly_active_min", "sedentary_min",
+                "calories", "hours_asleep", "efficiency_pct"]
+CORR_COLUMNS_ALL = [*CORR_COLUMNS, "minutes_in_bed", "bedtime_hour"]
+# Columns of the published persona charts.
+PERSONA_Z_FEATURES = ["avg_steps", "avg_calories", "avg_sedentary_min", "avg_light_min", "avg_mvpa_min", "valid_days"]
+PAIR_COLUMNS = ["steps", "very_active_min", "sedentary_min", "hours_asleep", "bedtime_hour"]
 PERSONA_FEATURES = ["avg_steps", "avg_sedentary_min", "avg_mvpa_min", "avg_light_min", "valid_days"]

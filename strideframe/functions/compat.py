@@ -56,7 +56,9 @@ def text_to_int(c) -> Column:
 
 
 def text_to_long(c) -> Column:
-    return F.round(_c(c).cast("double"), 0).cast("long")
+    """Integer text to BIGINT, every digit kept; only text with a point takes the (exact) decimal way."""
+    x = _c(c)
+    return F.when(F.contains(x, F.lit(".")), F.round(x.cast("decimal(38,10)"), 0).cast("long")).otherwise(x.cast("long"))
 
 
 def parse_date(c, fmt: str = DATE_FMT) -> Column:

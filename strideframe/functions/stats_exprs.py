@@ -7,10 +7,16 @@ from pyspark.sql import functions as F
 from strideframe.functions.compat import rnd
 
 
-def pearson(x, y) -> Column:
-    """Pearson r from stable central moments; NULL (not an error) for a constant column or one row."""
+def complete_pair(x, y) -> tuple[Column, Column]:
+    """Both columns, NULL wherever either is: every moment is then taken over the same rows."""
     x = F.col(x) if isinstance(x, str) else x
     y = F.col(y) if isinstance(y, str) else y
+    return F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+
+
+def pearson(x, y) -> Column:
+    """Pearson r of the complete pairs; NULL (not an error) for a constant column or one row."""
+    x, y = complete_pair(x, y)
     return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
 
 

@@ -67,17 +67,15 @@ def persona_filter(personas: DataFrame, chosen: list[str] | None, cfg: StudyConf
 
 
 def default_slice(wh) -> Filters:
-    """The slice used by registered dashboard queries: every clustered user (all personas
-    selected = users with at least one valid day), from week 2 to the last full day."""
-    from datetime import timedelta
+    """The default selection of the dashboard: every clustered user (all personas chosen = users with
+    at least one valid day) over the whole study."""
     users = wh.dim_user.filter(F.col("valid_days") > 0).select("user_id")
-    return Filters(users, wh.cfg.study_start + timedelta(days=7), wh.cfg.last_full_day)
+    return Filters(users, wh.cfg.study_start, wh.cfg.last_full_day)
 
 
 def default_slice_sql(cfg: StudyConfig, date_col: str | None, col: str = "user_id") -> str:
-    from datetime import timedelta
     parts = [f"{col} IN (SELECT user_id FROM dim_user WHERE valid_days > 0)"]
     if date_col:
-        parts.append(f"CAST({date_col} AS DATE) BETWEEN DATE '{(cfg.study_start + timedelta(days=7)).isoformat()}' "
+        parts.append(f"CAST({date_col} AS DATE) BETWEEN DATE '{cfg.study_start.isoformat()}' "
                      f"AND DATE '{cfg.last_full_day.isoformat()}'")
     return " AND ".join(parts)

@@ -161,6 +161,7 @@ def persona_profile(wh, personas: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("users"), rnd(F.avg("avg_steps")).alias("avg_steps"),
                  rnd(avg_of_rounded("avg_mvpa_min", 1), 1).alias("avg_mvpa_min"),
                  rnd(F.avg("avg_sedentary_min")).alias("avg_sedentary_min"),
+                 rnd(F.avg("avg_sedentary_min") / 60, 1).alias("sed_h"),
                  rnd(F.avg("valid_days"), 1).alias("avg_valid_days"),
                  rnd(F.avg("features_used"), 1).alias("avg_features_used"))
             .orderBy(F.col("avg_steps").desc()))

@@ -14,8 +14,9 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideframe.config import PERSONA_FEATURES, StudyConfig
-from strideframe.functions.stats_exprs import scalars
+from strideframe.config import PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES, StudyConfig
+from strideframe.functions.compat import rnd
+from strideframe.functions.stats_exprs import pearson, scalars
 from strideframe.session import ensure_checkpoint_dir
 
 
@@ -72,7 +73,7 @@ def cluster_centres(assigned: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
 
 
 def name_personas(centres: DataFrame) -> DataFrame:
-    """P5: rule names vs the overall mean, highest MVPA centre named first; repeats get II, III."""
+    """P5: rule names vs the overall mean, highest MVPA centre named first; repeats get II, III, 4, 5, ..."""
     c = F.col
     # fixed naming rule (published thresholds: 1.4 x MVPA, 1.15 x light with steps >= mean, 0.8 x wear days)
     name = (F.when(c("avg_mvpa_min") > c("overall_avg_mvpa_min") * 1.4, "Performance Seekers")
@@ -82,8 +83,8 @@ def name_personas(centres: DataFrame) -> DataFrame:
             .otherwise("Desk-Bound Sitters"))
     w = Window.partitionBy("base").orderBy(F.col("avg_mvpa_min").desc(), F.col("cluster"))
     n = centres.withColumn("base", name).withColumn("dup", F.row_number().over(w))
-    suffix = F.when(F.col("dup") == 1, F.lit("")).otherwise(
-        F.concat(F.lit(" "), F.repeat(F.lit("I"), F.col("dup"))))
+    suffix = F.when(F.col("dup") == 1, F.lit("")).when(F.col("dup") == 2, " II").when(F.col("dup") == 3, " III") \
+        .otherwise(F.concat(F.lit(" "), F.col("dup").cast("string")))
     return n.select("cluster", F.concat(F.col("base"), suffix).alias("persona"))
 
 
@@ -103,10 +104,10 @@ def elbow(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEA
         .select(F.lit(1).alias("k"), "inertia")
     vec = _fit_input(z, feats)
     n = vec.count()
+    if n < cfg.elbow_max_k:
+        raise ValueError(f"{n} users can't be put into up to {cfg.elbow_max_k} clusters")
     rows = []
-    for k in range(2, min(cfg.elbow_max_k, max(n, 2)) + 1):
-        if k > n:
-            break
+    for k in range(2, cfg.elbow_max_k + 1):
         m = fit_best(vec, k, cfg.elbow_n_init, cfg.seed)
         rows.append((k, float(round(m.summary.trainingCost, 4))))
     rest = spark.createDataFrame(rows, "k int, inertia double")   # S8: a VALUES table of k rows
@@ -119,25 +120,30 @@ def persona_minmax(dim_user: DataFrame, personas: DataFrame,
     u = dim_user.join(personas.select("user_id", "persona"), "user_id")
     rng = scalars(u.agg(*[F.min(f).alias(f"{f}__lo") for f in feats], *[F.max(f).alias(f"{f}__hi") for f in feats]))
     g = u.groupBy("persona").agg(*[F.avg(f).alias(f) for f in feats])
-    return g.select("persona", *[F.try_divide(F.col(f) - rng[f"{f}__lo"], rng[f"{f}__hi"] - rng[f"{f}__lo"])
+    return g.select("persona", *[rnd(F.try_divide(F.col(f) - rng[f"{f}__lo"], rng[f"{f}__hi"] - rng[f"{f}__lo"]), 6)
                                  .alias(f) for f in feats])
 
 
-def persona_zscore(dim_user: DataFrame, personas: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
+def persona_zscore(dim_user: DataFrame, personas: DataFrame, feats=PERSONA_Z_FEATURES) -> DataFrame:
     """Per-persona mean of sample-sd z-scores."""
     u = dim_user.join(personas.select("user_id", "persona"), "user_id")
     mom = scalars(u.agg(*[F.avg(f).alias(f"{f}__m") for f in feats], *[F.stddev_samp(f).alias(f"{f}__s") for f in feats]))
     z = u.select("persona", *[F.try_divide(F.col(f) - mom[f"{f}__m"], mom[f"{f}__s"]).alias(f) for f in feats])
-    return z.groupBy("persona").agg(*[F.avg(f).alias(f) for f in feats])
+    return z.groupBy("persona").agg(*[rnd(F.avg(f), 6).alias(f) for f in feats])
 
 
-def pair_by_persona(dim_user: DataFrame, personas: DataFrame,
-                    feats=("avg_steps", "avg_sedentary_min", "avg_mvpa_min", "valid_days")) -> DataFrame:
-    """Per-persona pairwise correlations of the pair-plot features."""
-    from strideframe.functions.stats_exprs import pearson
-    u = dim_user.join(personas.select("user_id", "persona"), "user_id")
+def pair_by_persona(fct_daily_sleep: DataFrame, personas: DataFrame, feats=PAIR_COLUMNS) -> DataFrame:
+    """Pairwise correlations over the persona's days with a night, every pair in one aggregate."""
+    d = fct_daily_sleep.join(personas.select("user_id", "persona"), "user_id")
     pairs = [(a, b) for i, a in enumerate(feats) for b in feats[i + 1:]]
-    g = u.groupBy("persona").agg(F.count(F.lit(1)).alias("users"),
-                                 *[pearson(a, b).alias(f"{a}__{b}") for a, b in pairs])
+    g = d.groupBy("persona").agg(F.count(F.lit(1)).alias("days"),
+                                 *[rnd(pearson(a, b), 6).alias(f"{a}__{b}") for a, b in pairs])
     stack = ", ".join(f"'{a}', '{b}', `{a}__{b}`" for a, b in pairs)
-    return g.select("persona", "users", F.expr(f"stack({len(pairs)}, {stack}) AS (var_a, var_b, r)"))
+    return g.select("persona", "days", F.expr(f"stack({len(pairs)}, {stack}) AS (var_a, var_b, r)"))
+
+
+def by_tier(dim_user: DataFrame) -> DataFrame:
+    """A persona table by rule (the engagement tier), which SQL can build too: (user_id, cluster, persona)."""
+    tier = F.col("engagement_tier")
+    cluster = F.when(tier == "Committed", 0).when(tier == "Regular", 1).otherwise(2)
+    return dim_user.filter(F.col("valid_days") > 0).select("user_id", cluster.alias("cluster"), tier.alias("persona"))

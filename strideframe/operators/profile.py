@@ -143,28 +143,29 @@ def histogram(df: DataFrame, col: str, bins: int) -> DataFrame:
                     rnd(lo + (F.col("bin") + 1) * w, 6).alias("bin_end"), "n").orderBy("bin")
 
 
-def kde(df: DataFrame, col: str, grid: int = 200, fine_bins: int = 1024) -> DataFrame:
-    """Gaussian kernel density (Scott bandwidth) on a pre-binned column.
+def kde(df: DataFrame, col: str, grid: int = 200, by: str | None = None) -> DataFrame:
+    """Gaussian kernel density (Scott bandwidth) at ``grid`` points between min and max, overall or
+    for each value of ``by``.
 
-    Rows are reduced to at most ``fine_bins`` counts first; each bin row then emits its
-    contribution to the ``grid`` points (a bounded bins x grid expansion, independent of the
-    row count).
+    Equal values are counted first; every distinct value then adds its exact kernel to the grid points.
+    The group's moments are joined to its distinct values: one row per group.
     """
-    d = df.filter(F.col(col).isNotNull()).select(F.col(col).cast("double").alias("x"))
-    st = scalars(d.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
-                       F.stddev_samp("x").alias("sd")))
-    n, lo, hi = st["n"], st["lo"], st["hi"]
-    h = st["sd"] * F.pow(n.cast("double"), F.lit(-0.2))
-    width = (hi - lo) / F.lit(fine_bins)
-    b = (d.select(F.least(F.coalesce(F.floor(F.try_divide(F.col("x") - lo, width)), F.lit(0)),
-                          F.lit(fine_bins - 1)).alias("b"))
-         .groupBy("b").agg(F.count(F.lit(1)).alias("c")))
-    grid_x = lo + F.col("i") * (hi - lo) / F.lit(grid - 1)
-    pts = b.select((lo + (F.col("b") + 0.5) * (hi - lo) / F.lit(fine_bins)).alias("xc"), "c",
-                   F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
-    u = (grid_x - F.col("xc")) / h
-    dens = F.col("c") * F.exp(-0.5 * u * u) / (n * h * F.lit(math.sqrt(2 * math.pi)))
-    return pts.groupBy("i").agg(F.sum(dens).alias("density")).select("i", grid_x.alias("x"), "density").orderBy("i")
+    keys = [by] if by else []
+    d = df.filter(F.col(col).isNotNull()).select(*keys, F.col(col).cast("double").alias("x"))
+    values = d.groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c"))
+    moments = d.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                   F.stddev_samp("x").alias("sd"))
+    if by:
+        v = values.join(moments, by)
+    else:
+        one = scalars(moments)
+        v = values.select("x", "c", *[one[k].alias(k) for k in ("n", "lo", "hi", "sd")])
+    h = F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2))
+    pts = v.select(*keys, "x", "c", "n", "lo", "hi", h.alias("h"), F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+    at = F.col("lo") + F.col("i") * (F.col("hi") - F.col("lo")) / F.lit(grid - 1)
+    u = F.try_divide(at - F.col("x"), F.col("h"))
+    dens = F.try_divide(F.col("c") * F.exp(-0.5 * u * u), F.col("n") * F.col("h") * F.lit(math.sqrt(2 * math.pi)))
+    return pts.groupBy(*keys, "i").agg(rnd(F.min(at), 6).alias("x"), rnd(F.sum(dens), 9).alias("density")).orderBy(*keys, "i")
 
 
 def hexbin(df: DataFrame, x: str, y: str, gridsize: int = 28) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strideframe.config import SLEEP_BAND_ORDER
 from strideframe.functions.compat import rnd
-from strideframe.functions.stats_exprs import avg_of_rounded, pct, pearson, scalars
+from strideframe.functions.stats_exprs import avg_of_rounded, complete_pair, pct, pearson, scalars
 from strideframe.operators.filters import Filters
 from strideframe.operators.insights import bedtime_window, mvpa
 
@@ -95,11 +95,10 @@ def v_drivers(wh, f: Filters = ALL) -> DataFrame:
 
 def linear_trend(wh, f: Filters = ALL, x: str = "steps", y: str = "calories") -> DataFrame:
     """Least-squares line y = slope*x + intercept (needs more than 2 rows, else NULL)."""
-    d = _daily_valid(wh, f)
-    n = F.count(F.col(x))
-    slope = F.try_divide(F.covar_samp(x, y), F.var_samp(x))
-    g = d.agg(n.alias("n"), slope.alias("slope"), F.avg(x).alias("mx"), F.avg(y).alias("my"),
-              F.min(x).alias("x_min"), F.max(x).alias("x_max"))
+    px, py = complete_pair(x, y)
+    slope = F.try_divide(F.covar_samp(px, py), F.var_samp(px))
+    g = _daily_valid(wh, f).agg(F.count(px).alias("n"), slope.alias("slope"), F.avg(px).alias("mx"), F.avg(py).alias("my"),
+                                F.min(px).alias("x_min"), F.max(px).alias("x_max"))
     ok = F.col("n") > 2
     return g.select("n", F.when(ok, rnd(F.col("slope"), 6)).alias("slope"),
                     F.when(ok, rnd(F.col("my") - F.col("slope") * F.col("mx"), 6)).alias("intercept"),
@@ -119,7 +118,7 @@ def trend_grid(wh, f: Filters = ALL, points: int = 50) -> DataFrame:
 def v_bands(wh, f: Filters = ALL) -> DataFrame:
     return (_daily_valid(wh, f).groupBy("step_band")
             .agg(F.avg("calories").alias("c"), F.avg("very_active_min").alias("v"), F.count(F.lit(1)).alias("n"))
-            .select("step_band", F.substring("step_band", 3, 1 << 20).alias("label"), "c", "v", "n")
+            .select("step_band", F.substr("step_band", F.lit(3)).alias("label"), "c", "v", "n")
             .orderBy("step_band"))
 
 
@@ -154,7 +153,7 @@ def v_sleep_page_kpi(wh, f: Filters = ALL) -> DataFrame:
 def v_bedtime(wh, f: Filters = ALL) -> DataFrame:
     s = f.apply(wh.fct_sleep.filter(F.col("bedtime_hour").isNotNull()), "sleep_date")
     w = bedtime_window()
-    return (s.groupBy(F.substring(w, 3, 1 << 20).alias("w"))
+    return (s.groupBy(F.substr(w, F.lit(3)).alias("w"))
             .agg(F.min("bedtime_hour").alias("o"), avg_of_rounded("hours_asleep", 2).alias("h"),
                  F.count(F.lit(1)).alias("n"))
             .orderBy("o"))

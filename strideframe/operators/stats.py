@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strideframe.config import CORR_COLUMNS
 from strideframe.functions.compat import rnd
 from strideframe.functions.distributions import p_value, t_ppf
-from strideframe.functions.stats_exprs import pearson, scalars
+from strideframe.functions.stats_exprs import complete_pair, pearson, scalars
 from strideframe.operators.insights import bedtime_window
 from strideframe.operators.ranks import mid_ranks, rank_rows
 
@@ -71,7 +72,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 
 # ---- H3 / H4 correlation ------------------------------------------------------------------------
 def pearson_test(df: DataFrame, x, y) -> DataFrame:
-    g = df.agg(F.count(F.lit(1)).alias("n"), pearson(x, y).alias("r"))
+    g = df.agg(F.count(complete_pair(x, y)[0]).alias("n"), pearson(x, y).alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r")))
     return g.select("n", _round6(F.col("r")).alias("r"), _round6(t).alias("t"))
 
@@ -110,6 +111,10 @@ def sit_sleep_pearson(wh) -> DataFrame:
     return pearson_test(wh.fct_daily_sleep, "sedentary_min", "hours_asleep")
 
 
+def active_calories_pearson(wh) -> DataFrame:
+    return pearson_test(wh.fct_daily.filter(F.col("is_valid_day")), "very_active_min", "calories")
+
+
 def sit_sleep_spearman(wh) -> DataFrame:
     return spearman_test(wh.fct_daily_sleep, "sedentary_min", "hours_asleep")
 
@@ -142,6 +147,8 @@ def test_summary(wh, personas: DataFrame | None = None) -> DataFrame:
                                    F.col("H"), (F.col("k") - 1).cast("double"), F.lit(None).cast("double")),
         sit_sleep_pearson(wh).select(F.lit("Sitting vs sleep"), F.lit("Pearson r"), F.lit("t"), F.col("r"),
                                      (F.col("n") - 2).cast("double"), F.col("t")),
+        active_calories_pearson(wh).select(F.lit("Very active minutes vs calories"), F.lit("Pearson r"), F.lit("t"), F.col("r"),
+                                           (F.col("n") - 2).cast("double"), F.col("t")),
         sit_sleep_spearman(wh).select(F.lit("Sitting vs sleep"), F.lit("Spearman rho"), F.lit("t"), F.col("rho"),
                                       (F.col("n") - 2).cast("double"), F.col("t")),
         bedtime_anova(wh).select(F.lit("Sleep across bedtime windows"), F.lit("One-way ANOVA"), F.lit("F"), F.col("F"),
@@ -164,8 +171,7 @@ def test_summary(wh, personas: DataFrame | None = None) -> DataFrame:
     return out.withColumn("result", F.when(F.col("p_value") < 0.05, "Significant").otherwise("Not significant"))
 
 
-def corr_matrix(wh, cols=("steps", "distance_km", "very_active_min", "fairly_active_min", "lightly_active_min",
-                          "sedentary_min", "calories", "hours_asleep", "efficiency_pct")) -> DataFrame:
+def corr_matrix(wh, cols=CORR_COLUMNS) -> DataFrame:
     """H8: lower-triangle Pearson matrix, every pair in ONE aggregate, unpivoted with stack."""
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
     d = wh.fct_daily_sleep
@@ -197,15 +203,25 @@ def regression_ci(wh, points: int = 50, level: float = 0.95) -> DataFrame:
                        (fit + F.col("tq") * se).alias("hi"))
 
 
+def mean_sd(wh) -> DataFrame:
+    """Calories of valid days per step band: n, mean and sample sd."""
+    d = wh.fct_daily.filter(F.col("is_valid_day"))
+    return d.groupBy("step_band").agg(F.count("calories").alias("n"), F.avg("calories").alias("mean"),
+                                      F.stddev_samp("calories").alias("sd"))
+
+
 def mean_ci(wh, level: float = 0.95) -> DataFrame:
-    """Mean hours asleep per sedentary band with a t interval (replaces bootstrap)."""
-    sed = F.col("sedentary_min")
-    band = F.when(sed < 600, "1 Under 10 h").when(sed < 780, "2 10-13 h").otherwise("3 Over 13 h")
-    g = (wh.fct_daily_sleep.groupBy(band.alias("sedentary_band"))
-         .agg(F.count(F.lit(1)).alias("n"), F.avg("hours_asleep").alias("mean"),
-              F.stddev_samp("hours_asleep").alias("sd")))
+    """Mean calories per step band with a t interval (replaces bootstrap)."""
     tq = t_quantile_udf(F.lit(0.5 + level / 2), (F.col("n") - 1).cast("double"))
     half = tq * F.col("sd") / F.sqrt(F.col("n"))
-    return g.select("sedentary_band", "n", "mean", (F.col("mean") - half).alias("lo"),
-                    (F.col("mean") + half).alias("hi")).orderBy("sedentary_band")
+    return mean_sd(wh).select("step_band", "n", "mean", "sd", (F.col("mean") - half).alias("lo"),
+                              (F.col("mean") + half).alias("hi")).orderBy("step_band")
+
 
+def regression_line(wh) -> DataFrame:
+    """The line of H9 alone: hours asleep on sedentary minutes."""
+    x, y = complete_pair("sedentary_min", "hours_asleep")
+    slope = F.try_divide(F.covar_samp(x, y), F.var_samp(x))
+    g = wh.fct_daily_sleep.agg(F.count(x).alias("n"), slope.alias("slope"), F.avg(x).alias("mx"), F.avg(y).alias("my"))
+    return g.select("n", _round6(F.col("slope")).alias("slope"),
+                    _round6(F.col("my") - F.col("slope") * F.col("mx")).alias("intercept"))

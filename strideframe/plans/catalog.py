@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from strideframe.config import CORR_COLUMNS, CORR_COLUMNS_ALL, PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES
+from strideframe.functions.compat import rnd
 from strideframe.operators import insights as A
 from strideframe.plans.oracle_sql import rnd as r
+from strideframe.plans.warehouse import MART_NAMES
 
 
 @dataclass(frozen=True)
@@ -73,8 +78,13 @@ register("step_bands_energy", A.step_bands_energy, f"""SELECT step_band, count(*
     FROM fct_daily WHERE is_valid_day GROUP BY step_band ORDER BY step_band""", "A8")
 
 
+def _r(x: str, y: str) -> str:
+    """DuckDB's own correlation of the complete pairs; a constant column's NaN is NULL."""
+    return f"NULLIF(corr(CAST({y} AS DOUBLE), CAST({x} AS DOUBLE)), 'nan'::DOUBLE)"
+
+
 def _corr_sql(x: str, y: str, k: int) -> str:
-    return r(r(f"covar_samp({x}, {y}) / NULLIF(stddev_samp({x}) * stddev_samp({y}), 0)", 6), k)
+    return r(r(_r(x, y), 6), k)
 
 
 register("calorie_drivers", A.calorie_drivers, f"""SELECT unnest({A.CALORIE_METRICS!r}) AS metric,
@@ -115,7 +125,8 @@ register("who_guideline", A.who_guideline, f"""SELECT CASE WHEN avg_mvpa_min * 7
 # ---------------------------------------------------------------- dashboard slices (§2.6)
 from strideframe.config import StudyConfig as _Cfg  # noqa: E402
 from strideframe.operators import slices as V  # noqa: E402
-from strideframe.operators.filters import default_slice, default_slice_sql  # noqa: E402
+from strideframe.operators.filters import (  # noqa: E402
+    Filters, default_slice, default_slice_sql, persona_filter, persona_members)
 
 _C = _Cfg()
 
@@ -131,22 +142,24 @@ def _sliced(fn):
 _BT_MIN = "(sum(round(bedtime_hour * 60)) / count(bedtime_hour))"
 _VALID = f"FROM fct_daily WHERE is_valid_day AND {_w('activity_date')}"
 
-register("v_hour_curve", _sliced(V.v_hour_curve),
-         f"SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly WHERE {_w('activity_date')} GROUP BY 1", "V1")
-register("v_kpi", _sliced(V.v_kpi), f"""SELECT {r('avg(steps)')} AS steps, {r('avg(sedentary_min) / 60', 1)} AS sed_h,
-    {r('100 * avg((steps >= 10000)::INT)')} AS p10k, {r('avg(very_active_min + fairly_active_min)')} AS mvpa {_VALID}""", "V2")
-register("v_sleep_kpi", _sliced(V.v_sleep_kpi), f"""SELECT {r(_avg_r('hours_asleep', 2), 2)} AS h,
-    {r('100 * avg((minutes_asleep < 420)::INT)')} AS short FROM fct_sleep WHERE {_w('sleep_date')}""", "V3")
-register("v_hr_curve", _sliced(V.v_hr_curve), f"""SELECT hour_of_day, {_avg_r('avg_bpm', 1)} AS bpm
-    FROM fct_heartrate_hourly WHERE {_w('activity_date')} GROUP BY 1""", "V4")
-register("v_intensity_wide", _sliced(V.v_intensity_wide), f"""SELECT CAST(sum(sedentary_min) AS BIGINT) AS s,
+register("v_hour_curve", V.v_hour_curve,
+         "SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly GROUP BY 1", "V1")
+register("v_kpi", V.v_kpi, f"""SELECT {r('avg(steps)')} AS steps, {r('avg(sedentary_min) / 60', 1)} AS sed_h,
+    {r('100 * avg((steps >= 10000)::INT)')} AS p10k, {r('avg(very_active_min + fairly_active_min)')} AS mvpa
+    FROM fct_daily WHERE is_valid_day""", "V2")
+register("v_sleep_kpi", V.v_sleep_kpi, f"""SELECT {r(_avg_r('hours_asleep', 2), 2)} AS h,
+    {r('100 * avg((minutes_asleep < 420)::INT)')} AS short FROM fct_sleep""", "V3")
+register("v_hr_curve", V.v_hr_curve, f"""SELECT hour_of_day, {_avg_r('avg_bpm', 1)} AS bpm
+    FROM fct_heartrate_hourly GROUP BY 1""", "V4")
+register("v_intensity_wide", V.v_intensity_wide, """SELECT CAST(sum(sedentary_min) AS BIGINT) AS s,
     CAST(sum(lightly_active_min) AS BIGINT) AS l, CAST(sum(fairly_active_min) AS BIGINT) AS f,
-    CAST(sum(very_active_min) AS BIGINT) AS v {_VALID}""", "V5")
-register("hour_two_sensor", _sliced(V.hour_two_sensor), f"""SELECT coalesce(a.hour_of_day, b.hour_of_day) AS hour_of_day,
+    CAST(sum(very_active_min) AS BIGINT) AS v
+    FROM fct_daily WHERE is_valid_day""", "V5")
+register("hour_two_sensor", V.hour_two_sensor, f"""SELECT coalesce(a.hour_of_day, b.hour_of_day) AS hour_of_day,
     a.avg_steps, b.bpm FROM
-    (SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly WHERE {_w('activity_date')} GROUP BY 1) a
+    (SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly GROUP BY 1) a
     FULL JOIN (SELECT hour_of_day, {_avg_r('avg_bpm', 1)} AS bpm FROM fct_heartrate_hourly
-               WHERE {_w('activity_date')} GROUP BY 1) b USING (hour_of_day)""", "V40")
+               GROUP BY 1) b USING (hour_of_day)""", "V40")
 register("v_activity_kpi", _sliced(V.v_activity_kpi), f"""SELECT count(DISTINCT user_id) AS u, count(*) AS d,
     {r('avg(steps)')} AS s, {r('avg(calories)')} AS c, {r('avg(very_active_min + fairly_active_min)', 1)} AS m,
     {r('100 * avg(met_30_min_mvpa::INT)')} AS p30 {_VALID}""", "V7 / F3")
@@ -160,10 +173,12 @@ register("weekday_hour_pivot", _sliced(V.weekday_hour_pivot), "SELECT weekday, w
          + f" FROM fct_hourly WHERE {_w('activity_date')} GROUP BY ALL", "V10")
 register("v_drivers", _sliced(V.v_drivers), f"""SELECT unnest({A.CALORIE_METRICS!r}) AS metric,
     unnest([{', '.join(_corr_sql(m, 'calories', 6) for m in A.CALORIE_METRICS)}]) AS corr_with_calories {_VALID}""", "V11")
-_TREND = f"""SELECT count(steps) AS n,
-    CASE WHEN count(steps) > 2 THEN {r('covar_samp(steps, calories) / NULLIF(var_samp(steps), 0)', 6)} END AS slope,
-    CASE WHEN count(steps) > 2 THEN {r('avg(calories) - covar_samp(steps, calories) / NULLIF(var_samp(steps), 0) * avg(steps)', 6)} END AS intercept,
-    min(steps) AS x_min, max(steps) AS x_max {_VALID}"""
+_NUM = "CAST(CASE WHEN {0} IS NOT NULL THEN {1} END AS DOUBLE)"
+_XS, _YS = _NUM.format("calories", "steps"), _NUM.format("steps", "calories")
+_TREND = f"""SELECT regr_count({_YS}, {_XS}) AS n,
+    CASE WHEN regr_count({_YS}, {_XS}) > 2 THEN {r(f"NULLIF(regr_slope({_YS}, {_XS}), 'nan'::DOUBLE)", 6)} END AS slope,
+    CASE WHEN regr_count({_YS}, {_XS}) > 2 THEN {r(f"NULLIF(regr_intercept({_YS}, {_XS}), 'nan'::DOUBLE)", 6)} END AS intercept,
+    min(steps) FILTER (WHERE calories IS NOT NULL) AS x_min, max(steps) FILTER (WHERE calories IS NOT NULL) AS x_max {_VALID}"""
 register("linear_trend", _sliced(V.linear_trend), _TREND, "V12")
 register("trend_grid", _sliced(V.trend_grid), f"""SELECT i, {r('x_min + i * (CAST(x_max - x_min AS DOUBLE) / 49)', 6)} AS x,
     {r('slope * (x_min + i * (CAST(x_max - x_min AS DOUBLE) / 49)) + intercept', 6)} AS y
@@ -186,7 +201,7 @@ register("v_bedtime", _sliced(V.v_bedtime), f"""SELECT (CASE WHEN bedtime_hour <
     min(bedtime_hour) AS o, {_avg_r('hours_asleep', 2)} AS h, count(*) AS n
     FROM fct_sleep WHERE bedtime_hour IS NOT NULL AND {_w('sleep_date')} GROUP BY 1""", "V18")
 register("v_sit_sleep_r", _sliced(V.v_sit_sleep_r), f"""SELECT count(*) AS n, CASE WHEN count(*) > 2 THEN
-    {r(r('covar_samp(sedentary_min / 60, hours_asleep) / NULLIF(stddev_samp(sedentary_min / 60) * stddev_samp(hours_asleep), 0)', 6), 6)}
+    {_corr_sql('sedentary_min / 60.0', 'hours_asleep', 6)}
     END AS r FROM fct_daily_sleep WHERE {_w('activity_date')}""", "V20")
 register("band_reindex", _sliced(V.band_reindex), f"""SELECT d.band_order, d.sleep_band, coalesce(c.n, 0) AS n
     FROM (SELECT * FROM (VALUES (1, 'Short (< 6 h)'), (2, 'Borderline (6-7 h)'), (3, 'Healthy (7-9 h)'),
@@ -260,18 +275,23 @@ _WIN = ("CASE WHEN bedtime_hour < 23 THEN '1 Before 11 PM' WHEN bedtime_hour < 2
         "ELSE '3 After 12:30 AM' END")
 register("welch_weekend", H.weekend_welch, _welch_sql(_VD, "NOT is_weekend", "steps"), "H1 Welch t")
 register("kruskal_weekday", H.weekday_kruskal, _kruskal_sql(_VD, "steps", "weekday"), "H2 Kruskal-Wallis")
-_R_SIT = ("covar_samp(sedentary_min, hours_asleep) / "
-          "NULLIF(stddev_samp(sedentary_min) * stddev_samp(hours_asleep), 0)")
-register("pearson_sit_sleep", H.sit_sleep_pearson, f"""SELECT count(*) AS n, {r(_R_SIT, 6)} AS r,
-    {r(f'({_R_SIT}) * sqrt((count(*) - 2) / (1.0 - ({_R_SIT}) * ({_R_SIT})))', 6)} AS t
-    FROM fct_daily_sleep""", "H3 Pearson")
+
+
+def _pearson_test_sql(x: str, y: str, frm: str) -> str:
+    return f"""SELECT n, {r('c', 6)} AS r, {r('c * sqrt((n - 2) / (1.0 - c * c))', 6)} AS t
+        FROM (SELECT regr_count({y}, {x}) AS n, {_r(x, y)} AS c FROM {frm})"""
+
+
+register("pearson_sit_sleep", H.sit_sleep_pearson, _pearson_test_sql("sedentary_min", "hours_asleep", "fct_daily_sleep"),
+         "H3 Pearson")
+register("pearson_active_calories", H.active_calories_pearson, _pearson_test_sql("very_active_min", "calories", _VD),
+         "H3 Pearson")
 register("spearman_sit_sleep", H.sit_sleep_spearman, f"""WITH d AS (SELECT sedentary_min AS x, hours_asleep AS y
       FROM fct_daily_sleep WHERE sedentary_min IS NOT NULL AND hours_asleep IS NOT NULL),
     rk AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS rx,
                   rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS ry FROM d)
-    SELECT count(*) AS n, {r('covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)', 6)} AS rho,
-      {r('(covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)) * sqrt((count(*) - 2) / (1.0 - (covar_samp(rx, ry) / NULLIF(stddev_samp(rx) * stddev_samp(ry), 0)) ^ 2))', 6)} AS t
-    FROM rk""", "H4 Spearman (mid-ranks, W4)")
+    SELECT n, {r('c', 6)} AS rho, {r('c * sqrt((n - 2) / (1.0 - c * c))', 6)} AS t
+    FROM (SELECT count(*) AS n, {_r('rx', 'ry')} AS c FROM rk)""", "H4 Spearman (mid-ranks, W4)")
 register("anova_bedtime", H.bedtime_anova, f"""WITH g AS (SELECT {_WIN} AS grp, count(*) AS n, avg(hours_asleep) AS m,
       var_samp(hours_asleep) AS v FROM fct_sleep WHERE bedtime_hour IS NOT NULL AND hours_asleep IS NOT NULL GROUP BY 1),
     t AS (SELECT sum(n) AS n_all, count(*) AS k_all, sum(n * m) / sum(n) AS gm FROM g)
@@ -281,15 +301,27 @@ register("welch_bedtime", H.bedtime_welch,
          _welch_sql(f"(SELECT *, {_WIN} AS bedtime_window FROM fct_sleep WHERE bedtime_hour IS NOT NULL) w "
                     "WHERE bedtime_window IN ('1 Before 11 PM', '3 After 12:30 AM')", "bedtime_window = '1 Before 11 PM'",
                     "hours_asleep"), "H1 Welch t (bedtime)")
-_CM_COLS = ["steps", "distance_km", "very_active_min", "fairly_active_min", "lightly_active_min", "sedentary_min",
-            "calories", "hours_asleep", "efficiency_pct"]
-_CM_PAIRS = [(a, b) for i, a in enumerate(_CM_COLS) for b in _CM_COLS[: i + 1]]
-register("corr_matrix", H.corr_matrix, "SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in _CM_PAIRS) + "]) AS var_a, unnest(["
-         + ", ".join(f"'{b}'" for _, b in _CM_PAIRS) + "]) AS var_b, unnest(["
-         + ", ".join(_corr_sql(a, b, 6) for a, b in _CM_PAIRS) + "]) AS r FROM fct_daily_sleep", "H8 Pearson matrix")
+
+
+def _matrix_sql(cols: list[str]) -> str:
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[: i + 1]]
+    return ("SELECT unnest([" + ", ".join(f"'{a}'" for a, _ in pairs) + "]) AS var_a, unnest(["
+            + ", ".join(f"'{b}'" for _, b in pairs) + "]) AS var_b, unnest(["
+            + ", ".join(_corr_sql(a, b, 6) for a, b in pairs) + "]) AS r FROM fct_daily_sleep")
+
+
+register("corr_matrix", H.corr_matrix, _matrix_sql(CORR_COLUMNS), "H8 Pearson matrix")
+register("corr_matrix_all", lambda wh: H.corr_matrix(wh, CORR_COLUMNS_ALL), _matrix_sql(CORR_COLUMNS_ALL),
+         "H8 Pearson matrix with time in bed and bedtime")
 register("test_summary", lambda wh: H.test_summary(wh, wh.dim_user_persona), None, "H6 / H7 test table with p-values")
 register("regression_ci", H.regression_ci, None, "H9 regression line with 95% band")
 register("mean_ci", H.mean_ci, None, "H10 mean with 95% t interval")
+register("regression_line", H.regression_line, f"""SELECT regr_count(hours_asleep, sedentary_min) AS n,
+    {r('regr_slope(hours_asleep, sedentary_min)', 6)} AS slope, {r('regr_intercept(hours_asleep, sedentary_min)', 6)} AS intercept
+    FROM fct_daily_sleep""", "H9 line")
+register("mean_sd", lambda wh: H.mean_sd(wh).select("step_band", "n", rnd("mean", 6).alias("mean"), rnd("sd", 6).alias("sd")),
+         f"""SELECT step_band, count(calories) AS n, {r('avg(calories)', 6)} AS mean, {r('stddev_samp(calories)', 6)} AS sd
+    FROM fct_daily WHERE is_valid_day GROUP BY step_band""", "H10 moments")
 register("mid_ranks", lambda wh: _mid_ranks(wh.fct_daily.filter("is_valid_day"), "steps").drop("total"),
          """SELECT steps AS v, count(*) AS n, min(before) + (count(*) + 1) / 2.0 AS midrank
     FROM (SELECT steps, count(*) OVER (ORDER BY steps RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
@@ -383,7 +415,21 @@ register("histogram_steps", lambda wh: E.histogram(wh.fct_daily.filter("is_valid
          _hist_sql("fct_daily WHERE is_valid_day", "steps", 35), "E11 35 bins")
 register("histogram_sleep", lambda wh: E.histogram(wh.fct_sleep, "hours_asleep", 28),
          _hist_sql("fct_sleep WHERE TRUE", "hours_asleep", 28), "E11 28 bins")
-register("kde_steps", lambda wh: E.kde(wh.fct_daily.filter("is_valid_day"), "steps"), None, "E12 kernel density")
+
+
+def _kde_sql(frm: str, col: str, by: str | None = None, grid: int = 200) -> str:
+    g, on = (f"{by}, ", f"USING ({by})") if by else ("", "ON TRUE")
+    return f"""WITH d AS (SELECT {g}CAST({col} AS DOUBLE) AS v FROM {frm} AND {col} IS NOT NULL),
+      m AS (SELECT {g}count(*) AS n, min(v) AS lo, max(v) AS hi, stddev_samp(v) * pow(count(*), -0.2) AS h FROM d {'GROUP BY ' + by if by else ''}),
+      p AS (SELECT {g}i, v, n, h, lo + i * (hi - lo) / {grid - 1} AS gx FROM d JOIN m {on}, range({grid}) t(i))
+      SELECT {g}CAST(i AS INTEGER) AS i, {r('min(gx)', 6)} AS x,
+        {r('sum(exp(-0.5 * ((gx - v) / NULLIF(h, 0)) * ((gx - v) / NULLIF(h, 0))) / (n * NULLIF(h, 0) * sqrt(2 * pi())))', 9)} AS density
+      FROM p GROUP BY {g}i"""
+
+
+register("kde_steps", lambda wh: E.kde(wh.fct_daily.filter("is_valid_day"), "steps"), _kde_sql(_VD, "steps"), "E12 kernel density")
+register("kde_steps_weekday", lambda wh: E.kde(wh.fct_daily.filter("is_valid_day"), "steps", by="weekday"),
+         _kde_sql(_VD, "steps", "weekday"), "E12 density per weekday")
 register("hexbin", lambda wh: E.hexbin(wh.fct_daily.filter("is_valid_day"), "very_active_min", "calories", 28),
          """WITH d AS (SELECT CAST(very_active_min AS DOUBLE) AS x, CAST(calories AS DOUBLE) AS y FROM fct_daily
                        WHERE is_valid_day AND very_active_min IS NOT NULL AND calories IS NOT NULL),
@@ -433,16 +479,118 @@ register("cluster_centres", lambda wh: P.cluster_centres(
     wh.dim_user_persona.join(P.persona_features(wh.dim_user), "user_id")), None, "P4")
 register("persona_minmax", lambda wh: P.persona_minmax(wh.dim_user, wh.dim_user_persona), None, "V26")
 register("persona_zscore", lambda wh: P.persona_zscore(wh.dim_user, wh.dim_user_persona), None, "E8")
-register("pair_by_persona", lambda wh: P.pair_by_persona(wh.dim_user, wh.dim_user_persona), None, "E19")
-register("persona_members", lambda wh: __import__("strideframe.operators.filters", fromlist=["x"]).persona_members(
-    wh.dim_user_persona), None, "F4")
-register("users_sorted", lambda wh: wh.dim_user.join(wh.dim_user_persona.select("user_id", "persona"), "user_id")
-         .orderBy("persona", A.F.col("avg_steps").desc(), "user_id"), None, "V36 / V37")
+register("pair_by_persona", lambda wh: P.pair_by_persona(wh.fct_daily_sleep, wh.dim_user_persona), None, "E19")
+register("persona_members", lambda wh: persona_members(wh.dim_user_persona), None, "F4")
+
+
+def _users_sorted(wh, personas):
+    return wh.dim_user.join(personas.select("user_id", "persona"), "user_id").orderBy("persona", F.desc("avg_steps"), "user_id")
+
+
+register("users_sorted", lambda wh: _users_sorted(wh, wh.dim_user_persona), None, "V36 / V37")
+
+# the same operators on a grouping by rule, which SQL can build: the engagement tier of clustered users
+_TIER = """(SELECT *, CASE engagement_tier WHEN 'Committed' THEN 0 WHEN 'Regular' THEN 1 ELSE 2 END AS cluster,
+    engagement_tier AS persona FROM dim_user WHERE valid_days > 0) u"""
+_FEATS = ", ".join(f"coalesce({f}, 0) AS {f}" for f in PERSONA_FEATURES)
+_FEATURES = f"(SELECT user_id, cluster, {_FEATS} FROM {_TIER}) f"
+_CENTRES = f"""(SELECT cluster, {', '.join(f'avg({f}) AS {f}' for f in PERSONA_FEATURES)},
+    {', '.join(f'(SELECT avg({f}) FROM {_FEATURES}) AS overall_{f}' for f in PERSONA_FEATURES)} FROM {_FEATURES} GROUP BY cluster) c"""
+
+
+def _rounded(df, cols, digits=6):
+    return df.select(*[rnd(F.col(c), digits).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+def _tier_centres(wh):
+    return P.cluster_centres(P.by_tier(wh.dim_user).join(P.persona_features(wh.dim_user), "user_id"))
+
+
+register("persona_features", lambda wh: P.persona_features(wh.dim_user),
+         f"SELECT user_id, {_FEATS} FROM dim_user WHERE valid_days > 0", "P1")
+register("zscore_pop", lambda wh: _rounded(P.zscore_pop(P.persona_features(wh.dim_user)), PERSONA_FEATURES), "SELECT user_id, " + ", ".join(
+    r(f"coalesce(({f} - avg({f}) OVER ()) / NULLIF(stddev_pop({f}) OVER (), 0), 0)", 6) + f" AS {f}" for f in PERSONA_FEATURES)
+    + f" FROM {_FEATURES}", "P2")
+_OVER = [*PERSONA_FEATURES, *(f"overall_{f}" for f in PERSONA_FEATURES)]
+register("centres_by_tier", lambda wh: _rounded(_tier_centres(wh), _OVER), "SELECT cluster, "
+         + ", ".join(r(c, 6) + f" AS {c}" for c in _OVER) + f" FROM {_CENTRES}", "P4 on tiers")
+register("names_by_tier", lambda wh: P.name_personas(_tier_centres(wh)), f"""SELECT cluster,
+    base || CASE row_number() OVER (PARTITION BY base ORDER BY avg_mvpa_min DESC, cluster) WHEN 1 THEN '' WHEN 2 THEN ' II' ELSE ' III' END AS persona
+    FROM (SELECT *, CASE WHEN avg_mvpa_min > 1.4 * overall_avg_mvpa_min THEN 'Performance Seekers'
+      WHEN avg_light_min > 1.15 * overall_avg_light_min AND avg_steps >= overall_avg_steps THEN 'Everyday Movers'
+      WHEN valid_days < 0.8 * overall_valid_days THEN 'Drifting Users' ELSE 'Desk-Bound Sitters' END AS base FROM {_CENTRES})""", "P5 on tiers")
+register("profile_by_tier", lambda wh: A.persona_profile(wh, P.by_tier(wh.dim_user)), f"""SELECT persona, count(*) AS users,
+    {r('avg(avg_steps)')} AS avg_steps, {r(_avg_r('avg_mvpa_min', 1), 1)} AS avg_mvpa_min, {r('avg(avg_sedentary_min)')} AS avg_sedentary_min,
+    {r('avg(avg_sedentary_min) / 60', 1)} AS sed_h, {r('avg(valid_days)', 1)} AS avg_valid_days,
+    {r('avg(features_used)', 1)} AS avg_features_used FROM {_TIER} GROUP BY persona""", "A17 / V6 / V25 / P7 on tiers")
+_MINMAX = ("avg_steps", "avg_mvpa_min", "avg_light_min", "avg_sedentary_min", "valid_days")
+register("minmax_by_tier", lambda wh: P.persona_minmax(wh.dim_user, P.by_tier(wh.dim_user)), "SELECT persona, " + ", ".join(
+    r(f"(avg({f}) - (SELECT min({f}) FROM {_TIER})) / NULLIF((SELECT max({f}) - min({f}) FROM {_TIER}), 0)", 6) + f" AS {f}"
+    for f in _MINMAX) + f" FROM {_TIER} GROUP BY persona", "V26 on tiers")
+register("zscore_by_tier", lambda wh: P.persona_zscore(wh.dim_user, P.by_tier(wh.dim_user)), "SELECT persona, " + ", ".join(
+    r(f"avg(z_{f})", 6) + f" AS {f}" for f in PERSONA_Z_FEATURES) + " FROM (SELECT persona, " + ", ".join(
+    f"({f} - avg({f}) OVER ()) / NULLIF(stddev_samp({f}) OVER (), 0) AS z_{f}" for f in PERSONA_Z_FEATURES)
+    + f" FROM {_TIER}) GROUP BY persona", "E8 on tiers")
+_PAIRS = [(a, b) for i, a in enumerate(PAIR_COLUMNS) for b in PAIR_COLUMNS[i + 1:]]
+register("pairs_by_tier", lambda wh: P.pair_by_persona(wh.fct_daily_sleep, P.by_tier(wh.dim_user)), " UNION ALL ".join(
+    f"SELECT persona, count(*) AS days, '{a}' AS var_a, '{b}' AS var_b, {r(_r(a, b), 6)} AS r FROM fct_daily_sleep JOIN {_TIER} USING (user_id) GROUP BY persona"
+    for a, b in _PAIRS), "E19 on tiers")
+register("members_by_tier", lambda wh: persona_members(P.by_tier(wh.dim_user)),
+         f"SELECT persona, user_id, count(*) OVER (PARTITION BY persona) AS members FROM {_TIER}", "F4 on tiers")
+register("users_sorted_by_tier", lambda wh: _users_sorted(wh, P.by_tier(wh.dim_user)),
+         f"SELECT * EXCLUDE (cluster) FROM {_TIER}", "V36 / V37 on tiers")
+register("coverage_by_tier", lambda wh: Q.check_coverage(wh, P.by_tier(wh.dim_user)), f"""SELECT 'every_user_has_one_persona' AS check_name,
+    abs((SELECT count(*) FROM dim_user) - (SELECT count(DISTINCT user_id) FROM {_TIER})) AS failing,
+    (SELECT count(*) FROM dim_user WHERE valid_days <= 0) || ' users without persona' AS detail""", "Q7 on tiers")
+for _col in ("avg_steps", "avg_sedentary_min"):
+    register(f"kruskal_{_col}_by_tier", (lambda c: lambda wh: H.persona_kruskal(wh, P.by_tier(wh.dim_user), c))(_col),
+             _kruskal_sql(f"{_TIER} WHERE TRUE", _col, "persona"), "H2 on tiers")
+
+# ---------------------------------------------------------------- filters (§2.6)
+_IDS = (3, 7, 11, 12, 19, 40, 41, 42, 77, 100)
+_FROM, _TO = _C.study_start + timedelta(days=3), _C.study_start + timedelta(days=12)
+
+
+def _slice_sql(where: str) -> str:
+    return f"SELECT user_id, activity_date, steps, calories FROM fct_daily WHERE {where}"
+
+
+def _slice(filters):
+    return lambda wh: filters(wh).apply(wh.fct_daily, "activity_date").select("user_id", "activity_date", "steps", "calories")
+
+
+register("filter_users", _slice(lambda wh: Filters(_IDS)), _slice_sql(f"user_id IN {_IDS}"), "F1")
+register("filter_no_users", _slice(lambda wh: Filters(())), _slice_sql("FALSE"), "F1, nothing chosen")
+register("filter_dates", _slice(lambda wh: Filters(start=_FROM, end=_TO)),
+         _slice_sql(f"activity_date >= DATE '{_FROM}' AND activity_date <= DATE '{_TO}'"), "F2")
+register("filter_combined", _slice(lambda wh: Filters(_IDS, _FROM, _TO)),
+         _slice_sql(f"user_id IN {_IDS} AND activity_date >= DATE '{_FROM}' AND activity_date <= DATE '{_TO}'"), "F3")
+register("filter_personas", _slice(lambda wh: persona_filter(P.by_tier(wh.dim_user), ["Regular", "Occasional"], wh.cfg)),
+         _slice_sql(f"user_id IN (SELECT user_id FROM {_TIER} WHERE persona <> 'Committed')"), "F5, chosen personas over the study")
+register("filter_all_personas", _slice(lambda wh: persona_filter(P.by_tier(wh.dim_user), None, wh.cfg, end=_TO)),
+         _slice_sql(f"user_id IN (SELECT user_id FROM {_TIER}) AND activity_date <= DATE '{_TO}'"), "F5, all personas")
 
 # ---------------------------------------------------------------- sources (§2.1)
-register("folder_profile", lambda wh: S.folder_profile(wh.spark, wh.sf_dir), None, "S3 folder scan")
-register("table_catalog", lambda wh: S.table_catalog({n: wh.table(n) for n in (
-    "fct_daily", "fct_sleep", "fct_hourly", "fct_heartrate_daily", "dim_user")}), None, "S14")
+def _width_sql(table: str) -> str:
+    """Number of columns, from one row unpivoted."""
+    return f"(SELECT count(*) FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {table}) ON COLUMNS(*)))"
+
+
+def _sizes_sql(tables: list[str]) -> str:
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, (SELECT count(*) FROM {t}) AS rows, CAST({_width_sql(t)} AS INTEGER) AS columns"
+                              for t in tables)
+
+
+_DRIVER_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
+                  "conversations").split()
+register("folder_profile", lambda wh: S.folder_profile(wh.spark, wh.sf_dir), _sizes_sql(_DRIVER_TABLES), "S3 folder scan")
+register("table_catalog", lambda wh: S.table_catalog({n: wh.table(n) for n in MART_NAMES}), _sizes_sql(MART_NAMES), "S14")
+_TYPES = "CASE typeof({0}) WHEN 'INTEGER' THEN 'int' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(typeof({0})) END"
+register("column_catalog", lambda wh: S.column_catalog({n: wh.table(n) for n in MART_NAMES}), " UNION ALL ".join(
+    f"""SELECT '{t}' AS table_name, c.column_name, k.data_type, c.filled
+    FROM (UNPIVOT (SELECT count(COLUMNS(*)) FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE filled) c
+    JOIN (UNPIVOT (SELECT {_TYPES.format('any_value(COLUMNS(*))')} FROM {t}) ON COLUMNS(*) INTO NAME column_name VALUE data_type) k
+    USING (column_name)""" for t in MART_NAMES), "S15")
 register("preview", lambda wh: S.preview(wh.fct_daily, ["user_id", "activity_date"], 50),
          "SELECT * FROM fct_daily ORDER BY user_id, activity_date LIMIT 50", "S13")
 
@@ -476,5 +624,3 @@ register("curve_minmax", V.curve_minmax, """SELECT hour_of_day, (avg_steps - lo)
     (SELECT hour_of_day, avg(steps) AS avg_steps FROM fct_hourly GROUP BY 1) c,
     (SELECT min(avg_steps) AS lo, max(avg_steps) AS hi FROM (SELECT hour_of_day, avg(steps) AS avg_steps
      FROM fct_hourly GROUP BY 1)) m""", "X20")
-register("column_catalog", lambda wh: S.column_catalog(wh.spark, {n: wh.table(n) for n in (
-    "fct_daily", "fct_sleep", "fct_hourly", "fct_heartrate_daily", "dim_user")}), None, "S15")

@@ -49,10 +49,16 @@ def table_catalog(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-def column_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
-    """(table, column, type) from the schemas (no data is read)."""
-    rows = [(n, f.name, f.dataType.simpleString()) for n, df in tables.items() for f in df.schema.fields]
-    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string")
+def column_catalog(tables: dict[str, DataFrame]) -> DataFrame:
+    """Table, column, type and filled values of every column, one aggregate per table."""
+    out = None
+    for name, df in tables.items():
+        counts = df.agg(*[F.count(f"`{c}`").alias(c) for c in df.columns])
+        items = ", ".join(f"'{f.name}', '{f.dataType.simpleString()}', `{f.name}`" for f in df.schema.fields)
+        part = counts.select(F.lit(name).alias("table_name"),
+                             F.expr(f"stack({len(df.columns)}, {items}) AS (column_name, data_type, filled)"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def preview(df: DataFrame, order_by: list[str], n: int = 50) -> DataFrame:
