@@ -23,6 +23,27 @@ from strideframe.sources.landing import RawSources
 MART_NAMES = ["fct_daily", "fct_sleep_sessions", "fct_sleep", "fct_hourly", "fct_heartrate_hourly",
               "fct_heartrate_daily", "fct_daily_sleep", "dim_user", "cln_weight", "dq_log",
               "dq_reconciliation"]
+# the persona model's tables, fitted once per build
+MODEL_NAMES = ["dim_user_persona", "model_elbow"]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def _point(spark: SparkSession, path: str, build_id: str) -> None:
+    """Let ``path/CURRENT`` name the build: written beside, then renamed over the old one in one step."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    new, current = (jvm.org.apache.hadoop.fs.Path(os.path.join(path, n)) for n in (f"CURRENT-{build_id}", "CURRENT"))
+    out = new.getFileSystem(conf).create(new)
+    out.write(bytearray(build_id.encode()))
+    out.close()
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = spark.sparkContext._gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    new = new.getFileSystem(conf).makeQualified(new)
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), conf).rename(new, current, options)
 
 
 class Warehouse:
@@ -47,7 +68,8 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, path: str, cfg: StudyConfig | None = None) -> "Warehouse":
-        tables = {n: spark.read.parquet(os.path.join(path, n)) for n in MART_NAMES}
+        names = MART_NAMES + [n for n in MODEL_NAMES if _exists(spark, os.path.join(path, n))]
+        tables = {n: spark.read.parquet(os.path.join(path, n)) for n in names}
         return cls(spark, None, cfg, tables)
 
     def _t(self, name: str, build):
@@ -119,29 +141,45 @@ class Warehouse:
         from strideframe.operators.personas import dim_user_persona
         return dim_user_persona(self.dim_user, self.cfg).cache()
 
+    @cached_property
+    def model_elbow(self) -> DataFrame:
+        """Inertia for 1 to 8 clusters (fits the models when first used)."""
+        if "model_elbow" in self._tables:
+            return self._tables["model_elbow"]
+        from strideframe.operators.personas import elbow
+        return elbow(self.dim_user, self.cfg)
+
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
 
     # ---- S5 / S11: build aside, then switch ------------------------------------------------
     # build order: every mart is written, then read back, before the marts that use it
     BUILD_ORDER = ["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
-                   "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log"]
+                   "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log", *MODEL_NAMES]
     BUILD_WAVES = [["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
                     "cln_weight", "dq_reconciliation", "dq_log"],
                    ["fct_sleep"],
-                   ["fct_daily_sleep", "dim_user"]]
+                   ["fct_daily_sleep", "dim_user"],
+                   MODEL_NAMES]
     BUILD_THREADS = 8
     DATE_PARTITIONED = {"fct_daily": "activity_date", "fct_hourly": "activity_date",
-                        "fct_heartrate_hourly": "activity_date", "fct_heartrate_daily": "activity_date"}
+                        "fct_heartrate_hourly": "activity_date", "fct_heartrate_daily": "activity_date",
+                        "fct_sleep": "sleep_date", "fct_daily_sleep": "activity_date"}
+
+    def materialize(self, path: str, names: list[str] | None = None, force: bool = False,
+                    models: bool = True) -> "Warehouse":
+        """Write the cleaned layer, the marts and the persona model as parquet under ``path/<build-id>``.
 
-    def materialize(self, path: str, names: list[str] | None = None) -> "Warehouse":
-        """Write the cleaned layer and the marts as parquet under ``path/<build-id>``.
+        A current build is kept and returned unless ``force``.  A build of some tables only (``names``, or
+        without ``models``) is returned, but never becomes the current one while it lacks marts.
 
         The cleaned tables are written first and read back, which cuts the lineage (the
         exploded minute-level sleep table is computed once), and each mart is built from
         already-written inputs.  A failed build leaves only an orphan ``<build-id>`` folder;
         readers keep the previous build because the ``CURRENT`` pointer is written last.
         """
+        if names is None and not force and _exists(self.spark, os.path.join(path, "CURRENT")):
+            return Warehouse.current(self.spark, path, self.cfg)
         build_id = uuid.uuid4().hex[:12]
         base = os.path.join(path, build_id)
         spark = self.spark
@@ -150,7 +188,8 @@ class Warehouse:
         def write_read(name: str, df: DataFrame, part: str | None = None) -> DataFrame:
             w = df.write.mode("overwrite")
             if part:
-                w = w.partitionBy(part)
+                # one date's rows meet in one task (adaptive execution splits large dates): few files per date
+                w = df.hint("rebalance", part).write.mode("overwrite").partitionBy(part)
             loc = os.path.join(base, name)
             t0 = time.perf_counter()
             w.parquet(loc)
@@ -169,7 +208,7 @@ class Warehouse:
         with ThreadPoolExecutor(max_workers=self.BUILD_THREADS) as pool:
             futs = {k: pool.submit(write_read, f"cleaned/{k}", df) for k, df in cleaned_parts.items()}
             stage.__dict__["cleaned"] = cleaning.Cleaned(**{k: f.result() for k, f in futs.items()})
-            wanted = set(names or MART_NAMES)
+            wanted = set(names or MART_NAMES + MODEL_NAMES * models)
             todo = [n for n in self.BUILD_ORDER if n in wanted or any(self._needs(m, n) for m in wanted)]
             for wave in self.BUILD_WAVES:
                 batch = [n for n in wave if n in todo]
@@ -177,15 +216,16 @@ class Warehouse:
                 futs = {n: pool.submit(write_read, n, frames[n], self.DATE_PARTITIONED.get(n)) for n in batch}
                 for n, f in futs.items():
                     stage.__dict__[n] = f.result()
-        spark.createDataFrame([(build_id,)], "build_id string").coalesce(1) \
-            .write.mode("overwrite").text(os.path.join(path, "CURRENT"))
-        written = {n: stage.__dict__[n] for n in MART_NAMES if n in stage.__dict__}
+        written = {n: stage.__dict__[n] for n in MART_NAMES + MODEL_NAMES if n in todo}
+        if set(MART_NAMES) <= set(written):
+            _point(spark, path, build_id)
         return Warehouse(spark, None, self.cfg, written)
 
     @staticmethod
     def _needs(mart: str, dep: str) -> bool:
         deps = {"fct_sleep": {"fct_sleep_sessions"}, "fct_daily_sleep": {"fct_daily", "fct_sleep", "fct_sleep_sessions"},
                 "dim_user": {"fct_daily", "fct_sleep", "fct_sleep_sessions", "fct_heartrate_daily", "cln_weight"}}
+        deps |= {n: deps["dim_user"] | {"dim_user"} for n in MODEL_NAMES}
         return dep in deps.get(mart, set())
 
     @classmethod

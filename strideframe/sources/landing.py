@@ -191,12 +191,10 @@ def derive_landing(events: DataFrame, cfg: StudyConfig) -> RawSources:
                    (F.col("user_id") * F.lit(1000) + F.datediff(
                        (F.col("ts") - F.expr(f"INTERVAL {cfg.bedtime_wrap_hour} HOURS")).cast("date"),
                        F.lit(cfg.study_start)) + F.lit(1)).cast("long").alias("log_id")))
-    # The explode multiplies rows ~100x: spread the (small) segment rows round-robin over all
-    # cores first, so the expansion is not stuck in the scan's few partitions.  Round-robin,
-    # not by user: one user may own a large share of the rows.
-    spark = events.sparkSession
-    fan_out = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    minute_sleep = (seg.repartition(fan_out).select("user_id", "state", "log_id",
+    # The explode multiplies rows ~100x: rebalance the (small) segment rows first, so that the expansion
+    # is not stuck in the scan's few partitions and adaptive execution chooses how many there are.  Not by
+    # user: one user may own a large share of the rows.
+    minute_sleep = (seg.hint("rebalance").select("user_id", "state", "log_id",
                                F.explode(F.sequence(F.lit(0), F.col("n") - F.lit(1))).alias("i"), "start")
                     .select(_txt(F.col("user_id")).alias("Id"),
                             F.date_format(F.timestamp_add("MINUTE", F.col("i"), F.col("start")), TS_FMT)

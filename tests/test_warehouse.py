@@ -77,7 +77,7 @@ def test_hourly_and_heart(wh):
     hr = {r.activity_date.day: r for r in wh.fct_heartrate_daily.collect()}
     assert hr[14].resting_bpm_est == 60.3 and hr[13].resting_bpm_est == 75.0
     assert hr[12].resting_bpm_est == 39.5 and hr[12].readings == 2
-    assert 12 not in {r.activity_date.month for r in wh.fct_heartrate_daily.collect()} or True
+    assert {r.activity_date.month for r in wh.fct_heartrate_daily.collect()} == {4}
 
 
 def test_dim_user(wh):
@@ -108,11 +108,39 @@ def test_same_night_other_values_is_caught(spark, wh):
 
 
 def test_materialize_and_switch(wh, tmp_path):
-    built = wh.materialize(str(tmp_path / "wh"))
+    path = str(tmp_path / "wh")
+    built = wh.materialize(path, models=False)      # two users are too few for the persona model
     assert built.fct_daily.count() == wh.fct_daily.count()
-    again = Warehouse.current(wh.spark, str(tmp_path / "wh"), wh.cfg)
+    again = Warehouse.current(wh.spark, path, wh.cfg)
     assert sorted(again.dim_user.columns) == sorted(wh.dim_user.columns)
 
+    def pointer():
+        return (tmp_path / "wh" / "CURRENT").read_text()
+
+    first = pointer()
+    assert wh.materialize(path).fct_sleep.count() == wh.fct_sleep.count() and pointer() == first   # kept
+    some = wh.materialize(path, names=["fct_daily"])
+    assert some.fct_daily.count() == wh.fct_daily.count() and pointer() == first   # a part never becomes current
+    wh.materialize(path, force=True, models=False)
+    assert pointer() != first
+    assert Warehouse.current(wh.spark, path, wh.cfg).dim_user.count() == 2
+
+
+def test_model_tables_are_stored(spark, tmp_path):
+    lazy = Warehouse.from_driver(spark, "/root/testdata/sf0.001")
+    built = Warehouse.current(spark, lazy.materialize(str(tmp_path / "wh")) and str(tmp_path / "wh"))
+    personas = built.dim_user_persona
+    assert "KMeans" not in personas._jdf.queryExecution().toString()
+    assert personas.count() == personas.select("user_id").distinct().count() > 0
+    elbow = [r.inertia for r in built.model_elbow.orderBy("k").collect()]
+    assert len(elbow) == 8 and elbow == sorted(elbow, reverse=True)
+
+
+def test_elbow_needs_enough_users(wh):
+    from strideframe.operators.personas import elbow
+    with pytest.raises(ValueError, match="clusters"):
+        elbow(wh.dim_user, wh.cfg)
+
 
 def test_landing_folder_roundtrip(spark, tmp_path):
     """Landing parquet files are read with an all-text schema; a missing input fails fast."""
