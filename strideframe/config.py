@@ -47,6 +47,16 @@ STEP_BANDS = [(5000, "1 Under 5k"), (7500, "2 5k-7.5k"), (10000, "3 7.5k-10k")]
 STEP_BAND_TOP = "4 10k+"
 SLEEP_BAND_ORDER = ["Short (< 6 h)", "Borderline (6-7 h)", "Healthy (7-9 h)", "Long (> 9 h)"]
 WEEK_ORDER = ["Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday"]
+# The published audit steps (step, rule, table, note).
+AUDIT_STEPS = [
+    ("01", "R5 partial last day removed", "daily_activity", "Export ended part-way through {cutoff}"),
+    ("02", "R2 wear-time flag", "daily_activity", "Days with 0 steps or < 10 h tracked are flagged invalid"),
+    ("03", "R1 duplicates removed", "sleep_day", "Exact duplicate nights removed"),
+    ("04", "R1 duplicates removed", "minute_sleep", "Exact duplicate minutes removed"),
+    ("05", "R5 partial last day removed", "hourly", "Steps, calories and intensity joined into one table"),
+    ("06", "R3 impossible bpm removed", "heartrate", "Readings outside 30-220 bpm and the partial last day dropped"),
+    ("07", "R4 Fat column dropped", "weight", "{missing} of {rows} Fat values were missing"),
+]
 # Columns of the published correlation matrices (nine on the dashboard, eleven in the study).
 CORR_COLUMNS = ["steps", "distance_km", "very_active_min", "fairly_active_min", "lightly_active_min", "sedentary_min",
                 "calories", "hours_asleep", "efficiency_pct"]

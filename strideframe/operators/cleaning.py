@@ -9,18 +9,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from strideframe.config import StudyConfig
+from strideframe.config import AUDIT_STEPS, StudyConfig
 from strideframe.operators.staging import Staged
 
-DQ_SCHEMA = T.StructType([
-    T.StructField("step", T.StringType()), T.StructField("rule", T.StringType()),
-    T.StructField("table_name", T.StringType()), T.StructField("rows_before", T.LongType()),
-    T.StructField("rows_after", T.LongType()), T.StructField("note", T.StringType()),
-])
-
-
 def _before_cut(c, cfg: StudyConfig):
     return c < F.lit(cfg.cutoff)
 
@@ -60,12 +52,6 @@ def clean_weight(stg: DataFrame) -> DataFrame:
     return stg.select("user_id", "log_date", "weight_kg", "bmi", "is_manual")
 
 
-def _row(step, rule, table, before, after, note) -> list:
-    return [F.lit(step).alias("step"), F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
-            before.cast("long").alias("rows_before"), after.cast("long").alias("rows_after"),
-            (note if not isinstance(note, str) else F.lit(note)).alias("note")]
-
-
 def dq_log(stg: Staged, cln: "Cleaned", cfg: StudyConfig) -> DataFrame:
     """Seven audit rows, one per rule application."""
     cut = F.lit(cfg.cutoff)
@@ -82,26 +68,17 @@ def dq_log(stg: Staged, cln: "Cleaned", cfg: StudyConfig) -> DataFrame:
         F.count(F.lit(1)).alias("b"),
         F.count_if(F.col("bpm").between(cfg.bpm_low, cfg.bpm_high) & (F.col("ts").cast("date") < cut)).alias("a"))
     w = stg.weight.agg(F.count(F.lit(1)).alias("b"), F.count_if(F.col("fat_pct").isNull()).alias("nul"))
-    rows = [
-        d.select(*_row("01", "R5 partial last day removed", "daily_activity", F.col("b"), F.col("a"),
-                       f"Export ended part-way through {cfg.cutoff.isoformat()}")),
-        valid.select(*_row("02", "R2 wear-time flag", "daily_activity", F.col("b"), F.col("a"),
-                           "Days with 0 steps or < 10 h tracked are flagged invalid")),
-        sd_b.select(*_row("03", "R1 duplicates removed", "sleep_day", F.col("b"), sd_a,
-                          "Exact duplicate nights removed")),
-        ms_b.select(*_row("04", "R1 duplicates removed", "minute_sleep", F.col("b"), ms_a,
-                          "Exact duplicate minutes removed")),
-        hr.select(*_row("05", "R5 partial last day removed", "hourly", F.col("b"), F.col("a"),
-                        "Steps, calories and intensity joined into one table")),
-        hb.select(*_row("06", "R3 impossible bpm removed", "heartrate", F.col("b"), F.col("a"),
-                        "Readings outside 30-220 bpm and the partial last day dropped")),
-        w.select(*_row("07", "R4 Fat column dropped", "weight", F.col("b"), F.col("b"),
-                       F.concat(F.col("nul").cast("string"), F.lit(" of "), F.col("b").cast("string"),
-                                F.lit(" Fat values were missing")))),
-    ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
+    # (rows before, rows after) of each audit step, in order
+    counts = [(d, "b", "a"), (valid, "b", "a"), (sd_b, "b", sd_a), (ms_b, "b", ms_a), (hr, "b", "a"), (hb, "b", "a"), (w, "b", "b")]
+    out = None
+    for (step, rule, table, note), (frame, before, after) in zip(AUDIT_STEPS, counts):
+        text = F.lit(note.replace("{cutoff}", cfg.cutoff.isoformat()))
+        if "{missing}" in note:
+            text = F.replace(F.replace(text, F.lit("{missing}"), F.col("nul").cast("string")), F.lit("{rows}"), F.col("b").cast("string"))
+        row = frame.select(F.lit(step).alias("step"), F.lit(rule).alias("rule"), F.lit(table).alias("table_name"),
+                           F.col(before).cast("long").alias("rows_before"),
+                           (F.col(after) if isinstance(after, str) else after).cast("long").alias("rows_after"), text.alias("note"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
