@@ -90,7 +90,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with repeated chunks removed from the text; with ``counts``, the columns COUNTS (long) behind
     their own, in place of any so named."""
     own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
-    rows = _keyed(docs, id_col, text_col, [own]).join(repeated(docs, id_col, text_col, mean), ["k1", "k2"], "left")
+    rows = _keyed(docs, id_col, text_col, [own]).drop("text").join(repeated(docs, id_col, text_col, mean), ["k1", "k2"], "left") \
+        .withColumn("text", F.col(f"own.`{text_col}`").cast("string"))
     gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
 
     def rest(cs: Column) -> Column:
