@@ -73,7 +73,7 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
 # ---- H3 / H4 correlation ------------------------------------------------------------------------
 def pearson_test(df: DataFrame, x, y) -> DataFrame:
     g = df.agg(F.count(complete_pair(x, y)[0]).alias("n"), pearson(x, y).alias("r"))
-    t = F.col("r") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("r") * F.col("r")))
+    t = F.col("r") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("r") * F.col("r")))
     return g.select("n", _round6(F.col("r")).alias("r"), _round6(t).alias("t"))
 
 
@@ -81,7 +81,7 @@ def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
     d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
     d = rank_rows(rank_rows(d, x, "rx"), y, "ry")
     g = d.agg(F.count(F.lit(1)).alias("n"), pearson("rx", "ry").alias("rho"))
-    t = F.col("rho") * F.sqrt((F.col("n") - 2) / (F.lit(1.0) - F.col("rho") * F.col("rho")))
+    t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("rho") * F.col("rho")))
     return g.select("n", _round6(F.col("rho")).alias("rho"), _round6(t).alias("t"))
 
 

@@ -66,3 +66,59 @@ def test_pearson_constant_is_null(spark):
     assert df.agg(pearson("x", "y")).first()[0] is None        # T14
     one_row = spark.createDataFrame([(1.0, 2.0)], "x double, y double")
     assert one_row.agg(pearson("x", "y")).first()[0] is None
+
+
+def test_ids_keep_every_digit(spark):
+    """Integer text goes straight to BIGINT: ids above 2**53 stay apart; a decimal point takes the exact way."""
+    from strideframe.functions.compat import text_to_long
+    rows = ["9007199254740993", "9007199254740992", "-3", "12.0", "7.6", None]
+    df = spark.createDataFrame([(x,) for x in rows], "x string")
+    assert [r[0] for r in df.select(text_to_long("x")).collect()] == [9007199254740993, 9007199254740992, -3, 12, 8, None]
+
+
+def test_correlation_and_trend_use_complete_pairs(spark):
+    from types import SimpleNamespace
+
+    from strideframe.functions.stats_exprs import pearson
+    from strideframe.operators.slices import linear_trend
+    from strideframe.operators.stats import pearson_test
+    rows = [(1, 1, True), (2, 2, True), (3, 3, True), (10, None, True), (None, 40, True)]
+    df = spark.createDataFrame(rows, "steps int, calories int, is_valid_day boolean")
+    assert df.agg(pearson("steps", "calories")).first()[0] == 1.0
+    assert pearson_test(df, "steps", "calories").first()["n"] == 3
+    t = linear_trend(SimpleNamespace(fct_daily=df)).first()
+    assert (t.n, t.slope, t.intercept, t.x_min, t.x_max) == (3, 1.0, 0.0, 1, 3)
+    assert spark.createDataFrame([(1, 1), (1, 2)], "x int, y int").agg(pearson("x", "y")).first()[0] is None
+
+
+def test_a_fourth_equal_name_is_numbered(spark):
+    from strideframe.config import PERSONA_FEATURES
+    from strideframe.operators.personas import name_personas
+    cols = [*PERSONA_FEATURES, *(f"overall_{f}" for f in PERSONA_FEATURES)]
+    rows = [(k, *[1.0] * len(cols)) for k in range(4)]
+    names = name_personas(spark.createDataFrame(rows, ["cluster", *cols]))
+    assert sorted(r.persona for r in names.collect()) == [f"Desk-Bound Sitters{s}" for s in ("", " 4", " II", " III")]
+
+
+def test_csv_export_and_damaged_file(spark, tmp_path):
+    from strideframe.sources.catalog import export_csv, scan_folder
+    df = spark.createDataFrame([(1, "a,b"), (2, None)], "n int, t string")
+    export_csv(df, str(tmp_path / "out"))
+    assert {tuple(r) for r in spark.read.option("header", True).schema("n int, t string").csv(str(tmp_path / "out")).collect()} == {(1, "a,b"), (2, None)}
+    df.write.parquet(str(tmp_path / "in" / "good.parquet"))
+    (tmp_path / "in" / "bad.parquet").write_bytes(b"no parquet")
+    said = []
+    assert set(scan_folder(spark, str(tmp_path / "in"), said.append)) == {"good"} and "bad.parquet" in said[0]
+
+
+def test_checkpoint_folder_rule(spark):
+    from types import SimpleNamespace
+
+    import pytest as pt
+
+    from strideframe.session import ensure_checkpoint_dir
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(getCheckpointDir=lambda: None, master="yarn"))
+    with pt.raises(RuntimeError, match="spark.checkpoint.dir"):
+        ensure_checkpoint_dir(cluster)
+    cluster.sparkContext.getCheckpointDir = lambda: "hdfs:///shared/x"
+    assert ensure_checkpoint_dir(cluster) == "hdfs:///shared/x"
