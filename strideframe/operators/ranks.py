@@ -3,9 +3,9 @@
 Pipeline for a column ``v`` (optionally within groups ``by``):
 
 1. value counts  ``(by, v) -> n``  (map-side partial aggregation; a hot value is one row).
-2. a bucket per distinct value from ``percentile_approx`` cut points (a one-row aggregate read
-   as a scalar subquery, so nothing goes through the driver and nothing is joined).  The bucket is a deterministic function
-   of the value, so it is monotone in ``v``.
+2. a bucket per distinct value from ``percentile_approx`` cut points of its group (without groups a
+   one-row aggregate read as a scalar subquery, else one row per group, joined).  The bucket is a deterministic
+   function of the value, so it is monotone in ``v``; there are as many as shuffle partitions.
 3. running counts inside each (by, bucket) window partition, bucket totals with a running
    offset over the small (by, bucket) table, joined back.
 
@@ -18,16 +18,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BUCKETS = 256
 
-
-def value_counts_cum(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def value_counts_cum(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(by..., v, n, before, total) for every distinct non-null value."""
     by = list(by)
+    buckets = max(2, buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     v = F.col(col)
     vc = df.filter(v.isNotNull()).groupBy(*by, v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = vc.agg(F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), 10000)).scalar()
+    points = F.percentile_approx("v", F.array(*[F.lit(p) for p in probs]), max(10_000, 10 * buckets))
+    if by:
+        vc, cuts = vc.join(vc.groupBy(*by).agg(points.alias("cuts")), by), F.col("cuts")
+    else:
+        cuts = vc.agg(points).scalar()
     # bucket = number of cut points below v = 0-based position of v's first copy among cuts + [v]
     # (sort_array, not a lambda: subqueries cannot appear inside higher-order functions)
     with_v = F.sort_array(F.concat(cuts, F.array(F.col("v").cast(vc.schema["v"].dataType))))
@@ -43,7 +46,7 @@ def value_counts_cum(df: DataFrame, col: str, by: Sequence[str] = (), buckets: i
     return out.select(*by, "v", "n", (F.col("offset") + F.col("within")).alias("before"), "total")
 
 
-def mid_ranks(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def mid_ranks(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """(by..., v, n, midrank) — tied values share the mean of their positions (1-based)."""
     c = value_counts_cum(df, col, by, buckets)
     return c.select(*by, "v", "n", (F.col("before") + (F.col("n") + F.lit(1)) / F.lit(2.0)).alias("midrank"),
@@ -51,7 +54,7 @@ def mid_ranks(df: DataFrame, col: str, by: Sequence[str] = (), buckets: int = DE
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+                    buckets: int | None = None) -> DataFrame:
     """Linear-interpolation quantiles (position (N-1)p), exact, one row per (by..., p).
 
     Each distinct value row checks a small per-group target array (the 0-based positions it
@@ -65,14 +68,15 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     c = c.select(*by, "v", "n", "before", F.col("t.p").alias("p"), F.col("t.pi").alias("pi"),
                  F.floor(h).cast("long").alias("k_lo"), F.ceil(h).cast("long").alias("k_hi"),
                  (h - F.floor(h)).alias("frac"))
-    covers = lambda k: (F.col(k) >= F.col("before")) & (F.col(k) < F.col("before") + F.col("n"))
-    lo = c.filter(covers("k_lo")).select(*by, "p", "pi", "frac", F.col("v").alias("lo"))
-    hi = c.filter(covers("k_hi")).select(*by, "pi", F.col("v").alias("hi"))
-    q = lo.join(hi, [*by, "pi"])
+    def covering(k: str):
+        return F.max(F.when((F.col(k) >= F.col("before")) & (F.col(k) < F.col("before") + F.col("n")), F.col("v")))
+
+    # the values at both positions, from one aggregate
+    q = c.groupBy(*by, "p", "pi").agg(covering("k_lo").alias("lo"), covering("k_hi").alias("hi"), F.max("frac").alias("frac"))
     return q.select(*by, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("q"))
 
 
-def rank_rows(df: DataFrame, col: str, out: str = "rank", buckets: int = DEFAULT_BUCKETS) -> DataFrame:
+def rank_rows(df: DataFrame, col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """Attach the pooled mid-rank of ``col`` to every row (many-to-one join on the value;
     AQE's skew-join split handles a value that holds a large share of the rows)."""
     r = mid_ranks(df, col, (), buckets).select(F.col("v").alias(col), F.col("midrank").alias(out))

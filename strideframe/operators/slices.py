@@ -257,7 +257,7 @@ def top_k_least_sleep(wh, k: int = 10) -> DataFrame:
             .orderBy(F.col("avg_sleep_h").asc_nulls_last(), F.col("user_id")).limit(k))
 
 
-
+# The published comparison's metrics.
 PERCENTILE_METRICS = ["avg_steps", "avg_mvpa_min", "avg_light_min", "avg_sedentary_min", "valid_days", "avg_calories"]
 
 
@@ -270,16 +270,11 @@ def percentile_rank(wh, metrics=PERCENTILE_METRICS) -> DataFrame:
     from strideframe.operators.ranks import value_counts_cum
     users = wh.dim_user.filter(F.col("valid_days") > 0)
     n_all = users.agg(F.count(F.lit(1))).scalar()
-    parts = []
-    for m in metrics:
-        le = value_counts_cum(users, m).select(F.col("v").alias(m), (F.col("before") + F.col("n")).alias("le"))
-        parts.append(users.select("user_id", m).join(le, m, "left")
-                     .select("user_id", F.lit(m).alias("metric"),
-                             (F.lit(100.0) * F.coalesce(F.col("le"), F.lit(0)) / n_all).alias("pct")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    items = ", ".join(f"'{m}', CAST({m} AS DOUBLE)" for m in metrics)
+    values = users.select("user_id", F.expr(f"stack({len(metrics)}, {items}) AS (metric, v)"))
+    counts = value_counts_cum(values, "v", ["metric"]).select("metric", "v", (F.col("before") + F.col("n")).alias("le"))
+    return values.join(counts, ["metric", "v"], "left").select(
+        "user_id", "metric", (F.lit(100.0) * F.coalesce(F.col("le"), F.lit(0)) / n_all).alias("pct"))
 
 
 def curve_minmax(wh, eps: float = 1e-9) -> DataFrame:
