@@ -7,6 +7,7 @@ cluster runs them side by side.  Only the k centre rows reach the driver.
 """
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.clustering import KMeans
@@ -19,6 +20,8 @@ from strideframe.functions.compat import rnd
 from strideframe.functions.stats_exprs import pearson, scalars
 from strideframe.session import ensure_checkpoint_dir
 
+USERS_PER_TASK = 50_000
+
 
 def persona_features(dim_user: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
     """Users with at least one valid day; missing features become 0."""
@@ -42,7 +45,9 @@ def _fit_input(z: DataFrame, feats) -> DataFrame:
     raw scan, so each of the many fit jobs plans a short scan and a lost executor re-reads files),
     then kept in memory for the iterations."""
     ensure_checkpoint_dir(z.sparkSession)
-    return _vectors(z, feats).checkpoint(eager=True).persist()
+    vec = _vectors(z, feats).checkpoint(eager=True)
+    # a task per 50,000 users: the many short jobs of the fits shouldn't run a task per shuffle partition
+    return vec.coalesce(max(1, math.ceil(vec.count() / USERS_PER_TASK))).persist()
 
 
 def fit_best(vec: DataFrame, k: int, n_init: int, seed: int, max_iter: int = 300):
