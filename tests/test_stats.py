@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strideframe.functions.distributions import chi2_sf, f_sf, t_sf2
+from strideframe.functions.distributions import chi2_sf, f_sf, t_two_sided
 from strideframe.operators import profile, stats
 from strideframe.operators.ranks import exact_quantiles, mid_ranks
 
@@ -88,7 +88,7 @@ def test_spearman_equals_pearson_of_ranks(spark):
 
 
 def test_distribution_tails():
-    assert t_sf2(2.0, 10) == pytest.approx(0.07339, abs=1e-5)
+    assert t_two_sided(2.0, 10) == pytest.approx(0.07339, abs=1e-5)
     assert f_sf(3.0, 2, 20) == pytest.approx(0.07254, abs=1e-5)
     assert chi2_sf(5.991, 2) == pytest.approx(0.05, abs=1e-4)
 
