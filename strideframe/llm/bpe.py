@@ -1,7 +1,7 @@
 """BPE encoding through a table of distinct words, and decoding through an id-to-piece table.
 
-Encoding: documents are cut into words (units between single spaces, which byte-level BPE encodes
-independently) and gathered in chunks; a chunk keeps each word position as a code into its list of
+Encoding: documents are cut into words (units between single spaces, less line breaks and a closing comma
+or full stop, which byte-level BPE encodes independently) and gathered in chunks; a chunk keeps each word position as a code into its list of
 distinct words and is written once.  The chunks send their distinct words, packed by hash bucket, to
 the word table, where each distinct word of a bucket is encoded once, by the tokenizers library; the
 ids go back to the chunks and are joined to the positions by code.  A frequent word costs one entry
@@ -15,22 +15,27 @@ A null text counts as empty: no ids, decoded as "".  Every input row gets its ow
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe.llm import exchange
 from strideframe.llm.exchange import expand, pack, squeeze, unpack
 from strideframe.llm.store import stage, texts
-from strideframe.llm.tokens import UnitCache, encode as library_encode, space_units, tokenizer, vocabulary_size
+from strideframe.llm.tokens import (
+    KEPT, byte_letters, encode as library_encode, space_units, tokenizer, unit_parts, vocabulary_size)
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text in a chunk; one document may be longer and then is a chunk of its own.
 CHUNK_BYTES = 32 << 20
+CHUNK = "chunk long, body binary, words array<struct<bucket: int, payload: binary>>"
+ENCODED = "doc_id long, n_tokens long, ids binary"
 #: Words are listed without the space before them; this, which no text holds, marks a text's first one.
 _FIRST = "\udcff"
 _NULL = np.iinfo(np.int64).min
@@ -44,162 +49,193 @@ class _Codes(dict):
         return code
 
 
-def _chunk(number: int, ids: list, codes: list[np.ndarray], words: list[str]) -> pa.RecordBatch:
-    all_codes = np.concatenate(codes)
-    rank = np.empty(len(words), np.uint32)  # frequent words first: small numbers, shorter when squeezed
-    rank[np.argsort(-np.bincount(all_codes, minlength=len(words)), kind="stable")] = np.arange(len(words))
-    new = rank[all_codes]
-    listed = [""] * len(words)
-    for word, r in zip(words, rank.tolist()):
-        listed[r] = word
+class _Units(dict):
+    """unit between spaces -> the codes of its words, as bytes; emptied when there are ``limit``."""
+
+    def __init__(self, codes: _Codes, limit: int = 50_000):
+        super().__init__()
+        self.codes, self.limit = codes, limit
+
+    def first(self, unit: str) -> bytes:
+        return array("I", [self.codes[_FIRST + p] for p, _ in unit_parts(unit) if p]).tobytes()
+
+    def __missing__(self, unit: str) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        value = array("I", [self.codes[p if behind else _FIRST + p] for p, behind in unit_parts(unit)]).tobytes()
+        if len(unit) <= KEPT:
+            self[unit] = value
+        return value
+
+
+def _planes(values: np.ndarray, count: int) -> list[np.ndarray]:
+    """The lowest ``count`` bytes of each value, byte by byte: they squeeze better so."""
+    return [(values >> (8 * k)).astype(np.uint8) for k in range(count)]
+
+
+def _whole(planes: list[np.ndarray]) -> np.ndarray:
+    return sum(p.astype(np.int64) << (8 * k) for k, p in enumerate(planes))
+
+
+def _listed(words: list[bytes]) -> bytes:
+    return squeeze(pack(*_planes(np.array([len(w) for w in words], np.int64), 4), np.frombuffer(b"".join(words), np.uint8)), 3)
+
+
+def _words(data: bytes) -> list[bytes]:
+    *sizes, text = unpack(expand(data), *[np.uint8] * 5)
+    text, ends = text.tobytes(), np.cumsum(_whole(sizes)).tolist()
+    return [text[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def _by_frequency(counts: np.ndarray) -> np.ndarray:
+    """The words' places, frequent words first: a body writes these ranks, small numbers mostly."""
+    return np.argsort(-counts, kind="stable")
+
+
+def _chunk(number: int, ids: list, codes: list[np.ndarray], words: list[str], buckets: int) -> pa.RecordBatch:
+    """The chunk's body (ids, words per document, the words' ranks, and their counts by place) and its distinct
+    words by place: the order of (bucket, word)."""
+    data = [w.encode("utf-8", "surrogateescape") for w in words]
+    bucket = np.fromiter((zlib.crc32(w) % buckets for w in data), np.int64, len(data))
+    order = np.array(sorted(range(len(data)), key=data.__getitem__), np.int64)
+    order = order[np.argsort(bucket[order], kind="stable")]
+    starts = np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+    places = np.empty(len(words), np.uint32)
+    places[order] = np.arange(len(words))
+    places = places[np.concatenate(codes)]
+    counts = np.bincount(places, minlength=len(words))
+    rank = np.empty(len(words), np.uint32)
+    rank[_by_frequency(counts)] = np.arange(len(words))
     body = pack(np.array([_NULL if i is None else i for i in ids], np.int64), np.array([len(c) for c in codes], np.int64),
-                *(((new >> s) & 255).astype(np.uint8) for s in (0, 8, 16, 24)))
-    data = [w.encode("utf-8", "surrogateescape") for w in listed]
+                *_planes(counts, 4), *_planes(rank[places], 4))
+    sent = [b for b in range(buckets) if starts[b + 1] > starts[b]]
     return pa.record_batch({
-        "chunk": pa.array([number], pa.int64()),
-        "body": pa.array([squeeze(body)], pa.binary()),
-        "words": pa.array([squeeze(pack(np.array([len(d) for d in data], np.uint32), np.frombuffer(b"".join(data), np.uint8)))], pa.binary()),
-    })
+        "chunk": pa.array([number], pa.int64()), "body": pa.array([squeeze(body, 3)], pa.binary()),
+        "words": pa.array([[{"bucket": b, "payload": _listed([data[i] for i in order[starts[b]:starts[b + 1]]])} for b in sent]],
+                          pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())])))})
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+def _chunks(batches: Iterator[pa.RecordBatch], chunk_bytes: int, buckets: int) -> Iterator[pa.RecordBatch]:
     part, seq = TaskContext.get().partitionId(), 0
     code, ids, codes, size = _Codes(), [], [], 0
+    units = _Units(code)
+
+    def finished() -> pa.RecordBatch:
+        words = list(code)
+        code.clear()
+        units.clear()
+        return _chunk((part << 32) + seq, ids, codes, words, buckets)
+
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
             text = text.as_py() or ""
             if ids and size + len(text) > chunk_bytes:
-                yield _chunk((part << 32) + seq, ids, codes, list(code))
-                seq, code, ids, codes, size = seq + 1, _Codes(), [], [], 0
+                yield finished()
+                seq, ids, codes, size = seq + 1, [], [], 0
             first, *rest = space_units(text)
-            found = [code[_FIRST + first]] * bool(first)
-            found.extend(map(code.__getitem__, rest))
             ids.append(doc_id.as_py())
-            codes.append(np.array(found, np.uint32))
+            codes.append(np.frombuffer(units.first(first) + b"".join(map(units.__getitem__, rest)), np.uint32))
             size += len(text)
     if ids:
-        yield _chunk((part << 32) + seq, ids, codes, list(code))
-
-
-def _words(data: bytes) -> list[bytes]:
-    sizes, text = unpack(expand(data), np.uint32, np.uint8)
-    text, ends = text.tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
-    return [text[a:b] for a, b in zip([0, *ends], ends)]
-
-
-def _order(words: list[bytes], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """The words' places sorted by bucket and word, and each bucket's first place in that order."""
-    bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
-    order = np.array(sorted(range(len(words)), key=lambda i: (bucket[i], words[i])), np.int64)
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
-
-
-def _messages(buckets: int):
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in exchange.rows(batches):
-            words = _words(row["words"])
-            order, starts = _order(words, buckets)
-            sent = [(b, [words[i] for i in order[s:e]]) for b, (s, e) in enumerate(zip(starts[:-1], starts[1:])) if e > s]
-            yield pa.record_batch({
-                "chunk": pa.array([row["chunk"]] * len(sent), pa.int64()),
-                "bucket": pa.array([b for b, _ in sent], pa.int32()),
-                "payload": pa.array([squeeze(pack(np.array([len(w) for w in ws], np.uint32), np.frombuffer(b"".join(ws), np.uint8))) for _, ws in sent], pa.binary())})
-    return send
+        yield finished()
 
 
 def _word_table(vocabulary: str):
     """Encode each distinct word of a bucket once."""
     def answer(payloads: list[bytes]) -> list[bytes]:
-        def ids(text: str) -> bytes:
-            return np.array(library_encode(vocabulary, text), np.uint32).tobytes()
-
-        table, known, replies = UnitCache(ids), {}, []
+        known, replies = {}, []
         for payload in payloads:
             found = []
             for word in _words(payload):
                 if (value := known.get(word)) is None:
                     text = word.decode("utf-8", "surrogateescape")
-                    known[word] = value = table.line[text[1:]] if text[:1] == _FIRST else table[text]
+                    text = text[1:] if text[:1] == _FIRST else " " + text
+                    known[word] = value = array("I", library_encode(vocabulary, text)).tobytes()
                 found.append(value)
-            replies.append(squeeze(pack(np.array([len(v) // 4 for v in found], np.uint32), np.frombuffer(b"".join(found), np.uint32))))
+            sizes = np.array([len(v) // 4 for v in found], np.int64)
+            replies.append(squeeze(pack(*_planes(sizes, 4), *_planes(np.frombuffer(b"".join(found), np.uint32), 4)), 3))
         return replies
     return answer
 
 
-def _joined(buckets: int):
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in exchange.rows(batches):
-            words = _words(row["words"])
-            order, _ = _order(words, buckets)
-            sizes, ids = [], []
-            for reply in sorted(row["replies"] or [], key=lambda r: r["bucket"]):
-                n, values = unpack(expand(reply["reply"]), np.uint32, np.uint32)
-                sizes.append(n)
-                ids.append(values)
-            size = np.concatenate([np.zeros(0, np.uint32), *sizes]).astype(np.int64)
-            value = np.concatenate([np.zeros(0, np.uint32), *ids])
-            start = np.empty(len(words) + 1, np.int64)
-            place = np.empty(len(words), np.int64)
-            place[order] = np.arange(len(words))
-            start = np.concatenate([[0], np.cumsum(size)])
-            table = pa.LargeListArray.from_arrays(pa.array(start), pa.array(value))
-            doc_ids, n_words, *planes = unpack(expand(row["body"]), np.int64, np.int64, *[np.uint8] * 4)
-            codes = sum(p.astype(np.int64) << (8 * k) for k, p in enumerate(planes))
-            ends = np.cumsum(n_words)
-            a = 0
-            while a < len(doc_ids):  # a few documents at a time
-                low = ends[a] - n_words[a]
-                b = max(a + 1, int(np.searchsorted(ends, low + 200_000, "right")))
-                where = place[codes[low:ends[b - 1]]]
-                flat = table.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
-                n = np.concatenate([[0], np.cumsum(size[where])])[np.concatenate([[low], ends[a:b]]) - low]
-                yield pa.record_batch({
-                    "doc_id": pa.array([None if i == _NULL else i for i in doc_ids[a:b].tolist()], pa.int64()),
-                    "n_tokens": pa.array(np.diff(n), pa.int64()),
-                    "ids": pa.array([flat[4 * s:4 * e] for s, e in zip(n[:-1], n[1:])], pa.binary())})
-                a = b
-    return join
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Join the words' ids to their positions."""
+    for row in exchange.rows(batches):
+        replies = [unpack(expand(r["reply"]), *[np.uint8] * 8) for r in sorted(row["replies"] or [], key=lambda r: r["bucket"])]
+        size = np.concatenate([np.zeros(0, np.int64), *(_whole(r[:4]) for r in replies)])
+        value = np.concatenate([np.zeros(0, np.uint32), *(_whole(r[4:]).astype(np.uint32) for r in replies)])
+        table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(value))
+        doc_ids, n_words, *planes = unpack(expand(row["body"]), np.int64, np.int64, *[np.uint8] * 8)
+        place, ends, a = _by_frequency(_whole(planes[:4])), np.cumsum(n_words), 0
+        while a < len(doc_ids):  # a few documents at a time
+            low = ends[a] - n_words[a]
+            b = max(a + 1, int(np.searchsorted(ends, low + 200_000, "right")))
+            where = place[_whole([p[low:ends[b - 1]] for p in planes[4:]])]
+            flat = table.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
+            n = np.concatenate([[0], np.cumsum(size[where])])[np.concatenate([[low], ends[a:b]]) - low]
+            yield pa.record_batch({
+                "doc_id": pa.array([None if i == _NULL else i for i in doc_ids[a:b].tolist()], pa.int64()),
+                "n_tokens": pa.array(np.diff(n), pa.int64()),
+                "ids": pa.array([flat[4 * s:4 * e] for s, e in zip(n[:-1], n[1:])], pa.binary())})
+            a = b
+        pa.default_memory_pool().release_unused()
+
+
+def _encoded(docs: DataFrame, vocabulary: str, chunk_bytes: int) -> DataFrame:
+    """The chunks' bodies with the replies of the word table."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = exchange.bucket_count(docs.sparkSession, size)
+    chunks = stage(docs.mapInArrow(lambda b: _chunks(b, chunk_bytes, buckets), CHUNK), "bpe-chunks", compression="none")
+    messages = chunks.select("chunk", F.inline("words"))
+    replies = exchange.ask(messages, _word_table(vocabulary))
+    return exchange.with_replies(chunks.select("chunk", "body"), replies)
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
            chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_tokens, ids (binary: little-endian unsigned 32-bit) of each row."""
-    chunks = stage(texts(docs, id_col, text_col).mapInArrow(lambda b: _chunks(b, chunk_bytes), "chunk long, body binary, words binary"),
-                   "bpe-chunks", compression="none")
-    buckets = exchange.bucket_count(chunks, chunk_bytes)
-    messages = chunks.select("chunk", "words").mapInArrow(_messages(buckets), exchange.MESSAGE)
-    replies = exchange.ask(messages, _word_table(vocabulary))
-    return exchange.with_replies(chunks, replies).mapInArrow(_joined(buckets), "doc_id long, n_tokens long, ids binary")
+    return _encoded(texts(docs, id_col, text_col), vocabulary, chunk_bytes).mapInArrow(_joined, ENCODED)
+
+
+def round_trip(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY,
+               chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """decode(encode(docs)), both joins in one Python worker a task."""
+    pieces_join = _pieces_join(docs.sparkSession, vocabulary)
+    return _encoded(texts(docs, id_col, text_col), vocabulary, chunk_bytes) \
+        .mapInArrow(lambda b: pieces_join(_joined(b)), f"{ENCODED}, text string")
 
 
 def pieces(vocabulary: str = VOCABULARY) -> list[bytes]:
     """id -> the bytes of its piece."""
     t = tokenizer(vocabulary)
-    # fixed values: byte-level BPE writes printable Latin-1 bytes as themselves, the others as U+0100 on
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    byte = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in plain)}
-    out = []
+    byte, out = byte_letters(), []
     for i in range(vocabulary_size(vocabulary)):
         token = t.id_to_token(i) or ""
         out.append(bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode())
     return out
 
 
-def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """``encoded`` (doc_id, n_tokens, ids) with the column text."""
-    table = encoded.sparkSession.sparkContext.broadcast(pieces(vocabulary))
+def _pieces_join(spark: SparkSession, vocabulary: str):
+    """Batches with ids -> the same with their text."""
+    table = spark.sparkContext.broadcast(pieces(vocabulary))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = pa.array(table.value, pa.large_binary())
         size = np.array([len(p) for p in table.value], np.int64)
-        for batch in batches:
-            texts_ = []
-            for ids in batch.column("ids"):
-                ids = np.frombuffer(ids.as_py() or b"", "<u4")
-                # .buffers()[2]: the pieces' bytes, one behind the other
-                found = piece.take(pa.array(ids))
-                data = found.buffers()[2]
-                texts_.append(bytes(data)[:int(size[ids].sum())].decode("utf-8", "replace") if len(ids) and data else "")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts_, pa.string())], [*batch.schema.names, "text"])
-
-    return encoded.mapInArrow(join, T.StructType([*encoded.schema, T.StructField("text", T.StringType())]))
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch, decoded = whole.slice(a, 500), []
+                for ids in batch.column("ids"):
+                    ids = np.frombuffer(ids.as_py() or b"", "<u4")
+                    # .buffers()[2]: the pieces' bytes, one behind the other
+                    data = piece.take(pa.array(ids)).buffers()[2]
+                    decoded.append(bytes(data)[:int(size[ids].sum())].decode("utf-8", "replace") if len(ids) and data else "")
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.string())], [*batch.schema.names, "text"])
+
+    return join
+
+
+def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+    """``encoded`` (doc_id, n_tokens, ids) with the column text."""
+    schema = T.StructType([*encoded.schema, T.StructField("text", T.StringType())])
+    return encoded.mapInArrow(_pieces_join(encoded.sparkSession, vocabulary), schema)

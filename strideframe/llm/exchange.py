@@ -16,7 +16,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of documents that one bucket's keys stem from, at most on average.
@@ -26,11 +26,9 @@ MESSAGE = "chunk long, bucket int, payload binary"
 REPLY = "chunk long, bucket int, reply binary"
 
 
-def bucket_count(chunks: DataFrame, chunk_bytes: int) -> int:
-    """Buckets for a staged table of chunks: it grows with the corpus, so that a bucket doesn't."""
-    spark = chunks.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-               math.ceil(chunks.count() * chunk_bytes / BUCKET_BYTES))
+def bucket_count(spark: SparkSession, size: int) -> int:
+    """Buckets for the keys of ``size`` bytes of documents: more for more, so that a bucket stays small."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / BUCKET_BYTES))
 
 
 def ask(messages: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> DataFrame:
@@ -61,8 +59,8 @@ def unpack(data: bytes, *types) -> list[np.ndarray]:
     return [np.frombuffer(data, t, s // np.dtype(t).itemsize, e - s) for t, s, e in zip(types, sizes, ends)]
 
 
-def squeeze(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+def squeeze(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:

@@ -156,7 +156,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, text (the kept words joined by one space) of each row."""
     gathered = chunks.gather(docs, id_col, text_col, chunk_bytes)
-    buckets = exchange.bucket_count(gathered, chunk_bytes)
+    buckets = exchange.bucket_count(docs.sparkSession, gathered.count() * chunk_bytes)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):

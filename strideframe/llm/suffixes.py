@@ -220,7 +220,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     if not window <= 2 * gram <= 2 * window:
         raise ValueError(f"a gram of {gram} bytes doesn't fit a window of {window}")
     gathered = chunks.gather(docs, id_col, text_col, chunk_bytes)
-    buckets = exchange.bucket_count(gathered, chunk_bytes)
+    buckets = exchange.bucket_count(docs.sparkSession, gathered.count() * chunk_bytes)
     heads, windows = _sampled(gathered, window, gram, buckets)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

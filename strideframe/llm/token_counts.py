@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.store import texts
-from strideframe.llm.tokens import UnitCache, encode, space_units
+from strideframe.llm.tokens import UnitLengths, encode, space_units
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -45,8 +45,8 @@ def frequent_units(docs: DataFrame, hot: int, per_task: int) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _lengths(vocabulary: str, key: str, hot) -> UnitCache:
-    return UnitCache(lambda text: len(encode(vocabulary, text)), fixed=hot.value)
+def _lengths(vocabulary: str, hot) -> UnitLengths:
+    return UnitLengths(vocabulary, hot.value)
 
 
 class _Hot:
@@ -75,12 +75,12 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     broadcast = _Hot(uuid4().hex, spark.sparkContext.broadcast(table))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lengths = _lengths(vocabulary, broadcast.key, broadcast)
+        lengths = _lengths(vocabulary, broadcast)
         for batch in batches:
             n = []
             for text in batch.column("text"):
                 first, *rest = space_units(text.as_py() or "")
-                n.append((lengths.line[first] if first else 0) + sum(map(lengths.__getitem__, rest)))
+                n.append(lengths.first(first) + sum(map(lengths.__getitem__, rest)))
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"),
                                    "n_tokens": pa.array(n, pa.int64())})
 

@@ -49,30 +49,60 @@ def space_units(text: str) -> list[str]:
     return _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
 
 
-class UnitCache(dict):
-    """unit -> value for units that follow a space, filled through ``measure(text)`` on a miss.
+#: A line break between two non-spaces is a piece of its own.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
+#: Units longer than this aren't kept in caches.
+KEPT = 100
+
+
+def unit_parts(unit: str) -> list[tuple[str, bool]]:
+    """A unit taken apart where byte-level BPE takes it apart anyway: at single line breaks, and before a full
+    stop or comma that ends it or a line, after an ASCII letter.  True: the part begins the unit, behind its space."""
+    out = []
+    for k, line in enumerate(_LINE.split(unit)):
+        if k:
+            out.append(("\n", False))
+        if line[-1:] in (".", ",") and line[-2:-1].isascii() and line[-2:-1].isalpha():
+            out += [(line[:-1], not k), (line[-1], False)]
+        else:
+            out.append((line, not k))
+    return out
 
-    Values add up, so a unit is first taken apart where byte-level BPE takes it apart anyway: a full
-    stop or comma after an ASCII letter at its end, and single line breaks between non-spaces; ``line``
-    is the cache for what follows a line break.  ``fixed`` entries stay; the rest is emptied when
-    ``limit`` is reached, so a worker's memory is bounded.
-    """
 
-    def __init__(self, measure, prefix: str = " ", fixed: dict | None = None, limit: int = 300_000):
-        super().__init__(fixed or {})
-        self.measure, self.prefix, self.fixed, self.limit = measure, prefix, fixed or {}, limit
-        self.line = UnitCache(measure, "", limit=limit) if prefix else self
+class UnitLengths(dict):
+    """unit -> its number of tokens, of units that follow a space, encoded when first met.
+
+    ``fixed`` entries stay; the others are emptied when there are ``limit``, so a worker's memory is bounded.
+    """
 
-    def __missing__(self, unit: str):
+    def __init__(self, vocabulary: str, fixed: dict[str, int], limit: int = 300_000):
+        super().__init__(fixed)
+        self.vocabulary, self.fixed, self.limit = vocabulary, fixed, limit
+        self.bare: dict[str, int] = {}  # parts that don't follow a space
+
+    def first(self, unit: str) -> int:
+        """The same for a text's first unit, without a space before it."""
+        return sum(self._bare(p) for p, _ in unit_parts(unit) if p)
+
+    def _bare(self, part: str) -> int:
+        if part not in self.bare:
+            if len(self.bare) >= self.limit:
+                self.bare.clear()
+            n = len(encode(self.vocabulary, part))
+            if len(part) > KEPT:
+                return n
+            self.bare[part] = n
+        return self.bare[part]
+
+    def __missing__(self, unit: str) -> int:
         if len(self) >= self.limit + len(self.fixed):
             self.clear()
             self.update(self.fixed)
-        head, _, tail = unit.partition("\n")
-        if head and tail and not head[-1].isspace() and not tail[0].isspace():
-            value = self[head] + self.line["\n"] + self.line[tail]
-        elif unit[-1:] in (".", ",") and unit[-2:-1].isascii() and unit[-2:-1].isalpha():
-            value = self[unit[:-1]] + self.line[unit[-1]]
+        (head, _), *rest = unit_parts(unit)
+        if rest:
+            n = self[head] + sum(self._bare(p) for p, _ in rest)
         else:
-            value = self.measure(self.prefix + unit)
-        self[unit] = value
-        return value
+            n = len(encode(self.vocabulary, " " + unit))
+        if len(unit) <= KEPT:
+            self[unit] = n
+        return n

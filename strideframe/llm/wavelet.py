@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from strideframe.llm import exchange
 from strideframe.llm.exchange import expand, pack, squeeze, unpack
 from strideframe.llm.store import texts
-from strideframe.llm.tokens import byte_letters, encode as library_encode, tokenizer, vocabulary_size
+from strideframe.llm.tokens import KEPT, byte_letters, encode as library_encode, tokenizer, vocabulary_size
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -174,7 +174,8 @@ class _Ids(dict):
             value = self[unit[:-1]] + self[unit[-1]]
         else:
             value = array("I", library_encode(self.vocabulary, unit)).tobytes()
-        self[unit] = value
+        if len(unit) <= KEPT:
+            self[unit] = value
         return value
 
 

@@ -13,6 +13,7 @@ from strideframe.llm.store import new_path
 ODD = ["", None, " ", "  ", "a  b", "a \n b", " a", "a ", "\n", "a\n\nb", "x.\nY z,\n", "<|endoftext|>", "a <|EndOfText|> b", "a<|endoftext|>.\nq",
        "a<|startoftext|>.\nq", "..., a., b.,", "éa, ß. x y  z  w", "x \x1c y \x1d", "İı ΑΣ ΑΣ. Σ", "it's we'll I'M x's, y't.\nz're",
        "日本 語。テスト", "😀 😀😀, a😀.", "a\r\nb \r\n c", "word " * 3000, "á b́, ́x", "\0x \0y", "x​ ​y", "1,2 3.4 5.", "A,.B ,.", "K Å ﬁ"]
+ODD += ["\n".join(f"w{i}," for i in range(5000)), "x" * 3000 + " " + "y," * 2000, "a.\nb\n\nc\n d \ne.,\n"]
 ODD += [f"x {chr(c)}y z{chr(c)} {chr(c)}, a{chr(c)}.\n{chr(c)}q" for c in (*range(0x180), *range(0x2000, 0x2010), 0x85, 0x1680, 0x180E, 0x2028, 0x3000, 0xFEFF)]
 
 
@@ -36,6 +37,7 @@ def test_bpe_round_trip(frame, library, small, chunk):
     t = library[bpe.VOCABULARY]
     docs = [*enumerate(ODD), *((1000 + i, x) for i, x in small[:60]), (None, "a b")]
     got = {r.doc_id: r for r in bpe.decode(bpe.encode(frame(docs), chunk_bytes=chunk)).collect()}
+    assert {r.doc_id: r for r in bpe.round_trip(frame(docs), chunk_bytes=chunk).collect()} == got
     for i, x in docs:
         ids = t.encode(x or "", add_special_tokens=False).ids
         assert bytes(got[i].ids) == np.array(ids, "<u4").tobytes() and got[i].n_tokens == len(ids)
