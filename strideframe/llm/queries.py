@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideframe.llm import bpe, decontamination, line_chunks, personal, quality, simhash, substrings, suffixes, token_counts, wavelet
+from strideframe.llm.oracles import ORACLES as ORACLES
 from strideframe.llm.store import documents, new_path, texts
 
 
@@ -45,8 +46,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    round_trip = bpe.decode(bpe.encode(documents(spark, sf_dir)))
-    return round_trip.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+    return bpe.round_trip(documents(spark, sf_dir)).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                              F.sha2(F.encode("text", "UTF-8"), 256).alias("decoded_sha256"))
 
 
@@ -65,5 +65,3 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_suffix_array, op3_boosted_pii, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe, op9_line_chunks, op10_winnowing)}
-
-ORACLES: dict[str, str] = {"op9_line_chunks": line_chunks.ORACLE}
