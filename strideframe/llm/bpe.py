@@ -34,6 +34,8 @@ from strideframe.llm.tokens import (
 VOCABULARY = "byte_bpe_50k.json"
 #: Bytes of text in a chunk; one document may be longer and then is a chunk of its own.
 CHUNK_BYTES = 32 << 20
+#: How hard bodies, words and ids are squeezed: disk is what this operator is short of.
+LEVEL = 9
 CHUNK = "chunk long, body binary, words array<struct<bucket: int, payload: binary>>"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 #: Words are listed without the space before them; this, which no text holds, marks a text's first one.
@@ -78,7 +80,7 @@ def _whole(planes: list[np.ndarray]) -> np.ndarray:
 
 
 def _listed(words: list[bytes]) -> bytes:
-    return squeeze(pack(*_planes(np.array([len(w) for w in words], np.int64), 4), np.frombuffer(b"".join(words), np.uint8)), 3)
+    return squeeze(pack(*_planes(np.array([len(w) for w in words], np.int64), 4), np.frombuffer(b"".join(words), np.uint8)), LEVEL)
 
 
 def _words(data: bytes) -> list[bytes]:
@@ -110,7 +112,7 @@ def _chunk(number: int, ids: list, codes: list[np.ndarray], words: list[str], bu
                 *_planes(counts, 4), *_planes(rank[places], 4))
     sent = [b for b in range(buckets) if starts[b + 1] > starts[b]]
     return pa.record_batch({
-        "chunk": pa.array([number], pa.int64()), "body": pa.array([squeeze(body, 3)], pa.binary()),
+        "chunk": pa.array([number], pa.int64()), "body": pa.array([squeeze(body, LEVEL)], pa.binary()),
         "words": pa.array([[{"bucket": b, "payload": _listed([data[i] for i in order[starts[b]:starts[b + 1]]])} for b in sent]],
                           pa.list_(pa.struct([("bucket", pa.int32()), ("payload", pa.binary())])))})
 
@@ -153,7 +155,7 @@ def _word_table(vocabulary: str):
                     known[word] = value = array("I", library_encode(vocabulary, text)).tobytes()
                 found.append(value)
             sizes = np.array([len(v) // 4 for v in found], np.int64)
-            replies.append(squeeze(pack(*_planes(sizes, 4), *_planes(np.frombuffer(b"".join(found), np.uint32), 4)), 3))
+            replies.append(squeeze(pack(*_planes(sizes, 4), *_planes(np.frombuffer(b"".join(found), np.uint32), 4)), LEVEL))
         return replies
     return answer
 
