@@ -101,11 +101,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return F.named_struct(F.lit("text"), F.array_join(F.transform(left, lambda p: F.get(cs, p)["text"]), "\n"),
                               F.lit("n_lines"), lines.cast("long"), F.lit("n_removed_lines"), removed.cast("long"))
 
-    done = rows.withColumn("rest", F.when(F.col("text").isNotNull(), _let(chunks(F.col("text"), mean), rest)))
+    # out of a generator of one row: a later filter on the text isn't pushed beneath it, which would compute it again
+    found = F.when(F.col("text").isNotNull(), _let(chunks(F.col("text"), mean), rest))
+    done = rows.withColumn("rest", F.explode(F.array(found)))
     out = [F.col("rest.text").alias(c) if c == text_col else F.col(f"own.`{c}`")
            for c in docs.columns if not (counts and c in COUNTS)]
-    found = (F.coalesce("rest.n_lines", F.lit(0)), F.coalesce("rest.n_removed_lines", F.lit(0)), F.size(gone).cast("long"))
-    return done.select(*out, *(c.alias(n) for n, c in zip(COUNTS, found) if counts))
+    counted = (F.coalesce("rest.n_lines", F.lit(0)), F.coalesce("rest.n_removed_lines", F.lit(0)), F.size(gone).cast("long"))
+    return done.select(*out, *(c.alias(n) for n, c in zip(COUNTS, counted) if counts))
 
 
 #: DuckDB's twin of the query: chunks compared as whole texts, numbered by window functions.

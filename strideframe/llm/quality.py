@@ -93,8 +93,12 @@ def _repeat_words(words: Column) -> Column:
     return _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(covered(hs)))
 
 
-def _measured(rows: DataFrame) -> DataFrame:
-    """``rows`` (with a column text) and the counts behind every rule."""
+def _measured(rows: DataFrame, once: bool) -> DataFrame:
+    """``rows`` (with a column text) and the counts behind every rule.
+
+    ``once``: the counts come out of a generator of one row, beneath which the optimizer can't push a
+    filter on them.  It would put the whole expression of the counts in place of each of their names.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
 
     def on_words(w: Column) -> Column:
@@ -109,16 +113,15 @@ def _measured(rows: DataFrame) -> DataFrame:
                         (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
-    return rows.select(
-        "*",
+    found = F.struct(
         _let(_words(text), on_words).alias("w"),
         _let(lines, on_lines).alias("l"),
         F.length(F.regexp_replace(text, f"[{SPACE}]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"),
-    ).select("*", "w.*", "l.*").drop("w", "l")
+        F.length(F.regexp_replace(text, f"[^{SYMBOLS}]+", "")).cast("long").alias("n_symbols"))
+    return rows.select("*", (F.explode(F.array(found)) if once else found).alias("m")).select("*", "m.*").select("*", "w.*", "l.*").drop("m", "w", "l")
 
 
-def _judged(rows: DataFrame, base: tuple[Threshold, ...], table: tuple[Threshold, ...]) -> DataFrame:
+def _judged(rows: DataFrame, base: tuple[Threshold, ...], table: tuple[Threshold, ...], once: bool = False) -> DataFrame:
     def ratio(a: str, b: str) -> Column:
         return F.col(a) / F.when(F.col(b) > 0, F.col(b))
 
@@ -133,7 +136,7 @@ def _judged(rows: DataFrame, base: tuple[Threshold, ...], table: tuple[Threshold
     }
     base_failed = reduce(lambda a, b: a | b, (F.coalesce(r.fails(metrics), F.lit(False)) for r in base))
     failed = F.array_compact(F.array(*(F.when(r.fails(metrics), F.lit(r.metric)) for r in table)))
-    return _measured(rows).select("*", base_failed.alias("base_failed"), failed.alias("failed")) \
+    return _measured(rows, once).select("*", base_failed.alias("base_failed"), failed.alias("failed")) \
                           .withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
 
 
@@ -150,4 +153,4 @@ def keep_good(docs: DataFrame, text_col: str = "text",
     join), so repeated ids are judged row by row."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
                        F.col(f"`{text_col}`").cast("string").alias("text"))
-    return _judged(rows, base, table).where("kept").select("row.*")
+    return _judged(rows, base, table, once=True).where("kept").select("row.*")
