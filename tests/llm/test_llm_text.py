@@ -118,6 +118,49 @@ def test_personal_held_out(spark):
         assert scan(clean) == ""
 
 
+def _spelled(n):
+    """Documents with one base span of each kind and four spans in other spellings, and those spans."""
+    rng, docs, want = random.Random(4), [], {}
+    digits = lambda k: "".join(rng.choice("23456789") for _ in range(k))
+    for i in range(n):
+        card = digits(15)
+        card += next(c for c in "0123456789" if personal.luhn(card + c))
+        name, octets = "".join(rng.choice("abcdefgh") for _ in range(6)), [str(rng.randint(1, 255)) for _ in range(4)]
+        text = (f"Write to {name}@site{i}.org or call +1 ({digits(3)}) {digits(3)}-{digits(4)}, card {card}, host {'.'.join(octets)} "
+                f"since 20{rng.randint(10, 24)}-0{rng.randint(1, 9)}-1{rng.randint(0, 9)} 12:30")
+        spans = []
+        for kind, other in (("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("email", f"{name} [at] host{i}.org"),
+                            ("phone", f"({digits(3)}) {digits(3)}-{digits(4)}"), ("email", f"{name}.b [at] mail{i}.net")):
+            text += "; reach me under "
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(other)}")
+            text += other
+        docs.append((i, text))
+        want[i] = set(spans)
+    return docs, want
+
+
+def test_personal_in_other_spellings(frame):
+    """Fitted on documents that hold more respelled spans than base spans: they are found all the same."""
+    docs, want = _spelled(300)
+    rows = personal.find_personal(frame(docs)).collect()
+    added = {r.doc_id: set(r.spans.split(",")) - set(r.base.split(",")) for r in rows}
+    assert all((r.n_email, r.n_phone) == (1, 1) for r in rows)
+    assert sum(len(added[i] & want[i]) for i in want) > 0.95 * sum(map(len, want.values()))
+    assert not any(added[i] - want[i] for i in want)
+
+
+def test_harmless_candidates():
+    def judged(text, kind):
+        return {personal.harmless(text, s) for s in personal.candidates(text) if s[2] == kind}
+
+    for text, kind in (("on 2024-01-30 12 we", "phone"), ("version 1.2.3.4", "ip"), ("at 10.0.0.300", "ip"), ("4111.1111.1111.1112", "card"),
+                       ("ISBN 978-3-16-148410-0", "card"), ("noon @ home", "email")):
+        assert judged(text, kind) == {True}, text
+    for text, kind in (("call (269) 555-3296", "phone"), ("host 10[.]0[.]0[.]30", "ip"), ("name [at] host.org", "email"),
+                       ("4111.1111.1111.1111", "card")):
+        assert judged(text, kind) == {False}, text
+
+
 @pytest.mark.parametrize("block", [200_000, 15])
 def test_decontamination(spark, frame, block):
     rng = random.Random(3)
