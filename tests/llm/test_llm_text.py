@@ -5,6 +5,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from conftest import SMALL
 from pyspark.sql import functions as F
 
@@ -149,6 +150,15 @@ def test_personal_in_other_spellings(frame):
     assert not any(added[i] - want[i] for i in want)
 
 
+def test_personal_sample_is_of_distinct_texts(frame):
+    """Copies of one text whose hash comes first don't fill the sample."""
+    signed = lambda x: (xxhash.xxh64_intdigest(x.encode(), 42) + (1 << 63)) % (1 << 64)
+    docs, _ = _spelled(300)
+    hot = min((f"no {k}" for k in range(100_000)), key=signed)
+    assert signed(hot) < min(signed(x) for _, x in docs)
+    assert personal.fit(frame(docs + [(1000 + i, hot) for i in range(400)]), sample=300) is not None
+
+
 def test_harmless_candidates():
     def judged(text, kind):
         return {personal.harmless(text, s) for s in personal.candidates(text) if s[2] == kind}
