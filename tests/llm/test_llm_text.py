@@ -33,6 +33,14 @@ def test_quality_keeps_prose_and_columns(frame):
     assert quality.keep_good(frame([]).where("false")).count() == 0
 
 
+def test_quality_keeps_short_texts_without_stop_words(frame):
+    """A listed word in 200 is asked of texts of 200 words or more."""
+    short = " ".join(f"maoni{chr(97 + i)}" for i in range(12))
+    under, long = (" ".join(f"neno{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(n)) for n in (199, 200))
+    docs = frame([(1, short), (2, under), (3, long), (4, under + " the")])
+    assert sorted(r.doc_id for r in quality.keep_good(docs).collect()) == [1, 2, 4]
+
+
 def test_quality_is_one_native_projection(spark):
     plan = queries.op7_quality_rules(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
