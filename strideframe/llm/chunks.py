@@ -21,7 +21,8 @@ CHUNK_BYTES = 2 << 20
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
 
 
-def _dump(part: pa.RecordBatch) -> bytes:
+def dump(part: pa.RecordBatch) -> bytes:
+    """A batch as squeezed Arrow bytes."""
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, part.schema, options=_OPTIONS) as out:
         out.write_batch(part)
@@ -33,7 +34,7 @@ def _gather(batches: Iterator[pa.RecordBatch], chunk_bytes: int, chunk_rows: int
 
     def chunk() -> pa.RecordBatch:
         whole = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-        return pa.record_batch({"chunk": pa.array([number], pa.int64()), "docs": pa.array([_dump(whole)], pa.binary())})
+        return pa.record_batch({"chunk": pa.array([number], pa.int64()), "docs": pa.array([dump(whole)], pa.binary())})
 
     for batch in batches:
         batch = pa.record_batch({"doc_id": batch.column("doc_id"), "text": batch.column("text").cast(pa.large_string())})
@@ -59,7 +60,11 @@ def gather(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chun
                  "chunks", compression="none")
 
 
+def parsed(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_next_batch()
+
+
 def load(docs: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """A chunk's doc_ids, UTF-8 bytes, and offsets of its texts."""
-    part = pa.ipc.open_stream(docs).read_next_batch()
+    part = parsed(docs)
     return part.column("doc_id"), *utf8(part.column("text"))

@@ -62,4 +62,28 @@ SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES = {"op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}
+PHRASES = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+q AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+w AS (SELECT lang, unnest(ws) AS w1, unnest(ws[2:] || [NULL]) AS w2, unnest((ws[3:] || [NULL, NULL])[:len(ws)]) AS w3 FROM q WHERE len(ws) > 0),
+f1 AS (SELECT lang, w1 AS run, count(*) AS f FROM w GROUP BY ALL),
+f2 AS (SELECT lang, w1, w2, w1 || ' ' || w2 AS run, count(*) AS f FROM w WHERE w2 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f3 AS (SELECT lang, w1, w2, w3, w1 || ' ' || w2 || ' ' || w3 AS run, count(*) AS f FROM w WHERE w3 IS NOT NULL GROUP BY ALL HAVING f >= 10),
+f AS (SELECT lang, run, f FROM f1 UNION ALL SELECT lang, run, f FROM f2),
+total AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f1 GROUP BY lang),
+cut AS (SELECT lang, run, f AS a, 1 AS place, w1 AS x, w2 AS y FROM f2
+        UNION ALL SELECT lang, run, f, 1, w1, w2 || ' ' || w3 FROM f3 UNION ALL SELECT lang, run, f, 2, w1 || ' ' || w2, w3 FROM f3),
+scored AS (SELECT cut.lang, cut.run, a, place, x.f AS l, y.f AS r,
+                  CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+           FROM cut JOIN f x ON x.lang = cut.lang AND x.run = cut.x JOIN f y ON y.lang = cut.lang AND y.run = cut.y),
+weakest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, run ORDER BY score, place) = 1),
+inner_runs AS (SELECT lang, run, max(f) AS longer FROM (
+                 SELECT lang, w1 || ' ' || w2 AS run, f FROM f3 UNION ALL SELECT lang, w2 || ' ' || w3, f FROM f3) GROUP BY ALL),
+kept AS (SELECT weakest.*, weakest.run AS phrase FROM weakest LEFT JOIN inner_runs i ON i.lang = weakest.lang AND i.run = weakest.run
+         WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
+"""
+
+ORACLES = {"op11_phrases": PHRASES, "op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}

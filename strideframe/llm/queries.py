@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, line_chunks, personal, quality, simhash, substrings, suffixes, token_counts, wavelet
+from strideframe.llm import bpe, decontamination, line_chunks, personal, phrases, quality, simhash, substrings, suffixes, token_counts, wavelet
 from strideframe.llm.oracles import ORACLES as ORACLES
 from strideframe.llm.store import documents, new_path, texts
 
@@ -64,4 +64,10 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
                         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"))
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_shards, op2_suffix_array, op3_boosted_pii, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe, op9_line_chunks, op10_winnowing)}
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.top_phrases(phrases.phrases(documents(spark, sf_dir)))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_wavelet_shards, op2_suffix_array, op3_boosted_pii, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe,
+    op9_line_chunks, op10_winnowing, op11_phrases)}
