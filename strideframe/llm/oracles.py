@@ -86,4 +86,35 @@ SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p
 FROM kept JOIN total USING (lang) QUALIFY rank <= 2000
 """
 
-ORACLES = {"op11_phrases": PHRASES, "op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}
+TRIES = r"""
+WITH c AS (SELECT conv_id, turn, md5(CAST(length(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS key,
+                  length(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, key) AS pos FROM c),
+-- the CRC of the digits, bit by bit
+ids AS (SELECT conv_id, conv_id - conv_id % 100 AS base,
+               xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x // 2, 3988292384::BIGINT * (x % 2)))),
+               4294967295::BIGINT) % 6 AS h FROM (SELECT DISTINCT conv_id FROM c)),
+heads AS (SELECT ids.conv_id, pos, key, size FROM ids JOIN t ON t.conv_id = ids.base AND t.pos <= ids.h),
+taken AS (SELECT conv_id, count(*) AS k FROM heads GROUP BY conv_id),
+built AS (SELECT * FROM heads UNION ALL
+          SELECT ids.conv_id, coalesce(k, 0) + pos - h, key, size FROM ids JOIN t USING (conv_id) LEFT JOIN taken USING (conv_id) WHERE pos > h),
+m AS (SELECT conv_id, pos AS depth, size, string_agg(key, ',') OVER (PARTITION BY conv_id ORDER BY pos) AS prefix FROM built
+      UNION ALL SELECT conv_id, 0, 0, '' FROM ids),
+node AS (SELECT depth, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) AS size FROM m GROUP BY depth, prefix),
+edge AS (SELECT DISTINCT m.depth, m.prefix, up.prefix AS above FROM m JOIN m up ON up.conv_id = m.conv_id AND up.depth = m.depth - 1),
+linked AS (SELECT node.*, parent.conv_id AS parent_conv_id, above FROM node LEFT JOIN edge USING (depth, prefix)
+           LEFT JOIN node parent ON parent.depth = node.depth - 1 AND parent.prefix = above),
+kids AS (SELECT depth - 1 AS depth, above AS prefix, count(*) AS n_children FROM edge GROUP BY ALL),
+whole AS (SELECT linked.*, coalesce(n_children, 0) AS n_children FROM linked LEFT JOIN kids USING (depth, prefix)),
+-- a node is one of its smallest member's prefixes, and so are its ancestors
+sums AS (SELECT up.depth, up.prefix, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum((n_convs - 1) * whole.size) AS saved
+         FROM whole JOIN m up ON up.conv_id = whole.conv_id AND up.depth <= whole.depth GROUP BY ALL),
+ends AS (SELECT depth, prefix, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+         FROM (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY depth DESC) = 1) GROUP BY depth, prefix)
+SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM whole JOIN sums USING (depth, prefix) LEFT JOIN ends USING (depth, prefix)
+"""
+
+ORACLES = {"op11_phrases": PHRASES, "op13_prefix_trie": TRIES, "op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}
