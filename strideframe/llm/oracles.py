@@ -117,4 +117,21 @@ SELECT conv_id, CAST(depth AS BIGINT) AS depth, parent_conv_id, n_convs, n_child
 FROM whole JOIN sums USING (depth, prefix) LEFT JOIN ends USING (depth, prefix)
 """
 
-ORACLES = {"op11_phrases": PHRASES, "op13_prefix_trie": TRIES, "op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}
+JACCARD = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_SPACE}'),
+                                                lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS gram FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, least(len(ws), 1)) + 1)) AS i FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+-- documents of equal sets are compared once
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY grams) AS rep, n
+      FROM (SELECT doc_id, sha256(string_agg(gram, chr(10) ORDER BY gram)) AS grams, count(*) AS n FROM s GROUP BY doc_id)),
+own AS (SELECT s.* FROM s JOIN c USING (doc_id) WHERE doc_id = rep),
+pair AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM own x JOIN own y ON x.gram = y.gram AND x.doc_id < y.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * common >= 85 * (x.n + y.n - common)),
+sym AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM c WHERE doc_id = rep UNION SELECT reach.a, sym.b FROM reach JOIN sym ON sym.a = reach.b),
+root AS (SELECT a AS rep, min(b) AS component_id FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(c.n, 0) AS n_shingles, coalesce(component_id, w.doc_id) AS component_id FROM w LEFT JOIN c USING (doc_id) LEFT JOIN root USING (rep)
+"""
+
+ORACLES = {"op11_phrases": PHRASES, "op12_jaccard": JACCARD, "op13_prefix_trie": TRIES, "op5_difference_cover": SUBSTRINGS, "op7_quality_rules": QUALITY, "op9_line_chunks": line_chunks.ORACLE, "op10_winnowing": WINNOWING}

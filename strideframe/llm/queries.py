@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strideframe.llm import bpe, decontamination, line_chunks, personal, phrases, quality, simhash, substrings, suffixes, token_counts, tries, wavelet
+from strideframe.llm import bpe, decontamination, jaccard, line_chunks, personal, phrases, quality, simhash, substrings, suffixes, token_counts, tries, wavelet
 from strideframe.llm.oracles import ORACLES as ORACLES
 from strideframe.llm.store import documents, new_path, texts
 
@@ -68,6 +68,10 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.top_phrases(phrases.phrases(documents(spark, sf_dir)))
 
 
+def op12_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir)).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return tries.prefix_trie(tries.with_family_heads(tries.sequences(conversations)))
@@ -75,4 +79,4 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_wavelet_shards, op2_suffix_array, op3_boosted_pii, op4_token_counts, op5_difference_cover, op6_simhash, op7_quality_rules, op8_bpe,
-    op9_line_chunks, op10_winnowing, op11_phrases, op13_prefix_trie)}
+    op9_line_chunks, op10_winnowing, op11_phrases, op12_jaccard, op13_prefix_trie)}
