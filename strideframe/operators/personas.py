@@ -1,18 +1,20 @@
 """Persona model (P1-P7): K-Means on standardised per-user behaviour features.
 
-The model is fitted on one row per user (the feature build is the only large step).  Fits
-use ``pyspark.ml.clustering.KMeans``; several seeds are fitted and the lowest-cost model kept
-(``n_init`` restarts), with the restarts submitted concurrently from driver threads so the
-cluster runs them side by side.  Only the k centre rows reach the driver.
+The model is fitted on one row per user (the feature build is the only large step).  All restarts of all models go
+through Lloyd's iterations together: one job an iteration adds up, for each fit and centre, the users nearest to it,
+and only these sums (fits x centres rows) reach the driver.  Coordinates are whole numbers of 1 / SCALE, so the sums are
+exact and a fit doesn't depend on how the users are partitioned.  Start points are drawn by k-means++ from the START_POINTS
+users with the smallest hashes; a fit ends when no centre moves by TOLERANCE.
 """
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.config import PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES, StudyConfig
@@ -21,6 +23,8 @@ from strideframe.functions.stats_exprs import pearson, scalars
 from strideframe.session import ensure_checkpoint_dir
 
 USERS_PER_TASK = 50_000
+SCALE = 1 << 20
+START_POINTS, TOLERANCE, MAX_ITERATIONS = 512, 1e-4, 300
 
 
 def persona_features(dim_user: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
@@ -36,38 +40,131 @@ def zscore_pop(df: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
                                              F.lit(0.0)).alias(f) for f in feats])
 
 
-def _vectors(z: DataFrame, feats) -> DataFrame:
-    return VectorAssembler(inputCols=list(feats), outputCol="features").transform(z).select("user_id", "features")
+@dataclass
+class Fit:
+    """Centres (k x features, standardised) and the sum of squared distances of all users to the nearest one."""
+    centres: np.ndarray
+    cost: float
 
 
-def _fit_input(z: DataFrame, feats) -> DataFrame:
-    """The K-Means input, written once to the shared checkpoint folder (cuts the lineage back to the
-    raw scan, so each of the many fit jobs plans a short scan and a lost executor re-reads files),
-    then kept in memory for the iterations."""
+def _points(z: DataFrame, feats) -> DataFrame:
+    """user_id and whole-numbered coordinates, written once to the shared checkpoint folder (cuts the lineage back to the
+    raw scan, so that each iteration plans a short scan and a lost executor re-reads files)."""
     ensure_checkpoint_dir(z.sparkSession)
-    vec = _vectors(z, feats).checkpoint(eager=True)
-    # a task per 50,000 users: the many short jobs of the fits shouldn't run a task per shuffle partition
-    return vec.coalesce(max(1, math.ceil(vec.count() / USERS_PER_TASK))).persist()
-
-
-def fit_best(vec: DataFrame, k: int, n_init: int, seed: int, max_iter: int = 300):
-    """Best of ``n_init`` K-Means fits (lowest within-cluster sum of squares)."""
-    def fit(s):
-        m = KMeans(k=k, seed=seed + s, maxIter=max_iter, tol=1e-4, initMode="k-means||").fit(vec)
-        return m.summary.trainingCost, s, m
-    with ThreadPoolExecutor(max_workers=min(8, n_init)) as pool:
-        results = list(pool.map(fit, range(n_init)))
-    return min(results, key=lambda t: (t[0], t[1]))[2]
-
-
-def assign_clusters(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEATURES) -> DataFrame:
+    return z.select("user_id", *(F.round(F.col(f) * SCALE).cast("long").alias(f) for f in feats)).checkpoint(eager=True)
+
+
+def nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nearest centre of each row of x (the first of equally near ones) and its squared distance, added up
+    feature by feature, so that a row's result doesn't depend on the rows beside it."""
+    distance = np.zeros((len(x), len(centres)))
+    for j in range(x.shape[1]):
+        distance += (x[:, j, None] - centres[:, j]) ** 2
+    best = distance.argmin(1)
+    return best, distance[np.arange(len(x)), best]
+
+
+def _sums(points: DataFrame, feats, fits: list[np.ndarray]) -> list:
+    """(fit, centre, n, cost, sum of each feature) over the users nearest to each centre, of all fits in one job."""
+    given = points.sparkSession.sparkContext.broadcast(fits)
+    kind = ["fit int", "centre int", "n long", "cost long", *(f"s{j} long" for j in range(len(feats)))]
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = [np.zeros((len(c), 2 + len(feats)), np.int64) for c in given.value]
+        for batch in batches:
+            whole = np.stack([batch.column(f).to_numpy() for f in feats], 1)
+            x = whole / SCALE
+            for centres, t in zip(given.value, total):
+                at, distance = nearest(x, centres)
+                t[:, 0] += np.bincount(at, minlength=len(centres))
+                for j, values in enumerate([np.rint(distance * SCALE).astype(np.int64), *whole.T], 1):
+                    np.add.at(t[:, j], at, values)
+        fit = np.repeat(np.arange(len(total), dtype=np.int32), [len(t) for t in total])
+        centre = np.concatenate([np.arange(len(t), dtype=np.int32) for t in total])
+        yield pa.record_batch([pa.array(c) for c in (fit, centre, *np.concatenate(total).T.copy())], names=[k.split()[0] for k in kind])
+
+    sums = [F.sum(F.col(k.split()[0]).cast("decimal(38,0)")).alias(k.split()[0]) for k in kind[2:]]
+    found = points.select(*feats).mapInArrow(add_up, ", ".join(kind)).groupBy("fit", "centre").agg(*sums).collect()
+    given.unpersist()
+    return found
+
+
+def _start(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k of the sample's points, each drawn in proportion to the squared distance to the nearest one drawn before."""
+    rng = np.random.default_rng(seed)
+    chosen = [sample[rng.integers(len(sample))]]
+    while len(chosen) < k:
+        far = nearest(sample, np.array(chosen))[1]
+        chosen.append(sample[rng.choice(len(sample), p=far / far.sum()) if far.sum() > 0 else rng.integers(len(sample))])
+    return np.array(chosen)
+
+
+def fit_all(points: DataFrame, feats, wanted: list[tuple[int, int]], seed: int, max_iter: int = MAX_ITERATIONS) -> list[Fit]:
+    """For each (k, restarts) of ``wanted`` the best fit, lowest cost first, then earliest start."""
+    points = points.coalesce(max(1, math.ceil(points.count() / USERS_PER_TASK))).persist()
+    try:
+        drawn = points.orderBy(F.xxhash64(F.lit(seed), "user_id"), "user_id").limit(START_POINTS).select(*feats).collect()
+        sample = np.array([tuple(r) for r in drawn], np.float64).reshape(-1, len(feats)) / SCALE
+        owner = [i for i, (_, restarts) in enumerate(wanted) for _ in range(restarts)]
+        centres = [_start(sample, k, seed + s) for k, restarts in wanted for s in range(restarts)]
+        cost, moving = [math.inf] * len(centres), list(range(len(centres)))
+        for _ in range(max_iter):
+            moved = [c.copy() for c in centres]
+            total = dict.fromkeys(moving, 0)
+            for r in _sums(points, feats, [centres[f] for f in moving]):
+                f = moving[r["fit"]]
+                total[f] += int(r["cost"])
+                if r["n"]:  # a centre without users stays where it is
+                    moved[f][r["centre"]] = [int(r[f"s{j}"]) / int(r["n"]) / SCALE for j in range(len(feats))]
+            for f in moving:  # the cost is that of the centres that the sums were taken for
+                cost[f] = total[f] / SCALE
+            still = [f for f in moving if np.abs(moved[f] - centres[f]).max() >= TOLERANCE]
+            centres, moving = [moved[f] if f in still else c for f, c in enumerate(centres)], still
+            if not moving:
+                break
+    finally:
+        points.unpersist()
+    best = [min((f for f in range(len(owner)) if owner[f] == i), key=lambda f: (cost[f], f)) for i in range(len(wanted))]
+    return [Fit(centres[f], cost[f]) for f in best]
+
+
+def _label(feats, centres: np.ndarray) -> Column:
+    """The number of the nearest centre, the first of equally near ones."""
+    x = [F.round(F.col(f) * SCALE).cast("long") / F.lit(float(SCALE)) for f in feats]
+    distances = [sum(((x[j] - F.lit(float(c[j]))) * (x[j] - F.lit(float(c[j]))) for j in range(len(feats))), F.lit(0.0)) for c in centres]
+    if len(distances) == 1:
+        return F.lit(0)
+    return (F.array_position(F.array(*distances), F.least(*distances)) - 1).cast("int")
+
+
+@dataclass
+class Models:
+    """The best persona fit and the elbow's fits; either may be missing."""
+    personas: Fit | None = None
+    elbow: list[Fit] | None = None
+
+
+def fit_models(dim_user: DataFrame, cfg: StudyConfig | None = None, personas: bool = True, curve: bool = True, feats=PERSONA_FEATURES) -> Models:
+    """The persona model, the elbow's models or both, from one input and in the same jobs."""
     cfg = cfg or StudyConfig()
+    points = _points(zscore_pop(persona_features(dim_user, feats), feats), feats)
+    users = points.count()
+    if curve and users < cfg.elbow_max_k:
+        raise ValueError(f"{users} users can't be put into up to {cfg.elbow_max_k} clusters")
+    if not users:
+        return Models(Fit(np.zeros((1, len(feats))), 0.0), [])
+    wanted = [(cfg.persona_k, cfg.persona_n_init)] * personas \
+        + [(k, cfg.elbow_n_init if k > 1 else 1) for k in range(1, cfg.elbow_max_k + 1)] * curve
+    fits = fit_all(points, feats, wanted, cfg.seed)
+    return Models(fits[0] if personas else None, fits[personas:] if curve else None)
+
+
+def assign_clusters(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEATURES, models: Models | None = None) -> DataFrame:
+    """The clustered users with their features and cluster."""
+    models = models or fit_models(dim_user, cfg, curve=False, feats=feats)
     f = persona_features(dim_user, feats)
-    z = zscore_pop(f, feats)
-    vec = _fit_input(z, feats)
-    model = fit_best(vec, cfg.persona_k, cfg.persona_n_init, cfg.seed)
-    out = model.transform(vec).select("user_id", F.col("prediction").alias("cluster"))
-    return f.join(out, "user_id")
+    labelled = zscore_pop(f, feats).select("user_id", _label(feats, models.personas.centres).alias("cluster"))
+    return f.join(labelled, "user_id")
 
 
 def cluster_centres(assigned: DataFrame, feats=PERSONA_FEATURES) -> DataFrame:
@@ -93,30 +190,18 @@ def name_personas(centres: DataFrame) -> DataFrame:
     return n.select("cluster", F.concat(F.col("base"), suffix).alias("persona"))
 
 
-def dim_user_persona(dim_user: DataFrame, cfg: StudyConfig | None = None) -> DataFrame:
+def dim_user_persona(dim_user: DataFrame, cfg: StudyConfig | None = None, models: Models | None = None) -> DataFrame:
     """user_id, cluster, persona for every clustered user."""
-    assigned = assign_clusters(dim_user, cfg)
+    assigned = assign_clusters(dim_user, cfg, models=models)
     names = name_personas(cluster_centres(assigned))
     return assigned.join(F.broadcast(names), "cluster").select("user_id", "cluster", "persona")
 
 
-def elbow(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEATURES) -> DataFrame:
-    """Inertia for k = 1..max_k (k = 1 is the total squared distance to the mean)."""
-    cfg = cfg or StudyConfig()
-    spark = dim_user.sparkSession
-    z = zscore_pop(persona_features(dim_user, feats), feats)
-    k1 = z.agg(F.sum(sum((F.col(f) * F.col(f) for f in feats), F.lit(0.0))).alias("inertia")) \
-        .select(F.lit(1).alias("k"), "inertia")
-    vec = _fit_input(z, feats)
-    n = vec.count()
-    if n < cfg.elbow_max_k:
-        raise ValueError(f"{n} users can't be put into up to {cfg.elbow_max_k} clusters")
-    rows = []
-    for k in range(2, cfg.elbow_max_k + 1):
-        m = fit_best(vec, k, cfg.elbow_n_init, cfg.seed)
-        rows.append((k, float(round(m.summary.trainingCost, 4))))
-    rest = spark.createDataFrame(rows, "k int, inertia double")   # S8: a VALUES table of k rows
-    return k1.select(F.col("k").cast("int"), F.round("inertia", 4).alias("inertia")).unionByName(rest).orderBy("k")
+def elbow(dim_user: DataFrame, cfg: StudyConfig | None = None, feats=PERSONA_FEATURES, models: Models | None = None) -> DataFrame:
+    """Inertia for k = 1..max_k (k = 1 is the total squared distance to the mean), a VALUES table of k rows."""
+    models = models or fit_models(dim_user, cfg, personas=False, feats=feats)
+    rows = [(len(fit.centres), float(round(fit.cost, 4))) for fit in models.elbow]
+    return dim_user.sparkSession.createDataFrame(rows, "k int, inertia double").orderBy("k")
 
 
 def persona_minmax(dim_user: DataFrame, personas: DataFrame,

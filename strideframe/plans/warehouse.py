@@ -13,11 +13,11 @@ import uuid
 from concurrent.futures import ThreadPoolExecutor
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from strideframe.config import StudyConfig
-from strideframe.operators import cleaning, marts, staging
+from strideframe.operators import cleaning, marts, personas, staging
 from strideframe.sources.landing import RawSources
 
 MART_NAMES = ["fct_daily", "fct_sleep_sessions", "fct_sleep", "fct_hourly", "fct_heartrate_hourly",
@@ -82,9 +82,13 @@ class Warehouse:
     def staged(self) -> staging.Staged:
         return staging.stage_all(self.raw)
 
+    @cached_property
+    def measured(self) -> dict[str, cleaning.Measured]:
+        return cleaning.measure_all(self.staged, self.cfg)
+
     @cached_property
     def cleaned(self) -> cleaning.Cleaned:
-        return cleaning.clean_all(self.staged, self.cfg)
+        return cleaning.clean_all(self.measured)
 
     @cached_property
     def fct_daily(self) -> DataFrame:
@@ -127,7 +131,7 @@ class Warehouse:
 
     @cached_property
     def dq_log(self) -> DataFrame:
-        return self._t("dq_log", lambda: cleaning.dq_log(self.staged, self.cleaned, self.cfg))
+        return self._t("dq_log", lambda: cleaning.dq_log({n: m.counted() for n, m in self.measured.items()}, self.cfg))
 
     @cached_property
     def dq_reconciliation(self) -> DataFrame:
@@ -135,19 +139,16 @@ class Warehouse:
 
     @cached_property
     def dim_user_persona(self) -> DataFrame:
-        """K-Means personas (fits the model when first used; the result is cached)."""
-        if "dim_user_persona" in self._tables:
-            return self._tables["dim_user_persona"]
-        from strideframe.operators.personas import dim_user_persona
-        return dim_user_persona(self.dim_user, self.cfg).cache()
+        """K-Means personas (fits the model when first used)."""
+        return self._t("dim_user_persona", lambda: personas.dim_user_persona(self.dim_user, self.cfg, self.models))
 
     @cached_property
     def model_elbow(self) -> DataFrame:
         """Inertia for 1 to 8 clusters (fits the models when first used)."""
-        if "model_elbow" in self._tables:
-            return self._tables["model_elbow"]
-        from strideframe.operators.personas import elbow
-        return elbow(self.dim_user, self.cfg)
+        return self._t("model_elbow", lambda: personas.elbow(self.dim_user, self.cfg, models=self.models))
+
+    # fitted models to take both tables from; without them each table fits its own
+    models: personas.Models | None = None
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -170,8 +171,8 @@ class Warehouse:
                     models: bool = True) -> "Warehouse":
         """Write the cleaned layer, the marts and the persona model as parquet under ``path/<build-id>``.
 
-        A current build is kept and returned unless ``force``.  A build of some tables only (``names``, or
-        without ``models``) is returned, but never becomes the current one while it lacks marts.
+        A current build is kept and returned unless ``force``.  A build of some tables only (``names``)
+        is returned, but never becomes the current one while it lacks marts; one without ``models`` takes over the last fitted ones.
 
         The cleaned tables are written first and read back, which cuts the lineage (the
         exploded minute-level sleep table is computed once), and each mart is built from
@@ -200,24 +201,31 @@ class Warehouse:
             return spark.read.schema(schema).parquet(loc)
 
         stage = Warehouse(spark, self.raw, self.cfg)
-        c = self.cleaned
-        cleaned_parts = {"daily": c.daily, "sleep_day": c.sleep_day, "minute_sleep": c.minute_sleep,
-                         "hourly": c.hourly, "heartrate": c.heartrate, "weight": c.weight}
+        # the audit's counts are taken by the writes themselves
+        observations = {name: Observation(f"{name}-{build_id}") for name in self.measured}
+        cleaned_parts = vars(cleaning.clean_all(self.measured, observations))
         # independent writes of one wave run as concurrent jobs (the scheduler interleaves their
         # tasks); each wave only reads tables written by earlier waves
         with ThreadPoolExecutor(max_workers=self.BUILD_THREADS) as pool:
             futs = {k: pool.submit(write_read, f"cleaned/{k}", df) for k, df in cleaned_parts.items()}
             stage.__dict__["cleaned"] = cleaning.Cleaned(**{k: f.result() for k, f in futs.items()})
+            stage.__dict__["dq_log"] = cleaning.dq_log(cleaning.observed_counts(spark, self.measured, observations), self.cfg)
             wanted = set(names or MART_NAMES + MODEL_NAMES * models)
             todo = [n for n in self.BUILD_ORDER if n in wanted or any(self._needs(m, n) for m in wanted)]
             for wave in self.BUILD_WAVES:
                 batch = [n for n in wave if n in todo]
+                if wave is MODEL_NAMES and batch:
+                    stage.models = personas.fit_models(stage.dim_user, self.cfg, *(n in batch for n in MODEL_NAMES))
                 frames = {n: stage.table(n) for n in batch}
                 futs = {n: pool.submit(write_read, n, frames[n], self.DATE_PARTITIONED.get(n)) for n in batch}
                 for n, f in futs.items():
                     stage.__dict__[n] = f.result()
         written = {n: stage.__dict__[n] for n in MART_NAMES + MODEL_NAMES if n in todo}
         if set(MART_NAMES) <= set(written):
+            if not models and _exists(spark, os.path.join(path, "CURRENT")):
+                # the last fitted model stays with the current build
+                old = Warehouse.current(spark, path, self.cfg)._tables
+                written |= {n: write_read(n, old[n]) for n in MODEL_NAMES if n in old}
             _point(spark, path, build_id)
         return Warehouse(spark, None, self.cfg, written)
 

@@ -1,9 +1,11 @@
 """Dashboard filters and the persona model."""
 import datetime as dt
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from strideframe.config import StudyConfig
 from strideframe.operators import personas
 from strideframe.operators.filters import Filters
 
@@ -42,7 +44,6 @@ def test_kmeans_personas_cover_users(spark):
     rows.append((99, 0.0, 0.0, 0.0, 0.0, 0))     # no valid day -> not clustered
     dim = spark.createDataFrame(rows, "user_id long, avg_steps double, avg_sedentary_min double, avg_mvpa_min double,"
                                       " avg_light_min double, valid_days long")
-    from strideframe.config import StudyConfig
     cfg = StudyConfig(persona_n_init=3, elbow_n_init=2, elbow_max_k=4)
     p = personas.dim_user_persona(dim, cfg)
     got = p.collect()
@@ -53,3 +54,51 @@ def test_kmeans_personas_cover_users(spark):
     assert [r.k for r in sorted(el, key=lambda r: r.k)] == [1, 2, 3, 4]
     assert inertia[0] == pytest.approx(5 * 40)      # standardised: k=1 inertia = n * features
     assert all(a >= b - 1e-6 for a, b in zip(inertia, inertia[1:]))
+
+
+def _users(spark, n=300, parts=1):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1, (n // 3, 5)) for m in (0, 4, 9)])
+    rows = [(int(i), *map(float, r[:4]), int(abs(r[4]) * 3) + 1) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "user_id long, avg_steps double, avg_sedentary_min double, avg_mvpa_min double,"
+                                       " avg_light_min double, valid_days long").repartition(parts)
+
+
+def test_all_fits_in_one_job_match_plain_lloyd(spark):
+    """Each fit of the batch ends where Lloyd's algorithm on its own ends, and the best of them is kept."""
+    feats = personas.PERSONA_FEATURES
+    points = personas._points(personas.zscore_pop(personas.persona_features(_users(spark, parts=3))), feats)
+    x = np.array([tuple(r) for r in points.select(*feats).collect()], float) / personas.SCALE
+    drawn = points.orderBy(F.xxhash64(F.lit(7), "user_id"), "user_id").limit(personas.START_POINTS).select(*feats).collect()
+    sample = np.array([tuple(r) for r in drawn], float) / personas.SCALE
+    wanted = [(1, 1), (2, 2), (5, 3)]
+    for (k, restarts), fit in zip(wanted, personas.fit_all(points, feats, wanted, seed=7)):
+        best = None
+        for s in range(restarts):
+            c = personas._start(sample, k, 7 + s)
+            while True:
+                d = ((x[:, None] - c) ** 2).sum(-1)
+                at = d.argmin(1)
+                new = np.array([x[at == j].mean(0) if (at == j).any() else c[j] for j in range(k)])
+                if np.abs(new - c).max() < personas.TOLERANCE:
+                    break
+                c = new
+            best = min(best or (np.inf, 0), (d.min(1).sum(), s))
+        assert fit.cost == pytest.approx(best[0], abs=1e-3) and fit.centres.shape == (k, 5)
+
+
+def test_fits_do_not_depend_on_partitions(spark):
+    cfg = StudyConfig(persona_n_init=4, elbow_n_init=2, elbow_max_k=5)
+    one, many = (personas.fit_models(_users(spark, parts=p), cfg) for p in (1, 7))
+    assert (one.personas.centres == many.personas.centres).all()
+    assert [f.cost for f in one.elbow] == [f.cost for f in many.elbow]
+    labels = {r.user_id: r.cluster for r in personas.assign_clusters(_users(spark, parts=2), cfg, models=one).collect()}
+    points = personas._points(personas.zscore_pop(personas.persona_features(_users(spark))), personas.PERSONA_FEATURES).collect()
+    x = np.array([r[1:] for r in points], float) / personas.SCALE
+    assert [labels[r.user_id] for r in points] == personas.nearest(x, one.personas.centres)[0].tolist()
+
+
+def test_fits_of_equal_and_no_users(spark):
+    same = spark.createDataFrame([(i, 1.0, 2.0, 3.0, 4.0, 5) for i in range(9)], _users(spark).schema)
+    assert {r.cluster for r in personas.dim_user_persona(same, StudyConfig(persona_n_init=2)).collect()} == {0}
+    assert personas.dim_user_persona(same.where("user_id < 0"), StudyConfig()).count() == 0

@@ -2,11 +2,12 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from fixtures import raw_sources
 from strideframe.config import StudyConfig
-from strideframe.operators import checks
+from strideframe.operators import checks, cleaning
 from strideframe.plans.warehouse import Warehouse
 
 
@@ -155,3 +156,34 @@ def test_landing_folder_roundtrip(spark, tmp_path):
     assert wh2.fct_daily.count() == 9 and wh2.dim_user.count() == 2
     with pytest.raises(FileNotFoundError, match="sleepDay"):
         RawSources.from_folder(spark, str(tmp_path / "empty"))
+
+
+def test_audit_is_taken_while_writing(wh, tmp_path):
+    """The built audit log equals the counted one and reads no table."""
+    counted = sorted(map(tuple, wh.dq_log.collect()))
+    measured, observations = wh.measured, {n: Observation(n) for n in wh.measured}
+    for name, df in vars(cleaning.clean_all(measured, observations)).items():
+        df.write.parquet(str(tmp_path / name))
+    log = cleaning.dq_log(cleaning.observed_counts(wh.spark, measured, observations), wh.cfg)
+    assert sorted(map(tuple, log.collect())) == counted and len(counted) == 7
+    plan = log._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "Exchange" not in plan
+    built = wh.materialize(str(tmp_path / "wh"), models=False)
+    assert sorted(map(tuple, built.dq_log.collect())) == counted
+
+
+def test_audit_counts_of_copies_and_empty_tables(spark):
+    rows = [(1, 5)] * 4 + [(1, 6), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "user_id long, minute long").repartition(3)
+    m = cleaning._without_copies(df, F.col("minute") < 6)
+    assert tuple(m.counted().first()) == (7, 1) and [tuple(r) for r in m.observed().collect()] == [(1, 5)]
+    assert tuple(cleaning._without_copies(df).counted().first()) == (7, 3)
+    assert tuple(cleaning._without_copies(df.limit(0)).counted().first()) == (0, 0)
+
+
+def test_last_models_stay_with_a_build_without(spark, tmp_path):
+    lazy, path = Warehouse.from_driver(spark, "/root/testdata/sf0.001", StudyConfig(persona_n_init=2, elbow_n_init=1)), str(tmp_path / "wh")
+    first = sorted(map(tuple, lazy.materialize(path).dim_user_persona.collect()))
+    lazy.materialize(path, force=True, models=False)
+    again = Warehouse.current(spark, path)
+    assert "dim_user_persona" in again._tables and sorted(map(tuple, again.dim_user_persona.collect())) == first
