@@ -1,15 +1,16 @@
 """Line dedup (native): globally repeated multi-line chunks with content-defined boundaries.
 
-A text's lines are hashed; a rolling hash over two neighbouring line hashes ends a chunk wherever it
-is divisible by ``mean`` (a chunk has about ``mean`` lines).  Boundaries depend on the lines around
-them alone, so a passage that was moved or has lines inserted before it falls into the same chunks.
-Chunks of two or more lines with a word in them are counted over the corpus by hash; where a hash
-repeats, the texts of its chunks are fetched and compared with the first one's byte by byte, and equal
-ones but the first (smallest doc_id, then position) are removed.
+A text's lines are hashed; a rolling hash over two neighbouring lines begins a chunk of these two lines wherever it
+is divisible by ``mean``.  Where chunks begin depends on their own two lines alone, so a passage that was moved or has
+lines inserted before it falls into the same chunks, and a repeated run of lines into repeated chunks that overlap.  With
+mean 1 every run of two lines or more is covered whole; sparser chunks miss the short runs, of which most repeated
+passages are (a run of two lines has one chunk).
 
-Everything is DataFrame operations.  Texts travel twice, by document, never by chunk hash but for
-repeated chunks; a hash that a third of all chunks share is counted by partial aggregation, and the
-joins on hashes are plain sort-merge joins, which adaptive execution splits.
+Chunks with a word in them are counted over the corpus by hash; where a hash repeats, the texts of its chunks are compared
+with the first one's byte by byte.  The lines of all equal ones but the first (smallest doc_id, then position) go.
+
+Everything is DataFrame operations.  A hash that a third of all chunks share is counted by partial aggregation, and joins
+on hashes are salted (see skew).  Texts are shuffled by document, and repeated chunks by hash.
 
 Results: a null text stays null, an empty one empty.  Rows with equal id and equal text count as one
 document and are treated alike; rows with equal id and other text are told apart by the text's hash.
@@ -20,9 +21,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MEAN = 4
+from strideframe.llm.skew import salted_join
+from strideframe.llm.store import stage
+
+MEAN = 1
 _WORD = r"[^\x20\x09-\x0D]"
-_NO_ID = -(1 << 63)
+_KEY = ["known", "k1", "k2"]
 
 
 def _let(value: Column, body) -> Column:
@@ -30,107 +34,94 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def line_hash(line: Column) -> Column:
-    """40 bits, which DuckDB can compute as well."""
-    return F.conv(F.substring(F.md5(line), 1, 10), 16, 10).cast("long")
+def chunks(text: Column, mean: int = MEAN) -> Column:
+    """array<struct<at, h>>: the first line and the hash of each chunk with a word in it."""
+    def of(lines: Column) -> Column:
+        pairs = F.transform(F.slice(lines, F.lit(1), F.size(lines) - 1),
+                            lambda line, i: F.struct(i.alias("at"), F.xxhash64(line, F.get(lines, i + 1)).alias("h")))
+        return F.filter(pairs, lambda c: ((F.get(lines, c["at"]).rlike(_WORD)) | F.get(lines, c["at"] + 1).rlike(_WORD))
+                        & (F.pmod(c["h"], F.lit(mean)) == 0))
+
+    return _let(F.split(text, "\n"), of)
 
 
-def chunks(text: Column, mean: int = MEAN) -> Column:
-    """array<struct<n_lines, text>>: the chunks of a text, whose texts joined by line breaks are the text."""
-    def of(lines: Column, hashes: Column) -> Column:
-        ends = F.filter(
-            F.transform(hashes, lambda h, i: F.when(((F.coalesce(F.get(hashes, i - 1), F.lit(0)) * 31 + h) % mean == 0)
-                                                    | (i == F.size(hashes) - 1), i)),
-            lambda e: e.isNotNull())
-
-        def cut(es: Column) -> Column:
-            def chunk(e: Column, k: Column) -> Column:
-                start = F.coalesce(F.get(es, k - 1) + 1, F.lit(0))
-                return F.named_struct(F.lit("n_lines"), e - start + 1,
-                                      F.lit("text"), F.array_join(F.slice(lines, start + 1, e - start + 1), "\n"))
-            return F.transform(es, chunk)
-
-        return _let(ends, cut)
-
-    return _let(F.split(text, "\n"), lambda ls: _let(F.transform(ls, line_hash), lambda hs: of(ls, hs)))
-
-
-def _keyed(docs: DataFrame, id_col: str, text_col: str, extra: list[Column]) -> DataFrame:
-    """k1, k2 (the document's id and its text's hash), its text, and ``extra``."""
-    text = F.col(f"`{text_col}`").cast("string")
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(_NO_ID)).alias("k1"),
-                       F.xxhash64(text).alias("k2"), text.alias("text"), *extra)
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN) -> DataFrame:
-    """k1, k2, gone: the positions of the chunks to remove from each document that has any."""
-    keyed = _keyed(docs, id_col, text_col, [])
-    counted = keyed.select("k1", "k2", F.posexplode(chunks(F.col("text"), mean)).alias("at", "c")) \
-                   .where((F.col("c.n_lines") > 1) & F.col("c.text").rlike(_WORD)) \
-                   .select("k1", "k2", "at", F.xxhash64("c.text").alias("h"))
-    firsts = counted.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "at")).alias("first")).where("n > 1")
-    marked = counted.join(firsts, "h").select("k1", "k2", F.struct("at", "h", "first").alias("mark"))
-    marks = marked.groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks"))
-
-    # the repeated chunks' texts, by document; identical documents give them once
-    fetched = keyed.join(marks, ["k1", "k2"]).dropDuplicates(["k1", "k2"]) \
-        .select("k1", "k2", F.explode(F.transform(F.col("marks"), lambda m: m)).alias("m"), chunks(F.col("text"), mean).alias("cs")) \
-        .select("k1", "k2", "m.at", "m.h", "m.first", F.get("cs", F.col("m.at"))["text"].alias("text"))
-    is_first = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2")) & (F.col("first.at") == F.col("at"))
-    kept = fetched.where(is_first).select("h", F.col("text").alias("kept"))
-    same = fetched.where(~is_first).join(kept, "h").where(F.col("text").cast("binary") == F.col("kept").cast("binary"))
-    return same.groupBy("k1", "k2").agg(F.collect_set("at").alias("gone"))
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """known, k1, k2 (the document's id, if any, and its text's hash), its text, and the other columns as ``own``."""
+    text, id_ = F.col(f"`{text_col}`").cast("string"), F.col(f"`{id_col}`").cast("long")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (id_col, text_col)]
+    return docs.select(id_.isNotNull().alias("known"), F.coalesce(id_, F.lit(0)).alias("k1"), F.xxhash64(text).alias("k2"), text.alias("text"),
+                       *([F.struct(*others).alias("own")] if others else []))
+
+
+def _marked(keyed: DataFrame, mean: int) -> DataFrame:
+    """``keyed`` with marks: array of (at, h, first) of its repeated chunks, null where it has none."""
+    found = keyed.select(*_KEY, F.explode(chunks(F.col("text"), mean)).alias("c")).select(*_KEY, "c.at", "c.h")
+    firsts = stage(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "at")).alias("first")).where("n > 1"), "repeated-chunks")
+    marked = salted_join(found, firsts.select("h", "first"), "h", "k1", counts=firsts.select("h", "n"))
+    marks = marked.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "h", "first")).alias("marks"))
+    return keyed.join(marks, _KEY, "left")
+
+
+def _is_first(mark: Column) -> Column:
+    return (mark["first"]["known"] == F.col("known")) & (mark["first"]["k1"] == F.col("k1")) & (mark["first"]["k2"] == F.col("k2")) \
+        & (mark["first"]["at"] == mark["at"])
+
+
+def _unequal(rows: DataFrame) -> DataFrame:
+    """known, k1, k2, wrong: the places of marked chunks whose hash is the first one's and whose bytes aren't."""
+    pieces = rows.where("marks IS NOT NULL").select(*_KEY, F.explode(_let(F.split("text", "\n"), lambda ls: F.transform("marks", lambda m: F.struct(
+        m["at"].alias("at"), m["h"].alias("h"), _is_first(m).alias("is_first"),
+        F.concat_ws("\n", F.get(ls, m["at"]), F.get(ls, m["at"] + 1)).alias("text"))))).alias("p")).select(*_KEY, "p.*")
+    firsts = pieces.where("is_first").groupBy("h").agg(F.min("text").alias("kept"))
+    others = pieces.where("NOT is_first")
+    same = salted_join(others, firsts, "h", "k1", counts=others.groupBy("h").agg(F.count("*").alias("n")))
+    return same.where(F.col("text").cast("binary") != F.col("kept").cast("binary")).groupBy(*_KEY).agg(F.collect_set("at").alias("wrong"))
 
 
 COUNTS = ("n_lines", "n_removed_lines", "n_removed_chunks")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mean: int = MEAN,
-               counts: bool = True) -> DataFrame:
-    """``docs`` with repeated chunks removed from the text; with ``counts``, the columns COUNTS (long) behind
-    their own, in place of any so named."""
-    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own")
-    rows = _keyed(docs, id_col, text_col, [own]).drop("text").join(repeated(docs, id_col, text_col, mean), ["k1", "k2"], "left") \
-        .withColumn("text", F.col(f"own.`{text_col}`").cast("string"))
-    gone = F.coalesce(F.col("gone"), F.array().cast("array<int>"))
-
-    def rest(cs: Column) -> Column:
-        left = F.array_except(F.sequence(F.lit(0), F.size(cs) - 1), gone)
-        lines = F.aggregate(cs, F.lit(0), lambda a, c: a + c["n_lines"])
-        removed = F.aggregate(gone, F.lit(0), lambda a, p: a + F.get(cs, p)["n_lines"])
-        return F.named_struct(F.lit("text"), F.array_join(F.transform(left, lambda p: F.get(cs, p)["text"]), "\n"),
-                              F.lit("n_lines"), lines.cast("long"), F.lit("n_removed_lines"), removed.cast("long"))
+               counts: bool = True, least_left: float | None = None) -> DataFrame:
+    """``docs`` with the lines of repeated chunks removed from the text; with ``counts``, the columns COUNTS (long) behind
+    their own, in place of any so named.  With ``least_left`` documents go that had lines removed and have no word left, or
+    less than this share of their characters: what is left of a copy of others."""
+    rows = _marked(_keyed(docs, id_col, text_col), mean)
+    rows = rows.join(_unequal(rows), _KEY, "left")
+    later = F.transform(F.filter(F.coalesce("marks", F.array()), lambda m: ~_is_first(m)), lambda m: m["at"])
+    gone = F.array_except(later, F.coalesce("wrong", F.array().cast("array<int>")))
+
+    def rest(lines: Column, gone: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.array_union(gone, F.transform(gone, lambda p: p + 1)))
+        return F.named_struct(F.lit("text"), F.array_join(F.transform(left, lambda p: F.get(lines, p)), "\n"),
+                              F.lit("n_lines"), F.size(lines).cast("long"), F.lit("n_removed_lines"), (F.size(lines) - F.size(left)).cast("long"),
+                              F.lit("n_removed_chunks"), F.size(gone).cast("long"))
 
     # out of a generator of one row: a later filter on the text isn't pushed beneath it, which would compute it again
-    found = F.when(F.col("text").isNotNull(), _let(chunks(F.col("text"), mean), rest))
+    found = F.when(F.col("text").isNotNull(), _let(gone, lambda g: _let(F.split("text", "\n"), lambda ls: rest(ls, g))))
     done = rows.withColumn("rest", F.explode(F.array(found)))
-    out = [F.col("rest.text").alias(c) if c == text_col else F.col(f"own.`{c}`")
-           for c in docs.columns if not (counts and c in COUNTS)]
-    counted = (F.coalesce("rest.n_lines", F.lit(0)), F.coalesce("rest.n_removed_lines", F.lit(0)), F.size(gone).cast("long"))
-    return done.select(*out, *(c.alias(n) for n, c in zip(COUNTS, counted) if counts))
+    if least_left is not None:
+        left = (F.length("rest.text") >= least_left * F.length("text")) & F.col("rest.text").rlike(_WORD)
+        done = done.where(F.col("text").isNull() | (F.col("rest.n_removed_lines") == 0) | left)
+    kinds = {id_col: F.when(F.col("known"), F.col("k1")).cast(docs.schema[id_col].dataType), text_col: F.col("rest.text")}
+    out = [(kinds[c] if c in kinds else F.col(f"own.`{c}`")).alias(c) for c in docs.columns if not (counts and c in COUNTS)]
+    return done.select(*out, *(F.coalesce(f"rest.{n}", F.lit(0)).alias(n) for n in COUNTS if counts))
 
 
-#: DuckDB's twin of the query: chunks compared as whole texts, numbered by window functions.
+#: DuckDB's twin of the query: pairs of lines compared as texts, numbered by a window function.
 ORACLE = """
 WITH lines AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i
-  FROM documents),
-hashed AS (
-  SELECT *, CAST('0x' || substr(md5(line), 1, 10) AS BIGINT) AS h FROM lines),
-ended AS (
-  SELECT *, CASE WHEN (coalesce(lag(h) OVER w, 0) * 31 + h) % 4 = 0 THEN 1 ELSE 0 END AS ends FROM hashed
-  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-numbered AS (
-  SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
-  FROM ended),
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+pairs AS (
+  SELECT doc_id, i, line || chr(10) || lead(line) OVER (PARTITION BY doc_id ORDER BY i) AS pair FROM lines),
 chunk AS (
-  SELECT doc_id, place, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY i) AS piece FROM numbered GROUP BY doc_id, place),
-judged AS (
-  SELECT *, n_lines > 1 AND regexp_matches(piece, '[^\\x20\\x09-\\x0D]')
-         AND row_number() OVER (PARTITION BY piece ORDER BY doc_id, place) > 1 AS gone FROM chunk)
-SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines,
-       CAST(coalesce(sum(n_lines) FILTER (WHERE gone), 0) AS BIGINT) AS n_removed_lines,
-       count(*) FILTER (WHERE gone) AS n_removed_chunks,
-       sha256(coalesce(string_agg(piece, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+  SELECT doc_id, i, row_number() OVER (PARTITION BY pair ORDER BY doc_id, i) > 1 AS again FROM pairs
+  WHERE regexp_matches(pair, '[^\\x20\\x09-\\x0D]')),
+gone AS (SELECT doc_id, i FROM chunk WHERE again UNION SELECT doc_id, i + 1 FROM chunk WHERE again),
+left_over AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS kept FROM lines ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+total AS (SELECT doc_id, count(*) AS n FROM lines GROUP BY doc_id),
+removed AS (SELECT doc_id, count(*) AS n FROM chunk WHERE again GROUP BY doc_id)
+SELECT doc_id, coalesce(total.n, 0) AS n_lines, coalesce(total.n, 0) - coalesce(left_over.n, 0) AS n_removed_lines,
+       coalesce(removed.n, 0) AS n_removed_chunks, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN total USING (doc_id) LEFT JOIN left_over USING (doc_id) LEFT JOIN removed USING (doc_id)
 """

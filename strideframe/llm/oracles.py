@@ -8,7 +8,7 @@ _SPACE = r"[\x20\x09-\x0D]+"
 
 def _fails(rule: quality.Threshold) -> str:
     bounds = [f"{rule.metric} < {rule.low}::DOUBLE"] * (rule.low is not None) + [f"{rule.metric} > {rule.high}::DOUBLE"] * (rule.high is not None)
-    return "coalesce(" + " OR ".join(bounds) + ", FALSE)"
+    return f"coalesce(({' OR '.join(bounds)}) AND n_words >= {rule.min_words}, FALSE)"
 
 
 QUALITY = rf"""

@@ -10,7 +10,7 @@ Repeated rows and repeated ids each get their own result row.
 """
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -53,13 +53,10 @@ BASE = (Threshold("n_words", low=10), Threshold("repeat_excess", high=0))
 TABLE = (
     Threshold("mean_word_length", low=2.0, high=15.0),
     Threshold("symbol_ratio", high=0.3),
-    Threshold("stop_word_ratio", low=0.005),
+    Threshold("stop_word_ratio", low=0.005, min_words=200),  # one listed word in 200 can't be asked of shorter texts
     Threshold("dup_line_ratio", high=0.5),
     Threshold("alpha_word_ratio", low=0.5),
 )
-#: What ``keep_good`` drops by: one listed word in 200 can be expected of texts of 200 words or more only.  The query's
-#: SQL twin fixes TABLE, which asks shorter texts for one as well.
-KEEP_TABLE = tuple(replace(r, min_words=200) if r.metric == "stop_word_ratio" else r for r in TABLE)
 
 
 def _let(value: Column, body) -> Column:
@@ -153,7 +150,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_good(docs: DataFrame, text_col: str = "text",
-              base: tuple[Threshold, ...] = BASE, table: tuple[Threshold, ...] = KEEP_TABLE) -> DataFrame:
+              base: tuple[Threshold, ...] = BASE, table: tuple[Threshold, ...] = TABLE) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns.  Each row carries its own verdict (no
     join), so repeated ids are judged row by row."""
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),

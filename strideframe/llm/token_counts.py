@@ -1,10 +1,10 @@
 """Token counts by a map-side two-tier lookup; no pre-token is shuffled.
 
 Tier one is a broadcast table of the corpus' most frequent units (a unit: what stands between two
-single spaces) and their token counts, bounded by ``hot``; every document is counted for it, each
-task summing up its own and passing on its ``per_task`` most frequent ones.  Tier two is a cache in
-each worker, bounded too, which encodes a unit by the tokenizers library when it is first met.  Both
-tiers only save work: a unit in neither is encoded, so the counts don't depend on them.
+single spaces) and their token counts, bounded by ``hot`` units of at most KEPT characters each, and so by
+hot * KEPT characters; every document is counted for it, each task summing up its own and passing on its ``per_task``
+most frequent ones.  Tier two is a cache in each worker, bounded alike, which encodes a unit by the tokenizers library
+when it is first met.  Both tiers only save work: a unit in neither is encoded, so the counts don't depend on them.
 
 A null text counts as empty: no bytes, no tokens.  Every input row gets its own result row.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideframe.llm.store import texts
-from strideframe.llm.tokens import UnitLengths, encode, space_units
+from strideframe.llm.tokens import KEPT, UnitLengths, encode, space_units
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -29,7 +29,7 @@ def _frequent(batches: Iterator[pa.RecordBatch], per_task: int, memory: int = 30
     seen: Counter[str] = Counter()
     for batch in batches:
         for text in batch.column("text"):
-            seen.update(space_units(text.as_py() or "")[1:])
+            seen.update(u for u in space_units(text.as_py() or "")[1:] if len(u) <= KEPT)
             if len(seen) > memory:  # forget the rare ones; they'd not get into the table
                 seen = Counter(dict(seen.most_common(memory // 2)))
     top = seen.most_common(per_task)

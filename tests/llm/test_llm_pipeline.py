@@ -36,7 +36,8 @@ def test_quality_stage(stages):
 
 def test_line_stage(stages):
     before, after = stages["line_dedup"]
-    want = {i: x for i, x in _line_brute([(r.doc_id, r.text) for r in before.values()]) if x and brute.WORD.search(x)}
+    rest = _line_brute([(r.doc_id, r.text) for r in before.values()])
+    want = {i: x for i, x in rest if x and brute.WORD.search(x) and (x == before[i].text or len(x) >= corpus_pipeline.LEAST_LEFT * len(before[i].text))}
     assert {i: (r.text, r.n_chars) for i, r in after.items()} == {i: (x, len(x)) for i, x in want.items()}
 
 
@@ -60,3 +61,30 @@ def test_encode_stage(stages):
 
 def test_run(spark, stages):
     assert {r.doc_id for r in corpus_pipeline.run(spark, SMALL).collect()} == set(stages["encode"][1])
+
+
+@pytest.mark.parametrize("name, step", corpus_pipeline.STAGES)
+def test_stages_on_odd_input(spark, name, step):
+    """Null, empty, repeated and long rows, ids at the edge, columns that clash, and no rows at all."""
+    good = "The committee met on Monday and agreed to a plan that will be sent to all of the members before the end of the week."
+    rows = [(1, good), (1, good), (None, good + " Once more."), (2, None), (3, ""), (4, good + "\nand a second line of it\n" + good), (-(1 << 63), "x" * 60_000),
+            ((1 << 63) - 1, "\n".join(f"{good} {i}" for i in range(50))), (5, " \n\t"), (5, "a b")]
+    extra = "doc_id long, text string, overlap int, own string, rest string, marks int, fp long, chunk long, n_words int, n_lines int, known boolean, root int"
+    docs = spark.createDataFrame([(i, x, 1, "o", "r", 2, 3, 4, 5, 6, True, 7) for i, x in rows], extra).repartition(3)
+    kept = corpus_pipeline.stage(step(spark, docs, SMALL), f"odd-{name}")
+    assert step(spark, docs.where("false"), SMALL).count() == 0
+    if name == "encode":
+        assert kept.count() == len(rows)
+        return
+    assert kept.columns == docs.columns
+    ids = sorted((r.doc_id for r in kept.collect()), key=str)
+    group = brute.simhash([(k, x) for k, (_, x) in enumerate(rows)])
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[group[k][1]] = min(least.get(group[k][1], i), i)
+    first, last = -(1 << 63), (1 << 63) - 1
+    assert ids == sorted({"quality_rules": [1, 1, None], "line_dedup": [1, 1, None, 4, first, last, 5],
+                          "simhash_dedup": [i for k, (i, _) in enumerate(rows) if least.get(group[k][1]) == i],
+                          "decontaminate": [i for i, _ in rows]}[name], key=str)
+    assert {tuple(r)[2:] for r in kept.collect()} == {(1, "o", "r", 2, 3, 4, 5, 6, True, 7)}

@@ -47,30 +47,22 @@ def test_quality_is_one_native_projection(spark):
 
 
 def _line_brute(docs, mean=line_chunks.MEAN):
-    """Chunks by the same boundary rule, compared as whole texts."""
-    import hashlib
-    h = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:10], 16)
-    cut = {}
-    for d in set(docs):
-        if d[1] is not None:
-            lines, out, now = d[1].split("\n"), [], []
-            for i, x in enumerate(lines):
-                now.append(x)
-                if ((h(lines[i - 1]) if i else 0) * 31 + h(x)) % mean == 0 or i == len(lines) - 1:
-                    out.append(now)
-                    now = []
-            cut[d] = out
+    """Every two neighbouring lines with a word, compared as texts; all but the first of equal ones go."""
+    signed = lambda x: (x + (1 << 63)) % (1 << 64) - (1 << 63)
+    rolling = lambda a, b: signed(xxhash.xxh64_intdigest(b.encode(), xxhash.xxh64_intdigest(a.encode(), 42)))
     seen, gone = set(), set()
-    for d in sorted(cut, key=lambda d: (-1 if d[0] is None else d[0])):
-        for k, c in enumerate(cut[d]):
-            if len(c) > 1 and brute.WORD.search("\n".join(c)):
-                if tuple(c) in seen:
-                    gone.add((d, k))
-                seen.add(tuple(c))
-    return [(d[0], None if d[1] is None else "\n".join("\n".join(c) for k, c in enumerate(cut[d]) if (d, k) not in gone)) for d in docs]
-
-
-def test_line_chunks(frame):
+    for d in sorted(set(docs), key=lambda d: (d[0] is not None, d[0] or 0)):
+        lines = [] if d[1] is None else d[1].split("\n")
+        for i, pair in enumerate(zip(lines, lines[1:])):
+            if brute.WORD.search("\n".join(pair)) and rolling(*pair) % mean == 0:
+                if pair in seen:
+                    gone |= {(d, i), (d, i + 1)}
+                seen.add(pair)
+    return [(d[0], None if d[1] is None else "\n".join(x for i, x in enumerate(d[1].split("\n")) if (d, i) not in gone)) for d in docs]
+
+
+@pytest.mark.parametrize("mean", [1, 3])
+def test_line_chunks(frame, mean):
     rng = random.Random(2)
     pool = [f"line {i} é" for i in range(30)] + ["", "very common line"] * 4
     passages = [[rng.choice(pool) for _ in range(rng.randint(2, 12))] for _ in range(6)]
@@ -78,13 +70,42 @@ def test_line_chunks(frame):
     for i in range(4, 60):
         lines = sum((rng.choice(passages) if rng.random() < 0.6 else [f"own {i}", rng.choice(pool)] for _ in range(rng.randint(0, 5))), [])
         docs.append((i, "\n".join(lines)))
-    docs.append(docs[9])  # the same row twice: one document, treated alike
-    out = line_chunks.line_dedup(frame(docs))
-    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, _line_brute(docs)))
+    docs += [docs[9], (-(1 << 63), docs[12][1]), ((1 << 63) - 1, docs[12][1])]  # the same row twice: one document, treated alike
+    out = line_chunks.line_dedup(frame(docs), mean=mean)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, _line_brute(docs, mean)))
     assert line_chunks.line_dedup(frame(docs), counts=False).columns == frame(docs).columns
     assert line_chunks.line_dedup(frame(docs).where("false")).count() == 0
 
 
+def test_line_chunks_find_all_repeated_runs(spark, small):
+    """Runs of two lines or more that an earlier document holds: none is left, whatever its length."""
+    rows = line_chunks.line_dedup(texts(spark.createDataFrame(small, "doc_id long, text string"))).collect()
+    left = {r.doc_id: set(zip((x := (r.text or "").split("\n")), x[1:])) for r in rows}
+    seen, runs = set(), 0
+    for i, x in sorted(small):
+        pairs = set(zip((ls := (x or "").split("\n")), ls[1:]))
+        again = {p for p in pairs & seen if brute.WORD.search("\n".join(p))}
+        runs += len(again)
+        assert not again & left[i]
+        seen |= pairs
+    assert runs > 100
+
+
+def test_line_chunks_compare_bytes(spark, frame, monkeypatch):
+    """Chunks of one hash and other bytes stay."""
+    monkeypatch.setattr(line_chunks.F, "xxhash64", lambda *c: F.crc32(F.concat_ws("|", *c).cast("binary")) % 5 if len(c) == 2 else F.hash(*c).cast("long"))
+    docs = [(i, "\n".join(f"{i} {k}" for k in range(4))) for i in range(12)] + [(20, "0 0\n0 1"), (21, "0 0\n0 1\nmore")]
+    out = {r.doc_id: r.text for r in line_chunks.line_dedup(frame(docs)).collect()}
+    assert all(out[i] == x for i, x in docs[:12])
+
+
+def test_scraps_of_copies_go(frame):
+    origin = "\n".join(f"line {i} of the origin" for i in range(12))
+    docs = [(1, origin), (2, origin + "\nend"), (3, origin), (4, "\n".join(f"own {i}" for i in range(40)) + "\n" + origin), (5, None), (6, "own"), (7, "")]
+    kept = {r.doc_id for r in line_chunks.line_dedup(frame(docs), counts=False, least_left=0.2).collect()}
+    assert kept == {1, 4, 5, 6, 7}
+
+
 def test_line_chunks_are_native(spark):
     plan = queries.op9_line_chunks(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
@@ -179,7 +200,7 @@ def test_harmless_candidates():
         assert judged(text, kind) == {False}, text
 
 
-@pytest.mark.parametrize("block", [200_000, 15])
+@pytest.mark.parametrize("block", [200_000, 60])
 def test_decontamination(spark, frame, block):
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["a", "B", "É", "c9", "日本", "x-y"]) for _ in range(n))
@@ -192,4 +213,8 @@ def test_decontamination(spark, frame, block):
     assert {r.doc_id: tuple(r)[1:] for r in got.collect()} == want
     kept = decontamination.decontaminate(frame(docs), bench)
     assert kept.count() == sum(n_hit == 0 or 20 * n_hit < n for n, n_hit, _, _ in want.values()) and kept.columns == frame(docs).columns
+    clash = frame(docs).withColumn("overlap", F.lit(5)).withColumn("overlap_", F.lit("x")).withColumn("row", F.lit(1)).withColumn("found", F.lit(2.5))
+    assert decontamination.decontaminate(clash, bench).columns == clash.columns
+    again = decontamination.overlaps(clash, bench, block_windows=block)
+    assert {r.doc_id: r.overlap.n_hit for r in again.collect()} == {i: w[1] for i, w in want.items()} and "found" in again.columns
     assert decontamination.overlaps(frame(docs), bench.where("false")).where("overlap.n_hit > 0").count() == 0
