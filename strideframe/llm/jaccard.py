@@ -10,14 +10,16 @@ in any common order; with rare elements first these prefixes meet seldom.
    elements behind it fall into each of CELLS cells of the hash range.  A pair from a list must pass
 
    * the length filter: the smaller set is large enough a part of the larger,
-   * the positional filter: the elements up to the common one and those left behind it could make up the overlap,
+   * the positional filter: the elements up to the common one that other sets have too, and those left behind it, could
+     make up the overlap,
    * the suffix filter: the same with the elements that could match cell by cell.
 
    Pairs that pass are made distinct and verified once, on the whole sets.
-4. Not all pairs of a list are made.  A list first meets its sets with the fewest rarer elements (near copies' common
-   origin, if it is there); verified links are joined to components, and only members of different components are
-   paired further: with other such pivots, and in the end each set outside a list's largest component with all sets
-   of the list.  So no link between components is lost, while a group of thousands of near copies costs a few pairs a set.
+4. Not all pairs of a list are made.  A list first meets its set with the fewest rarer elements (near copies' common
+   origin, if it is there); verified links are joined to components, and lists of several components meet further
+   pivots while that joins more.  Then components meet by their roots: by the triangle inequality most pairs of components
+   are too far apart for any link between their sets, and the sets of the others are paired.  So no link between
+   components is lost, while a group of thousands of near copies costs a few pairs a set.
 
 Lists and pivots that hold a large share of all rows are salted (see skew).  Elements and words are known by 64 bits.
 
@@ -41,12 +43,11 @@ from strideframe.llm.skew import salted_join
 from strideframe.llm.store import stage
 
 SHINGLE, PERCENT = 4, 85
-CELLS = 16
+#: Cells of the hash range by whose counts suffixes are compared, with 16 bits each in one number; sets of more elements
+#: than these hold pass the filter unseen.
+CELLS, MOST = 4, (1 << 15) - 1
 #: Bytes of documents behind a bucket's elements, on average.
 BUCKET_BYTES = 32 << 20
-#: Pairs left, for each entry of a list, at which they are all made.
-ALL_BELOW = 4
-
 # fixed values: words are runs of all but 0x20 and 0x09-0x0D
 _WORD = np.ones(256, bool)
 _WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -134,7 +135,8 @@ def _members(gathered: DataFrame, shingle: int) -> DataFrame:
 
 
 def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """sid, n, elements, entries (array of key, pos, cells) of the representatives that may have a partner."""
+    """sid, n, alone (elements of no other set), elements, entries (array of key, pos, cells) of the representatives that
+    may have a partner."""
     chosen = classes.groupBy("rep.chunk").agg(F.collect_list(F.struct("rep.i", "sid")).alias("reps"))
     asked = gathered.join(chosen, "chunk")
 
@@ -171,8 +173,8 @@ def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent:
                 tail = np.bincount(cell[size[i]:], minlength=CELLS)
                 steps = np.zeros((size[i], CELLS), np.int64)
                 steps[np.arange(size[i]), cell[:size[i]]] = 1
-                behind = tail + steps.sum(0) - np.cumsum(steps, axis=0)
-                found.append((int(sids[i]), int(n[i]), c.hashes[a:b].view(np.int64),
+                behind = np.minimum(tail + steps.sum(0) - np.cumsum(steps, axis=0), MOST) @ (1 << 16 * np.arange(CELLS))
+                found.append((int(sids[i]), int(n[i]), int(alone[i]), c.hashes[a:b].view(np.int64),
                               [{"key": k, "pos": q, "cells": x} for k, q, x in zip(own[p].view(np.int64).tolist(), p.tolist(), behind[p].tolist())]))
                 if len(found) >= 200:
                     yield _rows(found)
@@ -182,73 +184,100 @@ def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent:
 
     told = stage(exchange.ask(asked.mapInArrow(send, exchange.MESSAGE), _frequencies), "frequencies")
     return stage(exchange.with_replies(asked, told).mapInArrow(
-        order, "sid long, n int, elements array<long>, entries array<struct<key: long, pos: int, cells: array<int>>>"), "candidates")
+        order, "sid long, n int, alone int, elements array<long>, entries array<struct<key: long, pos: int, cells: long>>"), "candidates")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
-    sid, n, elements, entries = zip(*found)
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("cells", pa.list_(pa.int32()))]))
-    return pa.record_batch({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "elements": pa.array(elements, pa.list_(pa.int64())),
+    sid, n, alone, elements, entries = zip(*found)
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("cells", pa.int64())]))
+    return pa.record_batch({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()), "elements": pa.array(elements, pa.list_(pa.int64())),
                             "entries": pa.array(entries, kind)})
 
 
 def _passes(percent: int) -> Column:
     """Whether two entries x and y of a list may belong to a pair that is similar enough."""
-    x, y = ({k: F.col(f"{s}.{k}") for k in ("n", "pos", "cells")} for s in "xy")
+    x, y = ({k: F.col(f"{s}.{k}") for k in ("n", "pos", "alone", "cells")} for s in "xy")
     small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
     needed = percent * (x["n"] + y["n"])  # (100 + percent) * overlap >= needed
-    ahead = F.least(x["pos"], y["pos"]) + 1
+    # elements ahead of the common one that other sets have as well, and those behind it
+    ahead = F.least(x["pos"] - x["alone"], y["pos"] - y["alone"]) + 1
     rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
-    suffix = F.aggregate(F.zip_with(x["cells"], y["cells"], lambda a, b: F.least(a, b)), F.lit(0), lambda a, b: a + b)
-    return (100 * small >= percent * large) & ((100 + percent) * (ahead + rest) >= needed) & ((100 + percent) * (ahead + suffix) >= needed)
+    suffix = sum(F.least(*(F.shiftrightunsigned(c["cells"], 16 * k).bitwiseAND(F.lit((1 << 16) - 1)) for c in (x, y))) for k in range(CELLS))
+    return (100 * small >= percent * large) & ((100 + percent) * (ahead + rest) >= needed) \
+        & ((large > MOST) | ((100 + percent) * (ahead + suffix) >= needed))
 
 
-def _verified(pairs: DataFrame, candidates: DataFrame, percent: int) -> DataFrame:
-    """u > v: the ``pairs`` (u, v) that are similar enough, on their whole sets."""
+def _compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The ``pairs`` (u, v, more) with common and whole: the sizes of the intersection and union of their sets."""
     sets = candidates.select("sid", "elements")
     one = salted_join(pairs, sets.select(F.col("sid").alias("v"), F.col("elements").alias("of_v")), "v", "u")
     both = salted_join(stage(one, "half-pairs"), sets.select(F.col("sid").alias("u"), F.col("elements").alias("of_u")), "u", "v")
     common = F.size(F.array_intersect("of_u", "of_v"))
-    return both.where((100 + percent) * common >= percent * (F.size("of_u") + F.size("of_v"))).select("u", "v")
+    return both.select(*pairs.columns, common.alias("common"), (F.size("of_u") + F.size("of_v") - common).alias("whole"))
 
 
 def _paired(rows: DataFrame, percent: int) -> DataFrame:
-    """u > v: distinct pairs of ``rows`` (x and y: sid and an entry's n, pos, cells) that pass the filters."""
+    """u > v: distinct pairs of ``rows`` (x and y: an entry with its sid) that pass the filters."""
     return stage(rows.where((F.col("x.sid") != F.col("y.sid")) & _passes(percent))
                  .select(F.greatest("x.sid", "y.sid").alias("u"), F.least("x.sid", "y.sid").alias("v")).distinct(), "pairs")
 
 
 def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     """u > v (sids): verified links that connect all that is similar enough, directly or by others."""
-    entries = candidates.select("sid", "n", F.explode("entries").alias("e")).select("sid", "e.key", F.struct("sid", "n", "e.pos", "e.cells").alias("x"))
-    links = label = before = None
+    x = F.struct("sid", "n", F.col("e.pos").alias("pos"), "alone", F.col("e.cells").alias("cells"))
+    own = candidates.select("sid", "n", "alone", F.explode("entries").alias("e")).select(F.col("e.key").alias("key"), "sid", F.col("sid").alias("comp"), x.alias("x"))
+    links = before = None
     while True:
-        comp = F.col("sid") if label is None else F.coalesce("root", "sid")
-        own = (entries if label is None else entries.join(label, "sid", "left")).select("key", "sid", comp.alias("comp"), "x")
         # of each component in a list its members and the one with the fewest rarer elements
         parts = own.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min(F.struct("x.pos", "sid", "x")).alias("best"))
-        turn = F.lit(0) if before is None else F.xxhash64("comp", F.lit(before))
+        turn = F.lit(0).cast("long") if before is None else F.xxhash64("comp", F.lit(before))
         lists = stage(parts.groupBy("key").agg(
-            F.sum("c").alias("size"), F.sum(F.col("c") * F.col("c")).alias("same"), F.max(F.struct("c", "comp")).alias("main"),
-            F.min(F.struct(turn.alias("turn"), "best", "comp")).alias("pivot")).where("size * size > same"), "lists")
-        left, size = lists.agg(F.sum((F.col("size") * F.col("size") - F.col("same")) / 2), F.sum("size")).first()
+            F.sum("c").alias("size"), F.count("*").alias("comps"), F.min(F.struct(turn.alias("turn"), "best", "comp")).alias("pivot")).where("comps > 1"), "lists")
+        left, size = lists.agg(F.sum(F.col("comps") * (F.col("comps") - 1) / 2), F.sum("size")).first()
         if not left:
             return links
-        last = left <= ALL_BELOW * size or (before is not None and left > 0.7 * before)
-        told = lists.select("key", F.col("main.comp").alias("main"), F.col("pivot.comp").alias("of"), F.col("pivot.best.x").alias("y"))
-        members = salted_join(own, told, "key", "sid")
-        if last:
-            # every pair of different components has a set outside the list's largest one
-            members = stage(members.drop("of", "y"), "members")
-            outside = members.where("comp != main").select("key", F.col("comp").alias("of"), F.col("x").alias("y"))
-            rows = salted_join(members, outside, "key", "sid").where((F.col("comp") != F.col("of")) & ((F.col("comp") == F.col("main")) | (F.col("sid") < F.col("y.sid"))))
-        else:
-            rows = members.where("comp != of")
-        found = stage(_verified(_paired(rows, percent), candidates, percent), "links")
+        told = lists.select("key", F.col("pivot.comp").alias("of"), F.col("pivot.best.x").alias("y"))
+        # lists whose sets are all connected are done with
+        members = stage(salted_join(own, told, "key", "sid", counts=lists.select("key", F.col("size").alias("n"))), "members")
+        if before is not None and (left <= size or left > 0.7 * before):
+            return _bridged(members.drop("of", "y"), candidates, links, percent)
+        found = stage(_compared(_paired(members.where("comp != of"), percent), candidates).where(100 * F.col("common") >= percent * F.col("whole"))
+                      .select("u", "v"), "links")
         links = found if links is None else links.union(found)
-        if last:
-            return links
-        before, label = left, components(links).withColumnRenamed("u", "sid")
+        label = components(links).withColumnRenamed("u", "sid")
+        before, own = left, members.join(label, "sid", "left").select("key", "sid", F.coalesce("root", "sid").alias("comp"), "x")
+
+
+def _bridged(members: DataFrame, candidates: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """``links`` with all links between sets of different components that have a list in common.
+
+    One minus the similarity is a distance.  A component's radius is the largest distance of its sets to its root; two
+    components whose roots lie further apart than both radii and a link's length have no link.  Only the
+    others' sets are paired.
+    """
+    apart = 1 - F.col("common") / F.col("whole")
+    rays = members.where("sid != comp").select(F.col("sid").alias("u"), F.col("comp").alias("v")).distinct()
+    radius = _compared(stage(rays, "rays"), candidates).groupBy(F.col("v").alias("comp")).agg(F.max(apart).alias("radius"))
+    radius = stage(radius, "radius")
+    # a component with one set in a list meets others of one set by these two, else by their roots
+    parts = stage(members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("x").alias("x")), "parts")
+    met = salted_join(parts, parts.select("key", F.col("comp").alias("v"), F.col("c").alias("d"), F.col("x").alias("y")), "key", "comp")
+    lone = (F.col("c") == 1) & (F.col("d") == 1)
+    met = stage(met.where((F.col("comp") > F.col("v")) & (~lone | _passes(percent))).select(lone.alias("lone"), F.col("comp").alias("u"), "v", "x", "y"), "met")
+    roots = met.where("NOT lone").select("u", "v").distinct()
+    measured = stage(_compared(stage(roots, "roots"), candidates), "root-distances")
+    for side in "uv":
+        measured = salted_join(measured, radius.select(F.col("comp").alias(side), F.col("radius").alias(f"radius_{side}")), side, "v" if side == "u" else "u", "left")
+    near = measured.where(apart <= F.coalesce("radius_u", F.lit(0.0)) + F.coalesce("radius_v", F.lit(0.0)) + (100 - percent) / 100 + 1e-9)
+    near = stage(near.select("u", "v", (100 * F.col("common") >= percent * F.col("whole")).alias("linked")), "near-components")
+    # two components that are linked already need no further link
+    open_ = near.where("NOT linked").select("u", "v")
+    asking = salted_join(members.select("key", F.col("comp").alias("u"), F.col("x").alias("y")), open_, "u", "key").select(F.struct("key", F.col("v").alias("comp")).alias("at"), "y")
+    asked = members.select(F.struct("key", "comp").alias("at"), "x", "sid")
+    rows = salted_join(asked, asking, "at", "sid")
+    rows = rows.select("x", "y").union(met.where("lone").select("x", "y"))
+    more = _compared(_paired(rows, percent), candidates).where(100 * F.col("common") >= percent * F.col("whole")).select("u", "v")
+    return links.union(near.where("linked").select("u", "v")).union(stage(more, "links"))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT,
