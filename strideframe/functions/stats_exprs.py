@@ -15,9 +15,9 @@ def complete_pair(x, y) -> tuple[Column, Column]:
 
 
 def pearson(x, y) -> Column:
-    """Pearson r of the complete pairs; NULL (not an error) for a constant column or one row."""
-    x, y = complete_pair(x, y)
-    return F.try_divide(F.covar_samp(x, y), F.stddev_samp(x) * F.stddev_samp(y))
+    """Pearson r of the complete pairs, one buffer a pair; NULL (not NaN) for a constant column or one row."""
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    return F.nullif(F.corr(x, y), F.lit(float("nan")))
 
 
 def pearson_rounded(x, y, digits: int) -> Column:

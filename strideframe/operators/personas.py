@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideframe.config import PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES, StudyConfig
+from strideframe.functions.bootstrap import draw
 from strideframe.functions.compat import rnd
 from strideframe.functions.stats_exprs import pearson, scalars
 from strideframe.session import ensure_checkpoint_dir
 
 USERS_PER_TASK = 50_000
 SCALE = 1 << 20
+#: Days of each persona in the pair plot's point feed.
+POINTS = 200
 START_POINTS, TOLERANCE, MAX_ITERATIONS = 512, 1e-4, 300
 
 
@@ -232,6 +235,25 @@ def pair_by_persona(fct_daily_sleep: DataFrame, personas: DataFrame, feats=PAIR_
     return g.select("persona", "days", F.expr(f"stack({len(pairs)}, {stack}) AS (var_a, var_b, r)"))
 
 
+def points_by_persona(fct_daily_sleep: DataFrame, personas: DataFrame, points: int = POINTS, feats=PAIR_COLUMNS) -> DataFrame:
+    """E19's point feed: of each persona the ``points`` days whose user and date draw the smallest numbers, the same
+    days however the table is partitioned.
+
+    Draws are counted per persona in logarithmic cells (a sixteenth of a power of two, 512 at most), a mergeable
+    aggregate; days in the cells that hold the smallest ``points`` pass, a few more than wanted, and only these are
+    ranked.  A persona with any share of the days is neither sorted nor gathered.
+    """
+    d = fct_daily_sleep.join(personas.select("user_id", "persona"), "user_id") \
+        .withColumn("h", draw(F.col("user_id"), F.unix_date("activity_date"), F.lit(0)))
+    d = d.withColumn("cell", F.floor(16 * F.log2(F.col("h") + F.lit(1.0))).cast("int"))
+    cells = d.groupBy("persona", "cell").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("persona").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    limit = cells.withColumn("before", before).where(F.col("before") < points).groupBy("persona").agg(F.max("cell").alias("last"))
+    near = d.join(limit, "persona").where(F.col("cell") <= F.col("last"))
+    rank = F.row_number().over(Window.partitionBy("persona").orderBy("h", "user_id", "activity_date"))
+    return near.withColumn("k", rank).where(F.col("k") <= points).select("persona", "user_id", "activity_date", *feats)
+
+
 def by_tier(dim_user: DataFrame) -> DataFrame:
     """A persona table by rule (the engagement tier), which SQL can build too: (user_id, cluster, persona)."""
     tier = F.col("engagement_tier")

@@ -6,11 +6,12 @@ Rank tests use the distributed mid-ranks of ``operators.ranks``.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strideframe.config import CORR_COLUMNS
+from strideframe.functions.bootstrap import REPLICATES, draw, poisson
 from strideframe.functions.compat import rnd
 from strideframe.functions.distributions import p_value, t_ppf
 from strideframe.functions.stats_exprs import complete_pair, pearson, scalars
@@ -211,13 +212,49 @@ def mean_sd(wh) -> DataFrame:
 
 
 def mean_ci(wh, level: float = 0.95) -> DataFrame:
-    """Mean calories per step band with a t interval (replaces bootstrap)."""
+    """Mean calories per step band with a t interval."""
     tq = t_quantile_udf(F.lit(0.5 + level / 2), (F.col("n") - 1).cast("double"))
     half = tq * F.col("sd") / F.sqrt(F.col("n"))
     return mean_sd(wh).select("step_band", "n", "mean", "sd", (F.col("mean") - half).alias("lo"),
                               (F.col("mean") + half).alias("hi")).orderBy("step_band")
 
 
+def _weights(d: DataFrame, *columns: Column) -> DataFrame:
+    """b, w and ``columns`` of each day for every replicate; the day's user and date draw the weight w."""
+    day = F.unix_date("activity_date")
+    return d.select(*columns, "user_id", day.alias("day"), F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))).alias("b")) \
+            .withColumn("w", poisson(draw(F.col("user_id"), F.col("day"), F.col("b")))).where("w > 0")
+
+
+def _limits(value: Column, level: float) -> list[Column]:
+    return [rnd(F.percentile(value, F.lit(p)), 6).alias(n) for n, p in (("lo", 0.5 - level / 2), ("hi", 0.5 + level / 2))]
+
+
+def mean_ci_bootstrap(wh, level: float = 0.95) -> DataFrame:
+    """H10 by bootstrap: percentiles of the mean calories per step band over all replicates, from one aggregate of
+    whole-number sums.  Of each day only its replicates leave a task as partial sums (bands x replicates rows)."""
+    d = wh.fct_daily.filter(F.col("is_valid_day") & F.col("calories").isNotNull())
+    sums = _weights(d, F.col("step_band"), F.col("calories")).groupBy("step_band", "b").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("calories")).alias("s"))
+    return sums.groupBy("step_band").agg(*_limits(F.col("s").cast("double") / F.col("n").cast("double"), level))
+
+
+def regression_ci_bootstrap(wh, points: int = 50, level: float = 0.95) -> DataFrame:
+    """H9 by bootstrap: each replicate's weighted normal equations in one aggregate, its line on the grid between the
+    smallest and largest x, and percentiles of the lines at each grid point."""
+    d = wh.fct_daily_sleep.filter(F.col("sedentary_min").isNotNull() & F.col("hours_asleep").isNotNull())
+    x, y, w = F.col("x"), F.col("y"), F.col("w")
+    rows = _weights(d, F.col("sedentary_min").cast("long").alias("x"), F.round(F.col("hours_asleep") * 100).cast("long").alias("y"))
+    sums = rows.groupBy("b").agg(*(F.sum(e).cast("double").alias(n) for n, e in (("n", w), ("sx", w * x), ("sy", w * y), ("sxx", w * x * x), ("sxy", w * x * y))))
+    n, sx, sy = F.col("n"), F.col("sx"), F.col("sy")
+    below = n * F.col("sxx") - sx * sx
+    lines = sums.where(below > 0).select("n", "sx", "sy", ((n * F.col("sxy") - sx * sy) / below).alias("slope"))
+    ends = scalars(d.agg(F.min("sedentary_min").alias("lo"), F.max("sedentary_min").alias("hi")))
+    at = ends["lo"] + F.col("i") * (ends["hi"] - ends["lo"]) / F.lit(float(points - 1))
+    grid = lines.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("i")) \
+        .select("i", ((sy - F.col("slope") * sx) / n + F.col("slope") * at).alias("v"))
+    return grid.groupBy("i").agg(*(rnd(F.percentile("v", F.lit(p)) / 100, 6).alias(k) for k, p in (("lo", 0.5 - level / 2), ("hi", 0.5 + level / 2))))
+
+
 def regression_line(wh) -> DataFrame:
     """The line of H9 alone: hours asleep on sedentary minutes."""
     x, y = complete_pair("sedentary_min", "hours_asleep")

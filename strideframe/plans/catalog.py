@@ -12,9 +12,11 @@ from datetime import timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideframe.config import CORR_COLUMNS, CORR_COLUMNS_ALL, PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES
+from strideframe.config import CORR_COLUMNS, CORR_COLUMNS_ALL, PAIR_COLUMNS, PERSONA_FEATURES, PERSONA_Z_FEATURES, StudyConfig
+from strideframe.functions import bootstrap as B
 from strideframe.functions.compat import rnd
 from strideframe.operators import insights as A
+from strideframe.operators import sketches as K
 from strideframe.plans.oracle_sql import rnd as r
 from strideframe.plans.warehouse import MART_NAMES
 
@@ -62,7 +64,7 @@ def _mean(col: str, k: int = 0) -> str:
     return r(f"CAST(sum({col}) AS DOUBLE) / NULLIF(count({col}), 0)", k)
 
 
-register("kpi_snapshot", A.kpi_snapshot, f"""SELECT len(list(DISTINCT user_id)) AS users, count(*) AS valid_days,
+register("kpi_snapshot", A.kpi_snapshot, f"""SELECT count(DISTINCT user_id) AS users, count(*) AS valid_days,
     {_mean('steps')} AS avg_steps, {_mean('calories')} AS avg_calories,
     {r('CAST(sum(sedentary_min) AS DOUBLE) / count(*) / 60', 1)} AS avg_sedentary_h, {_mean(_MVPA, 1)} AS avg_mvpa_min,
     {r(_SHARE.format('steps >= 10000'), 1)} AS pct_days_10k, {r(_SHARE.format('met_30_min_mvpa'), 1)} AS pct_days_30min_mvpa
@@ -71,20 +73,18 @@ register("data_quality", A.data_quality, "SELECT * FROM dq_log ORDER BY step", "
 register("weekday_rhythm", A.weekday_rhythm, f"""SELECT weekday, {_mean('steps')} AS avg_steps,
     {_mean('sedentary_min')} AS avg_sedentary_min, {_mean(_MVPA, 1)} AS avg_mvpa_min, count(*) AS valid_days
     FROM {_WORN} GROUP BY weekday ORDER BY any_value(weekday_num)""", "A4")
-register("hourly_curve", A.hourly_curve, f"""SELECT h.i AS hour_of_day, m.* FROM (SELECT DISTINCT hour_of_day AS i FROM fct_hourly) h,
-    LATERAL (SELECT {_mean('steps')} AS avg_steps, {_mean('calories', 1)} AS avg_calories,
-             {_mean('total_intensity', 1)} AS avg_intensity FROM fct_hourly f WHERE f.hour_of_day = h.i) m""", "A5")
-register("weekend_vs_weekday_hours", A.weekend_vs_weekday_hours, f"""SELECT hour_of_day, max(m) FILTER (WHERE weekday_num < 6) AS weekday_steps,
-    max(m) FILTER (WHERE weekday_num = 6) AS weekend_steps
-    FROM (SELECT hour_of_day, CASE WHEN is_weekend THEN 6 ELSE 1 END AS weekday_num, {_mean('steps')} AS m FROM fct_hourly GROUP BY ALL)
-    GROUP BY hour_of_day""", "A6")
+register("hourly_curve", A.hourly_curve, f"""SELECT hour_of_day, {_mean('steps')} AS avg_steps, {_mean('calories', 1)} AS avg_calories,
+    {_mean('total_intensity', 1)} AS avg_intensity FROM fct_hourly GROUP BY hour_of_day""", "A5")
+register("weekend_vs_weekday_hours", A.weekend_vs_weekday_hours, f"""SELECT hour_of_day, max(m) FILTER (WHERE NOT is_weekend) AS weekday_steps,
+    max(m) FILTER (WHERE is_weekend) AS weekend_steps
+    FROM (SELECT hour_of_day, is_weekend, {_mean('steps')} AS m FROM fct_hourly GROUP BY hour_of_day, is_weekend) GROUP BY hour_of_day""", "A6")
 register("intensity_mix", A.intensity_mix, """SELECT level, minutes * 100.0::DOUBLE / total AS pct_of_tracked_time FROM (
     UNPIVOT (SELECT CAST(sum(tracked_min) AS DOUBLE) AS total, CAST(sum(sedentary_min) AS DOUBLE) AS "Sedentary",
                     CAST(sum(lightly_active_min) AS DOUBLE) AS "Light", CAST(sum(fairly_active_min) AS DOUBLE) AS "Fairly active",
                     CAST(sum(very_active_min) AS DOUBLE) AS "Very active" FROM fct_daily WHERE is_valid_day)
     ON "Sedentary", "Light", "Fairly active", "Very active" INTO NAME level VALUE minutes)""", "A7")
-register("step_bands_energy", A.step_bands_energy, f"""SELECT step_band, len(list(steps)) AS valid_days, {_mean('calories')} AS avg_calories,
-    {_mean('very_active_min', 1)} AS avg_very_active_min FROM {_WORN} GROUP BY ROLLUP (step_band) HAVING step_band IS NOT NULL""", "A8")
+register("step_bands_energy", A.step_bands_energy, f"""SELECT step_band, count(*) AS valid_days, {_mean('calories')} AS avg_calories,
+    {_mean('very_active_min', 1)} AS avg_very_active_min FROM {_WORN} GROUP BY step_band""", "A8")
 
 
 def _r(x: str, y: str) -> str:
@@ -100,10 +100,10 @@ register("calorie_drivers", A.calorie_drivers, f"""SELECT unnest({A.CALORIE_METR
     unnest([{', '.join(_corr_sql(m, 'calories', 2) for m in A.CALORIE_METRICS)}]) AS corr_with_calories
     FROM fct_daily WHERE is_valid_day ORDER BY corr_with_calories DESC""", "A9")
 _BED_RANGES = """(VALUES (-1e9, 23, '1 Before 11 PM'), (23, 24.5, '2 11 PM - 12:30 AM'), (24.5, 1e9, '3 After 12:30 AM')) w(lo, hi, label)"""
-_SIT_RANGES = "(VALUES (-1, 600, '1 Under 10 h'), (600, 780, '2 10-13 h'), (780, 1000000000, '3 Over 13 h')) w(lo, hi, label)"
+_SIT_RANGES = "(VALUES (0, 600, '1 Under 10 h'), (600, 780, '2 10-13 h'), (780, NULL, '3 Over 13 h')) w(lo, hi, label)"
 register("sleep_overview", A.sleep_overview, f"""SELECT t.* EXCLUDE (bed),
     lpad(CAST(bed // 60 % 24 AS VARCHAR), 2, '0') || ':' || lpad(CAST(bed % 60 AS VARCHAR), 2, '0') AS avg_bedtime
-    FROM (SELECT count(*) AS nights, len(list(DISTINCT user_id)) AS users, {r(_avg_r('hours_asleep', 2), 2)} AS avg_hours_asleep,
+    FROM (SELECT count(*) AS nights, count(DISTINCT user_id) AS users, {r(_avg_r('hours_asleep', 2), 2)} AS avg_hours_asleep,
             {r(_avg_r('efficiency_pct', 1), 1)} AS avg_efficiency_pct, {_mean('minutes_awake_in_bed')} AS avg_awake_in_bed_min,
             {r(_SHARE.format('minutes_asleep < 420'), 1)} AS pct_nights_under_7h,
             CAST(sum(round(bedtime_hour * 60)) / count(bedtime_hour) AS BIGINT) AS bed FROM fct_sleep) t""", "A10")
@@ -114,14 +114,13 @@ register("bedtime_effect", A.bedtime_effect, f"""SELECT w.label AS bedtime_windo
     FROM fct_sleep JOIN {_BED_RANGES} ON bedtime_hour >= w.lo AND bedtime_hour < w.hi GROUP BY w.label""", "A12")
 register("sitting_vs_sleep", A.sitting_vs_sleep, f"""SELECT w.label AS sedentary_band, count(*) AS nights,
     {r(_avg_r('hours_asleep', 2), 2)} AS avg_hours_asleep
-    FROM fct_daily_sleep JOIN {_SIT_RANGES} ON sedentary_min >= w.lo AND sedentary_min < w.hi GROUP BY w.label""", "A13")
-register("heart_rate_profile", A.heart_rate_profile, f"""SELECT h.i AS hour_of_day, m.* FROM (SELECT DISTINCT hour_of_day AS i FROM fct_heartrate_hourly) h,
-    LATERAL (SELECT {r(_avg_r('avg_bpm', 1), 1)} AS avg_bpm, list_max(list(max_bpm)) AS peak_bpm
-             FROM fct_heartrate_hourly f WHERE f.hour_of_day = h.i) m""", "A14")
+    FROM fct_daily_sleep JOIN {_SIT_RANGES} ON sedentary_min >= w.lo AND (sedentary_min < w.hi OR w.hi IS NULL) GROUP BY w.label""", "A13")
+register("heart_rate_profile", A.heart_rate_profile, f"""SELECT hour_of_day, {r(_avg_r('avg_bpm', 1), 1)} AS avg_bpm, max(max_bpm) AS peak_bpm
+    FROM fct_heartrate_hourly GROUP BY hour_of_day""", "A14")
 register("engagement_decay", A.engagement_decay, f"""SELECT e.study_week, e.active_users, coalesce(v.valid_days, 0) AS valid_days, v.avg_steps
     FROM (SELECT study_week, count(*) AS active_users FROM (SELECT DISTINCT study_week, user_id FROM fct_daily) GROUP BY 1) e
     LEFT JOIN (SELECT study_week, count(*) AS valid_days, {_mean('steps')} AS avg_steps FROM {_WORN} GROUP BY 1) v USING (study_week)
-    WHERE e.study_week BETWEEN -1000 AND 4""", "A15")
+    WHERE e.study_week <= 4""", "A15")
 _FEATURE_COUNTS = """(SELECT 'Activity' AS feature, count(*) AS users FROM dim_user UNION ALL
     SELECT feature, count(*) FILTER (WHERE days > 0) FROM (UNPIVOT dim_user ON sleep_nights AS 'Sleep', hr_days AS 'Heart rate',
         weight_logs AS 'Weight' INTO NAME feature VALUE days) GROUP BY feature)"""
@@ -322,8 +321,25 @@ register("corr_matrix", H.corr_matrix, _matrix_sql(CORR_COLUMNS), "H8 Pearson ma
 register("corr_matrix_all", lambda wh: H.corr_matrix(wh, CORR_COLUMNS_ALL), _matrix_sql(CORR_COLUMNS_ALL),
          "H8 Pearson matrix with time in bed and bedtime")
 register("test_summary", lambda wh: H.test_summary(wh, wh.dim_user_persona), None, "H6 / H7 test table with p-values")
+_POISSON = B.poisson_sql("h")
 register("regression_ci", H.regression_ci, None, "H9 regression line with 95% band")
 register("mean_ci", H.mean_ci, None, "H10 mean with 95% t interval")
+register("mean_ci_bootstrap", H.mean_ci_bootstrap, f"""WITH w AS (SELECT step_band, calories, b, {_POISSON} AS w
+      FROM (SELECT *, {B.draw_sql('user_id', "date_diff('day', DATE '1970-01-01', activity_date)", 'b')} AS h
+            FROM fct_daily, range({B.REPLICATES}) t(b) WHERE is_valid_day AND calories IS NOT NULL)),
+    m AS (SELECT step_band, CAST(sum(w * calories) AS DOUBLE) / CAST(sum(w) AS DOUBLE) AS m FROM w GROUP BY step_band, b HAVING sum(w) > 0)
+    SELECT step_band, {r('quantile_cont(m, 0.025)', 6)} AS lo, {r('quantile_cont(m, 0.975)', 6)} AS hi FROM m GROUP BY step_band""", "H10 bootstrap interval")
+register("regression_ci_bootstrap", H.regression_ci_bootstrap, f"""WITH d AS (SELECT *, CAST(round(hours_asleep * 100) AS BIGINT) AS y FROM fct_daily_sleep
+      WHERE sedentary_min IS NOT NULL AND hours_asleep IS NOT NULL),
+    w AS (SELECT sedentary_min AS x, y, b, {_POISSON} AS w FROM (SELECT *, {B.draw_sql('user_id', "date_diff('day', DATE '1970-01-01', activity_date)", 'b')} AS h
+          FROM d, range({B.REPLICATES}) t(b))),
+    s AS (SELECT b, CAST(sum(w) AS DOUBLE) AS n, CAST(sum(w * x) AS DOUBLE) AS sx, CAST(sum(w * y) AS DOUBLE) AS sy,
+                 CAST(sum(w * x * x) AS DOUBLE) AS sxx, CAST(sum(w * x * y) AS DOUBLE) AS sxy FROM w GROUP BY b),
+    l AS (SELECT n, sx, sy, (n * sxy - sx * sy) / (n * sxx - sx * sx) AS slope FROM s WHERE n * sxx - sx * sx > 0),
+    e AS (SELECT min(sedentary_min) AS lo, max(sedentary_min) AS hi FROM d)
+    SELECT CAST(i AS INTEGER) AS i, {r('quantile_cont((sy - slope * sx) / n + slope * (e.lo + i * (e.hi - e.lo) / 49.0::DOUBLE), 0.025) / 100', 6)} AS lo,
+           {r('quantile_cont((sy - slope * sx) / n + slope * (e.lo + i * (e.hi - e.lo) / 49.0::DOUBLE), 0.975) / 100', 6)} AS hi
+    FROM l, e, range(50) g(i) GROUP BY i""", "H9 bootstrap band")
 register("regression_line", H.regression_line, f"""SELECT regr_count(hours_asleep, sedentary_min) AS n,
     {r('regr_slope(hours_asleep, sedentary_min)', 6)} AS slope, {r('regr_intercept(hours_asleep, sedentary_min)', 6)} AS intercept
     FROM fct_daily_sleep""", "H9 line")
@@ -477,6 +493,17 @@ register("dq_checks", Q.all_checks, f"""
          "Q1-Q6")
 register("check_coverage", lambda wh: Q.check_coverage(wh, wh.dim_user_persona), None, "Q7")
 
+# ---------------------------------------------------------------- sketches per date
+_USERS = "count(DISTINCT user_id) AS users, count(DISTINCT user_id) FILTER (WHERE is_valid_day) AS valid_users"
+register("users_between", lambda wh: K.users_between(wh.sketch_daily, wh.cfg.study_start + timedelta(days=6), wh.cfg.study_start + timedelta(days=19)),
+         f"""SELECT {_USERS} FROM fct_daily
+    WHERE activity_date BETWEEN DATE '{StudyConfig().study_start + timedelta(days=6)}' AND DATE '{StudyConfig().study_start + timedelta(days=19)}'""",
+         "distinct users over a span of days, from sketches")
+register("users_by_week", lambda wh: K.users_by_week(wh.sketch_daily), f"SELECT study_week, {_USERS} FROM fct_daily GROUP BY study_week",
+         "distinct users by week, from sketches")
+register("sketch_quantiles", lambda wh: K.quantiles(wh.sketch_daily, "steps").select(F.lit("steps").alias("metric"), "p", "q").unionByName(
+    K.quantiles(wh.sketch_heart, "bpm").select(F.lit("bpm").alias("metric"), "p", "q")), None, "quantiles over all days, from sketches")
+
 # ---------------------------------------------------------------- persona model (§2.7)
 register("dim_user_persona", lambda wh: wh.dim_user_persona, None, "P1-P5 K-Means personas")
 register("persona_profile", lambda wh: A.persona_profile(wh, wh.dim_user_persona), None, "A17 / V6 / V25 / P7")
@@ -486,6 +513,7 @@ register("cluster_centres", lambda wh: P.cluster_centres(
 register("persona_minmax", lambda wh: P.persona_minmax(wh.dim_user, wh.dim_user_persona), None, "V26")
 register("persona_zscore", lambda wh: P.persona_zscore(wh.dim_user, wh.dim_user_persona), None, "E8")
 register("pair_by_persona", lambda wh: P.pair_by_persona(wh.fct_daily_sleep, wh.dim_user_persona), None, "E19")
+register("points_by_persona", lambda wh: P.points_by_persona(wh.fct_daily_sleep, wh.dim_user_persona), None, "E19 point feed")
 register("persona_members", lambda wh: persona_members(wh.dim_user_persona), None, "F4")
 
 
@@ -541,6 +569,10 @@ _PAIRS = [(a, b) for i, a in enumerate(PAIR_COLUMNS) for b in PAIR_COLUMNS[i + 1
 register("pairs_by_tier", lambda wh: P.pair_by_persona(wh.fct_daily_sleep, P.by_tier(wh.dim_user)), " UNION ALL ".join(
     f"SELECT persona, count(*) AS days, '{a}' AS var_a, '{b}' AS var_b, {r(_r(a, b), 6)} AS r FROM fct_daily_sleep JOIN {_TIER} USING (user_id) GROUP BY persona"
     for a, b in _PAIRS), "E19 on tiers")
+register("points_by_tier", lambda wh: P.points_by_persona(wh.fct_daily_sleep, P.by_tier(wh.dim_user)), f"""SELECT persona, user_id, activity_date,
+    {', '.join(PAIR_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY
+        {B.draw_sql('user_id', "date_diff('day', DATE '1970-01-01', activity_date)", '0')}, user_id, activity_date) AS k
+    FROM fct_daily_sleep JOIN {_TIER} USING (user_id)) WHERE k <= {P.POINTS}""", "E19 point feed on tiers")
 register("members_by_tier", lambda wh: persona_members(P.by_tier(wh.dim_user)),
          f"SELECT persona, user_id, count(*) OVER (PARTITION BY persona) AS members FROM {_TIER}", "F4 on tiers")
 register("users_sorted_by_tier", lambda wh: _users_sorted(wh, P.by_tier(wh.dim_user)),

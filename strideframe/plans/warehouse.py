@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import types as T
 
 from strideframe.config import StudyConfig
-from strideframe.operators import cleaning, marts, personas, staging
+from strideframe.operators import cleaning, marts, personas, sketches, staging
 from strideframe.sources.landing import RawSources
 
 MART_NAMES = ["fct_daily", "fct_sleep_sessions", "fct_sleep", "fct_hourly", "fct_heartrate_hourly",
               "fct_heartrate_daily", "fct_daily_sleep", "dim_user", "cln_weight", "dq_log",
               "dq_reconciliation"]
+# mergeable sketches per date
+SKETCH_NAMES = ["sketch_daily", "sketch_heart"]
 # the persona model's tables, fitted once per build
 MODEL_NAMES = ["dim_user_persona", "model_elbow"]
 
@@ -68,7 +70,7 @@ class Warehouse:
 
     @classmethod
     def from_tables(cls, spark: SparkSession, path: str, cfg: StudyConfig | None = None) -> "Warehouse":
-        names = MART_NAMES + [n for n in MODEL_NAMES if _exists(spark, os.path.join(path, n))]
+        names = MART_NAMES + [n for n in SKETCH_NAMES + MODEL_NAMES if _exists(spark, os.path.join(path, n))]
         tables = {n: spark.read.parquet(os.path.join(path, n)) for n in names}
         return cls(spark, None, cfg, tables)
 
@@ -137,6 +139,14 @@ class Warehouse:
     def dq_reconciliation(self) -> DataFrame:
         return self._t("dq_reconciliation", lambda: cleaning.reconciliation(self.staged))
 
+    @cached_property
+    def sketch_daily(self) -> DataFrame:
+        return self._t("sketch_daily", lambda: sketches.sketch_daily(self.fct_daily))
+
+    @cached_property
+    def sketch_heart(self) -> DataFrame:
+        return self._t("sketch_heart", lambda: sketches.sketch_heart(self.cleaned.heartrate))
+
     @cached_property
     def dim_user_persona(self) -> DataFrame:
         """K-Means personas (fits the model when first used)."""
@@ -156,10 +166,10 @@ class Warehouse:
     # ---- S5 / S11: build aside, then switch ------------------------------------------------
     # build order: every mart is written, then read back, before the marts that use it
     BUILD_ORDER = ["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
-                   "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log", *MODEL_NAMES]
+                   "cln_weight", "fct_sleep", "fct_daily_sleep", "dim_user", "dq_reconciliation", "dq_log", *SKETCH_NAMES, *MODEL_NAMES]
     BUILD_WAVES = [["fct_daily", "fct_sleep_sessions", "fct_hourly", "fct_heartrate_hourly", "fct_heartrate_daily",
-                    "cln_weight", "dq_reconciliation", "dq_log"],
-                   ["fct_sleep"],
+                    "cln_weight", "dq_reconciliation", "dq_log", "sketch_heart"],
+                   ["fct_sleep", "sketch_daily"],
                    ["fct_daily_sleep", "dim_user"],
                    MODEL_NAMES]
     BUILD_THREADS = 8
@@ -210,7 +220,7 @@ class Warehouse:
             futs = {k: pool.submit(write_read, f"cleaned/{k}", df) for k, df in cleaned_parts.items()}
             stage.__dict__["cleaned"] = cleaning.Cleaned(**{k: f.result() for k, f in futs.items()})
             stage.__dict__["dq_log"] = cleaning.dq_log(cleaning.observed_counts(spark, self.measured, observations), self.cfg)
-            wanted = set(names or MART_NAMES + MODEL_NAMES * models)
+            wanted = set(names or MART_NAMES + SKETCH_NAMES + MODEL_NAMES * models)
             todo = [n for n in self.BUILD_ORDER if n in wanted or any(self._needs(m, n) for m in wanted)]
             for wave in self.BUILD_WAVES:
                 batch = [n for n in wave if n in todo]
@@ -220,7 +230,7 @@ class Warehouse:
                 futs = {n: pool.submit(write_read, n, frames[n], self.DATE_PARTITIONED.get(n)) for n in batch}
                 for n, f in futs.items():
                     stage.__dict__[n] = f.result()
-        written = {n: stage.__dict__[n] for n in MART_NAMES + MODEL_NAMES if n in todo}
+        written = {n: stage.__dict__[n] for n in MART_NAMES + SKETCH_NAMES + MODEL_NAMES if n in todo}
         if set(MART_NAMES) <= set(written):
             if not models and _exists(spark, os.path.join(path, "CURRENT")):
                 # the last fitted model stays with the current build
@@ -231,7 +241,7 @@ class Warehouse:
 
     @staticmethod
     def _needs(mart: str, dep: str) -> bool:
-        deps = {"fct_sleep": {"fct_sleep_sessions"}, "fct_daily_sleep": {"fct_daily", "fct_sleep", "fct_sleep_sessions"},
+        deps = {"sketch_daily": {"fct_daily"}, "fct_sleep": {"fct_sleep_sessions"}, "fct_daily_sleep": {"fct_daily", "fct_sleep", "fct_sleep_sessions"},
                 "dim_user": {"fct_daily", "fct_sleep", "fct_sleep_sessions", "fct_heartrate_daily", "cln_weight"}}
         deps |= {n: deps["dim_user"] | {"dim_user"} for n in MODEL_NAMES}
         return dep in deps.get(mart, set())
