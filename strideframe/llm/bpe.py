@@ -40,7 +40,6 @@ CHUNK = "chunk long, body binary, words array<struct<bucket: int, payload: binar
 ENCODED = "doc_id long, n_tokens long, ids binary"
 #: Words are listed without the space before them; this, which no text holds, marks a text's first one.
 _FIRST = "\udcff"
-_NULL = np.iinfo(np.int64).min
 
 
 class _Codes(dict):
@@ -108,7 +107,7 @@ def _chunk(number: int, ids: list, codes: list[np.ndarray], words: list[str], bu
     counts = np.bincount(places, minlength=len(words))
     rank = np.empty(len(words), np.uint32)
     rank[_by_frequency(counts)] = np.arange(len(words))
-    body = pack(np.array([_NULL if i is None else i for i in ids], np.int64), np.array([len(c) for c in codes], np.int64),
+    body = pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], bool), np.array([len(c) for c in codes], np.int64),
                 *_planes(counts, 4), *_planes(rank[places], 4))
     sent = [b for b in range(buckets) if starts[b + 1] > starts[b]]
     return pa.record_batch({
@@ -167,7 +166,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.concatenate([np.zeros(0, np.int64), *(_whole(r[:4]) for r in replies)])
         value = np.concatenate([np.zeros(0, np.uint32), *(_whole(r[4:]).astype(np.uint32) for r in replies)])
         table = pa.LargeListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)])), pa.array(value))
-        doc_ids, n_words, *planes = unpack(expand(row["body"]), np.int64, np.int64, *[np.uint8] * 8)
+        doc_ids, missing, n_words, *planes = unpack(expand(row["body"]), np.int64, bool, np.int64, *[np.uint8] * 8)
         place, ends, a = _by_frequency(_whole(planes[:4])), np.cumsum(n_words), 0
         while a < len(doc_ids):  # a few documents at a time
             low = ends[a] - n_words[a]
@@ -176,7 +175,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flat = table.take(pa.array(where)).flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes()
             n = np.concatenate([[0], np.cumsum(size[where])])[np.concatenate([[low], ends[a:b]]) - low]
             yield pa.record_batch({
-                "doc_id": pa.array([None if i == _NULL else i for i in doc_ids[a:b].tolist()], pa.int64()),
+                "doc_id": pa.array(doc_ids[a:b], pa.int64(), mask=missing[a:b]),
                 "n_tokens": pa.array(np.diff(n), pa.int64()),
                 "ids": pa.array([flat[4 * s:4 * e] for s, e in zip(n[:-1], n[1:])], pa.binary())})
             a = b

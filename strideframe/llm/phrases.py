@@ -46,7 +46,7 @@ SHARE, SAMPLE_COUNT = 1 / 16, 2
 #: Bits for each proposal, and of all at most: what tasks get has a bound however many phrases there are.
 BITS_EACH, FILTER_BITS = 16, 1 << 27
 #: Bytes of text in a chunk.  A longer text is a chunk of its own.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Copies of the looked-up side of a join, so that a word in a third of all phrases is dealt to several tasks.
 SALTS = 8
 UNKNOWN = "und"

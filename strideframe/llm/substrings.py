@@ -14,7 +14,8 @@ So hashing only the grams at cover positions finds every shared window:
 A gram or window reaches its bucket once per chunk, however many documents share it, so copies and
 passages that a third of the corpus shares make no hot key, and no group is gathered.
 
-Null texts have no words and give "".  A null doc_id counts as larger than any other.  Rows with equal
+Null texts have no words and give "".  A null doc_id counts as larger than any other
+(and as equal to 2**63 - 1).  Rows with equal
 doc_id keep what they share, for neither is smaller; each row gets a result row.
 """
 from __future__ import annotations

@@ -36,9 +36,9 @@ from strideframe.llm.store import stage
 
 WINDOW = 400
 GRAM = 256
-#: Chunks, about, and leading tokens of each, that the splitters are sampled from.  They move bucket
-#: borders, never results.
-SAMPLE_CHUNKS, SAMPLE_TOKENS = 32, 2000
+#: Leading tokens sampled for each bucket, and of a chunk at most: the sample grows with the buckets, from 32 chunks on.
+#: Splitters move bucket borders, never results.
+SAMPLE_EACH, SAMPLE_TOKENS, SAMPLE_CHUNKS = 64, 2000, 32
 
 
 def multikey_order(*tokens: np.ndarray) -> np.ndarray:
@@ -208,7 +208,7 @@ def _sampled(gathered: DataFrame, window: int, gram: int, buckets: int) -> tuple
                 yield pa.record_batch({"kind": pa.array([kind] * len(p), pa.int32()), "a": pa.array(a.view(np.int64)),
                                        "b": pa.array(b.view(np.int64))})
 
-    share = min(1.0, SAMPLE_CHUNKS / max(gathered.count(), 1))
+    share = min(1.0, max(SAMPLE_CHUNKS, buckets * SAMPLE_EACH / SAMPLE_TOKENS) / max(gathered.count(), 1))
     found = gathered.sample(share, 7).mapInArrow(sample, "kind int, a long, b long").toPandas()
     return tuple(_Splitters(*(found.loc[found["kind"] == k, x].to_numpy(np.int64).view(np.uint64) for x in "ab"), buckets) for k in (0, 1))
 

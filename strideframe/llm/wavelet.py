@@ -38,7 +38,8 @@ SHARD_BYTES = 16 << 20
 BLOCK = 512
 
 SHARD = "shard int, n_docs long, n_tokens long, doc_ids binary, matrix binary"
-_NULL = np.iinfo(np.int64).min
+#: Where null ids stand among others when shards are cut; what is written tells them apart.
+_FIRST = np.iinfo(np.int64).min
 
 
 class WaveletMatrix:
@@ -117,6 +118,18 @@ class WaveletMatrix:
             i = self._select_bit(k, bit, i - self.zeros[k] if bit else i)
         return i
 
+    def positions(self, value: int) -> np.ndarray:
+        """The positions of all occurrences of ``value``, ascending: each plane is undone once for all of them."""
+        a, b = self._interval(value, self.n)
+        i, bits = np.arange(a, b), len(self.planes)
+        for k in range(bits - 1, -1, -1):
+            if not len(i):
+                break
+            bit = value >> (bits - 1 - k) & 1
+            places = np.flatnonzero(np.unpackbits(self.planes[k], count=self.n, bitorder="little") == bit)
+            i = places[i - self.zeros[k] if bit else i]
+        return i
+
     def values(self) -> np.ndarray:
         """The whole sequence."""
         now = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
@@ -208,7 +221,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
         for batch in batches:
             ids = [b"".join(map(cache.__getitem__, (t.as_py() or "").replace("\n", " ").split(" "))) + end
                    for t in batch.column("text")]
-            doc = batch.column("doc_id").fill_null(_NULL).to_numpy()
+            doc = batch.column("doc_id").fill_null(_FIRST).to_numpy()
             low, high = np.searchsorted(cut, doc, "left"), np.searchsorted(cut, doc, "right")
             spread = np.fromiter(map(zlib.crc32, ids), np.int64, len(ids))
             yield pa.record_batch({
@@ -220,7 +233,7 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row() -> pa.RecordBatch:
             values = np.frombuffer(b"".join(ids), f"<u{width}")
-            head = squeeze(pack(np.array([_NULL if d is None else d for d in docs_], np.int64),
+            head = squeeze(pack(np.array([d or 0 for d in docs_], np.int64), np.array([d is None for d in docs_], bool),
                                 np.array([len(i) // width for i in ids], np.int64)))
             return pa.record_batch({"shard": pa.array([shard], pa.int32()), "n_docs": pa.array([len(ids)]),
                                     "n_tokens": pa.array([len(values)]), "doc_ids": pa.array([head], pa.binary()),
@@ -263,14 +276,14 @@ def read_documents(files: DataFrame) -> DataFrame:
     32-bit) of every document, from the wavelet matrices alone."""
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in exchange.rows(batches):
-            doc_ids, sizes = unpack(expand(r["doc_ids"]), np.int64, np.int64)
+            doc_ids, missing, sizes = unpack(expand(r["doc_ids"]), np.int64, bool, np.int64)
             values = WaveletMatrix.from_bytes(r["matrix"]).values()
             ends = np.cumsum(sizes)
             for a in range(0, len(sizes), 500):
                 own = slice(a, a + 500)
                 yield pa.record_batch({
                     "shard": pa.array([r["shard"]] * len(sizes[own]), pa.int32()),
-                    "doc_id": pa.array([None if d == _NULL else d for d in doc_ids[own].tolist()], pa.int64()),
+                    "doc_id": pa.array(doc_ids[own], pa.int64(), mask=missing[own]),
                     "offset": pa.array((ends - sizes)[own]), "n_tokens": pa.array(sizes[own]),
                     "ids": pa.array([values[e - n:e].astype("<u4").tobytes() for e, n in zip(ends[own], sizes[own])], pa.binary())})
 
@@ -282,9 +295,8 @@ def occurrences(files: DataFrame, token: int, most: int | None = None) -> DataFr
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in exchange.rows(batches):
             m = WaveletMatrix.from_bytes(r["matrix"])
-            n = m.rank(token, m.n)
-            at = [m.select(token, j) for j in range(n if most is None else min(n, most))]
-            yield pa.record_batch({"shard": pa.array([r["shard"]], pa.int32()), "n": pa.array([n]),
-                                   "positions": pa.array([at], pa.list_(pa.int64()))})
+            at = m.positions(token)
+            yield pa.record_batch({"shard": pa.array([r["shard"]], pa.int32()), "n": pa.array([len(at)]),
+                                   "positions": pa.array([at[:most]], pa.list_(pa.int64()))})
 
     return files.select("shard", "matrix").mapInArrow(look, "shard int, n long, positions array<long>")

@@ -84,3 +84,17 @@ def test_wavelet_matrix():
         at = np.flatnonzero(values == v)
         assert m.rank(v, 5000) == len(at) and m.rank(v, 2500) == (at < 2500).sum()
         assert [m.select(v, j) for j in range(len(at))] == at.tolist() and m.select(v, len(at)) == -1
+        assert m.positions(v).tolist() == at.tolist()
+
+
+def test_ids_at_the_edge(spark, frame):
+    """The smallest and the largest id and no id are three."""
+    docs = [(-(1 << 63), "a b"), ((1 << 63) - 1, "c d"), (None, "e f"), (0, "g")]
+    assert sorted((str(r.doc_id), r.text) for r in bpe.round_trip(frame(docs)).collect()) == sorted((str(i), x) for i, x in docs)
+    files = wavelet.shards(spark, wavelet.write_shards(frame(docs), new_path(spark, "test-shards")))
+    assert sorted(str(r.doc_id) for r in wavelet.read_documents(files).collect()) == sorted(str(i) for i, _ in docs)
+
+
+def test_long_units_stay_out_of_the_table(frame):
+    docs = frame([(i, "x " + "y" * 5000 + " z") for i in range(50)])
+    assert token_counts.frequent_units(docs, 10, 10) == ["z"]
