@@ -34,13 +34,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def _point(spark: SparkSession, path: str, build_id: str) -> None:
     """Let ``path/CURRENT`` name the build: written beside, then renamed over the old one in one step."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     new, current = (jvm.org.apache.hadoop.fs.Path(os.path.join(path, n)) for n in (f"CURRENT-{build_id}", "CURRENT"))
-    out = new.getFileSystem(conf).create(new)
-    out.write(bytearray(build_id.encode()))
-    out.close()
+    _write_text(spark, os.path.join(path, f"CURRENT-{build_id}"), build_id)
     rename = jvm.org.apache.hadoop.fs.Options.Rename
     options = spark.sparkContext._gateway.new_array(rename, 1)
     options[0] = rename.OVERWRITE
@@ -71,9 +76,29 @@ class Warehouse:
     @classmethod
     def from_tables(cls, spark: SparkSession, path: str, cfg: StudyConfig | None = None) -> "Warehouse":
         names = MART_NAMES + [n for n in SKETCH_NAMES + MODEL_NAMES if _exists(spark, os.path.join(path, n))]
-        tables = {n: spark.read.parquet(os.path.join(path, n)) for n in names}
+        layout = os.path.join(path, "BUCKETS")
+        buckets = int(spark.read.text(layout).first()[0]) if _exists(spark, layout) else 0
+        tables = {n: cls._bucketed_table(spark, path, n, buckets) if buckets and n in cls.BUCKETED else spark.read.parquet(os.path.join(path, n))
+                  for n in names}
         return cls(spark, None, cfg, tables)
 
+    @staticmethod
+    def _table_name(path: str, name: str) -> str:
+        return f"strideframe_{os.path.basename(path)}_{name}"
+
+    @classmethod
+    def _bucketed_table(cls, spark: SparkSession, path: str, name: str, buckets: int) -> DataFrame:
+        """A bucketed table of a build, made known to the session's catalog if it isn't yet: files alone don't tell
+        that they are bucketed."""
+        table, loc, part = cls._table_name(path, name), os.path.join(path, name), cls.DATE_PARTITIONED.get(name)
+        if not spark.catalog.tableExists(table):
+            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark.read.parquet(loc).schema)
+            spark.sql(f"CREATE TABLE {table} ({columns}) USING parquet " + f"PARTITIONED BY ({part}) " * bool(part)
+                      + f"CLUSTERED BY (user_id) SORTED BY (user_id) INTO {buckets} BUCKETS LOCATION '{loc}'")
+            if part:
+                spark.catalog.recoverPartitions(table)
+        return spark.table(table)
+
     def _t(self, name: str, build):
         if name in self._tables:
             return self._tables[name]
@@ -177,6 +202,9 @@ class Warehouse:
                         "fct_heartrate_hourly": "activity_date", "fct_heartrate_daily": "activity_date",
                         "fct_sleep": "sleep_date", "fct_daily_sleep": "activity_date"}
 
+    # a user's rows lie in one sorted bucket, so that grouping and joining by user plans no exchange
+    BUCKETED = {"fct_daily", "fct_sleep", "fct_heartrate_daily", "fct_daily_sleep", "cln_weight", "dim_user", "dim_user_persona"}
+
     def materialize(self, path: str, names: list[str] | None = None, force: bool = False,
                     models: bool = True) -> "Warehouse":
         """Write the cleaned layer, the marts and the persona model as parquet under ``path/<build-id>``.
@@ -196,7 +224,15 @@ class Warehouse:
         spark = self.spark
         self.build_log: list[tuple[str, float]] = []
 
+        buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
         def write_read(name: str, df: DataFrame, part: str | None = None) -> DataFrame:
+            if name in self.BUCKETED:
+                t0 = time.perf_counter()
+                w = df.repartition(buckets, "user_id").write.bucketBy(buckets, "user_id").sortBy("user_id").option("path", os.path.join(base, name))
+                (w.partitionBy(part) if part else w).format("parquet").saveAsTable(self._table_name(base, name))
+                self.build_log.append((name, round(time.perf_counter() - t0, 3)))
+                return spark.table(self._table_name(base, name))
             w = df.write.mode("overwrite")
             if part:
                 # one date's rows meet in one task (adaptive execution splits large dates): few files per date
@@ -231,6 +267,8 @@ class Warehouse:
                 for n, f in futs.items():
                     stage.__dict__[n] = f.result()
         written = {n: stage.__dict__[n] for n in MART_NAMES + SKETCH_NAMES + MODEL_NAMES if n in todo}
+        if self.BUCKETED & set(written):
+            _write_text(spark, os.path.join(base, "BUCKETS"), str(buckets))
         if set(MART_NAMES) <= set(written):
             if not models and _exists(spark, os.path.join(path, "CURRENT")):
                 # the last fitted model stays with the current build

@@ -187,3 +187,28 @@ def test_last_models_stay_with_a_build_without(spark, tmp_path):
     lazy.materialize(path, force=True, models=False)
     again = Warehouse.current(spark, path)
     assert "dim_user_persona" in again._tables and sorted(map(tuple, again.dim_user_persona.collect())) == first
+
+
+def test_user_dimension_from_buckets_plans_no_exchange(spark, tmp_path):
+    """In the session that built and in one that reads the build's files; slices by date still read their date alone."""
+    from strideframe.operators import marts
+    lazy, path = Warehouse.from_driver(spark, "/root/testdata/sf0.001", StudyConfig(persona_n_init=1, elbow_n_init=1)), str(tmp_path / "wh")
+    built = lazy.materialize(path)
+    build_id = (tmp_path / "wh" / "CURRENT").read_text()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for again in (False, True):
+            if again:
+                for name in Warehouse.BUCKETED:
+                    spark.sql(f"DROP TABLE {Warehouse._table_name(build_id, name)}")  # as in a new session
+                built = Warehouse.current(spark, path, lazy.cfg)
+            plan = marts.dim_user(built.fct_daily, built.fct_sleep, built.fct_heartrate_daily, built.cln_weight)
+            assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
+            joined = built.dim_user.join(built.dim_user_persona, "user_id")
+            assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+            day = built.fct_daily.where("activity_date = DATE'2024-01-05'")._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [isnotnull(activity_date" in day
+            assert sorted(map(str, plan.collect())) == sorted(map(str, lazy.dim_user.select(*plan.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
