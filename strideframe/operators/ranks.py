@@ -74,10 +74,3 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     # the values at both positions, from one aggregate
     q = c.groupBy(*by, "p", "pi").agg(covering("k_lo").alias("lo"), covering("k_hi").alias("hi"), F.max("frac").alias("frac"))
     return q.select(*by, "p", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("frac")).alias("q"))
-
-
-def rank_rows(df: DataFrame, col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
-    """Attach the pooled mid-rank of ``col`` to every row (many-to-one join on the value;
-    AQE's skew-join split handles a value that holds a large share of the rows)."""
-    r = mid_ranks(df, col, (), buckets).select(F.col("v").alias(col), F.col("midrank").alias(out))
-    return df.join(r, col, "left")

@@ -16,7 +16,7 @@ from strideframe.functions.compat import rnd
 from strideframe.functions.distributions import p_value, t_ppf
 from strideframe.functions.stats_exprs import complete_pair, pearson, scalars
 from strideframe.operators.insights import bedtime_window
-from strideframe.operators.ranks import mid_ranks, rank_rows
+from strideframe.operators.ranks import mid_ranks
 
 
 @F.pandas_udf(T.DoubleType())
@@ -64,7 +64,9 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
           .groupBy("grp").agg(F.sum(F.col("ngv") * F.col("midrank")).alias("R"), F.sum("ngv").alias("ng")))
     s = rs.agg(F.sum(F.col("R") * F.col("R") / F.col("ng")).alias("sr"), F.sum("ng").alias("N"),
                F.count(F.lit(1)).alias("k")).filter(F.col("k") > 0)
-    tt = pooled.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n"))).scalar()
+    # the ties' sum needs the value counts alone; they are the ranks' own first aggregate, whose shuffle is reused
+    counts = d.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    tt = counts.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n"))).scalar()
     N = F.col("N").cast("double")
     h = F.lit(12.0) / (N * (N + 1)) * F.col("sr") - F.lit(3.0) * (N + 1)
     corr = F.lit(1.0) - F.try_divide(tt, N * N * N - N)
@@ -79,9 +81,15 @@ def pearson_test(df: DataFrame, x, y) -> DataFrame:
 
 
 def spearman_test(df: DataFrame, x: str, y: str) -> DataFrame:
-    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    d = rank_rows(rank_rows(d, x, "rx"), y, "ry")
-    g = d.agg(F.count(F.lit(1)).alias("n"), pearson("rx", "ry").alias("rho"))
+    """Correlation of the mid-ranks over distinct pairs of values with their counts: rows are read for the counts alone,
+    and a value that many rows have joins its rank once for each value it is paired with.  Ranks have the mean (n + 1) / 2."""
+    d = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = d.groupBy(F.col(x).alias("x"), F.col(y).alias("y")).agg(F.count(F.lit(1)).alias("c"))
+    rx, ry = (mid_ranks(d, c).select(F.col("v").alias(k), (F.col("midrank") - (F.col("total") + 1) / F.lit(2.0)).alias(f"d{k}")) for c, k in ((x, "x"), (y, "y")))
+    j = pairs.join(rx, "x").join(ry, "y")
+    c, dx, dy = F.col("c"), F.col("dx"), F.col("dy")
+    g = j.agg(F.coalesce(F.sum(c), F.lit(0)).alias("n"), F.sum(c * dx * dy).alias("xy"), F.sum(c * dx * dx).alias("xx"), F.sum(c * dy * dy).alias("yy"))
+    g = g.select("n", F.try_divide(F.col("xy"), F.sqrt("xx") * F.sqrt("yy")).alias("rho"))
     t = F.col("rho") * F.sqrt(F.try_divide(F.col("n") - 2, F.lit(1.0) - F.col("rho") * F.col("rho")))
     return g.select("n", _round6(F.col("rho")).alias("rho"), _round6(t).alias("t"))
 
