@@ -18,7 +18,7 @@ def op1_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.suffix_dedup(documents(spark, sf_dir)).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "n_later")
 
 
 def op3_boosted_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,13 +13,14 @@ it sparsely and by name: a suffix's leading tokens are the hashes of its first `
    are compared across the boundary: they are longer than a bucket's part, so shared.
 2. The windows that hold a shared anchor are sorted alike, to find the repeated ones byte-exactly up to
    the ends of a shared passage.  Between two repeated anchor windows of the same text in several
-   places only one place sends its windows; there, all bytes are known to be covered.
-3. The bytes of repeated windows go.
+   places those that a smaller id has too send none; there, all bytes are known to be covered.
+3. The bytes of repeated windows go.  Answers also tell whether a document with a smaller id has the window, which marks
+   the bytes that are copies of an earlier document.  Between repeated anchors only places that no smaller id has send.
 
 A suffix reaches its bucket once per chunk, so neither copies nor shared passages make a bucket hot, and
 a token that many different windows lead with is split by the next one.
 
-Null texts are empty.  Each row gets a result row, whatever its id.
+Null texts are empty.  Each row gets a result row, whatever its id; a null id counts as the largest.
 """
 from __future__ import annotations
 
@@ -71,12 +72,20 @@ def _runs(order: np.ndarray, *tokens: np.ndarray) -> np.ndarray:
     return run
 
 
+def lowest(index: np.ndarray, ids: np.ndarray, n: int) -> np.ndarray:
+    """The smallest id of each of n groups."""
+    low = np.full(n, np.iinfo(np.int64).max)
+    np.minimum.at(low, index, ids)
+    return low
+
+
 class _Chunk:
     """The bytes of a chunk, its anchors and its windows."""
 
     def __init__(self, docs: bytes, window: int, gram: int):
         self.window, self.gram = window, gram
         self.doc_ids, self.data, self.offsets = chunks.load(docs)
+        self.ids = self.doc_ids.fill_null(np.iinfo(np.int64).max).to_numpy()
         n, size = len(self.data), np.diff(self.offsets)
         self.head = mix(gram_hash(byte_values(self.data), gram)) if n else np.zeros(0, np.uint64)
         # the place behind the last window of each document that has one, and which windows are whole
@@ -99,8 +108,12 @@ class _Chunk:
         second[whole] = self.head[p[whole] + self.window - self.gram] | np.uint64(1)
         return self.head[p], second
 
+    def owners(self, p: np.ndarray) -> np.ndarray:
+        """The ids of the documents at places p."""
+        return self.ids[np.searchsorted(self.offsets, p, "right") - 1]
+
     def suffixes(self):
-        """The anchors' distinct (first, second, next) tokens and how often each occurs; each anchor's entry.
+        """The anchors' distinct (first, second, next) tokens, how often each occurs and its smallest id; each anchor's entry.
         next names the text up to the end of the next anchor's window, and is 0 where that isn't one text."""
         a, b = self.tokens(self.anchors)
         after = np.zeros(len(a), np.uint64)
@@ -114,25 +127,25 @@ class _Chunk:
         index = _runs(order, a, b, after)
         count = np.bincount(index)
         at = np.zeros(len(count), np.int64)
-        at[index[::-1]] = np.arange(len(index))[::-1]  # the first anchor of each entry
-        return a[at], b[at], after[at], count, index, at
+        at[index] = np.arange(len(index))
+        return a[at], b[at], after[at], count, lowest(index, self.owners(self.anchors), len(count)), index
 
-    def candidates(self, shared: np.ndarray, whole: np.ndarray, sender: np.ndarray):
-        """Window starts to ask for, and the bytes known to be covered: ``shared`` says for each anchor
-        whether it occurs elsewhere, ``whole`` whether its window does, ``sender`` whether the text from it to
-        the next anchor's window is sent here."""
+    def candidates(self, shared: np.ndarray, whole: np.ndarray, known: np.ndarray, later: np.ndarray):
+        """Window starts to ask for, the bytes known to be covered, and those known to be copies: ``shared`` says for
+        each anchor whether it occurs elsewhere, ``whole`` whether its window does, ``known`` whether a smaller id has
+        the text from it to the next anchor's window, ``later`` whether one has its window."""
         n = len(self.data)
         reach = np.zeros(n + 1, np.int64)
         at = self.anchors[shared]
         np.add.at(reach, np.maximum(at - (self.window - self.gram), 0), 1)
         np.add.at(reach, at + 1, -1)
         ask = (np.cumsum(reach)[:n] > 0) & self.whole
-        quiet = np.flatnonzero(~sender[:-1] & whole[:-1] & whole[1:]) if len(sender) else np.zeros(0, np.int64)
+        quiet = np.flatnonzero(known[:-1] & whole[:-1] & whole[1:]) if len(known) else np.zeros(0, np.int64)
         reach[:] = 0
         np.add.at(reach, self.anchors[quiet], 1)
         np.add.at(reach, self.anchors[quiet + 1], -1)
         ask &= np.cumsum(reach)[:n] == 0
-        return np.flatnonzero(ask), cover(self.anchors[whole], self.window, n)
+        return np.flatnonzero(ask), cover(self.anchors[whole], self.window, n), cover(self.anchors[whole & later], self.window, n)
 
 
 class _Splitters:
@@ -160,7 +173,15 @@ def _messages(chunk: int, starts: np.ndarray, *arrays: np.ndarray) -> pa.RecordB
     sent = [k for k in range(len(starts) - 1) if starts[k + 1] > starts[k]]
     return pa.record_batch({
         "chunk": pa.array([chunk] * len(sent), pa.int64()), "bucket": pa.array(sent, pa.int32()),
-        "payload": pa.array([pack(*(x[starts[k]:starts[k + 1]] for x in arrays)) for k in sent], pa.binary())})
+        "payload": pa.array([pack(*(x[starts[k]:starts[k + 1]] for x in arrays[:-1]), _squeezed(arrays[-1][starts[k]:starts[k + 1]])) for k in sent], pa.binary())})
+
+
+def _squeezed(ids: np.ndarray) -> np.ndarray:
+    return np.frombuffer(squeeze(ids.tobytes()), np.uint8)
+
+
+def _ids(data: np.ndarray) -> np.ndarray:
+    return np.frombuffer(expand(data.tobytes()), np.int64)
 
 
 def _flags(replies: list | None, starts: np.ndarray, n: int) -> np.ndarray:
@@ -175,25 +196,26 @@ def _split(values: np.ndarray, sizes: list[int]) -> list[bytes]:
 
 
 def _anchor_answers(payloads: list[bytes]) -> list[bytes]:
-    """For each entry: 1 if its first token occurs elsewhere, 2 if its window does, 4 if it sends its text."""
-    parts = [unpack(p, np.uint64, np.uint64, np.uint64, np.uint8) for p in payloads]
-    a, b, after, count = (np.concatenate(x) for x in zip(*parts))
+    """For each entry: 1 if its first token occurs elsewhere, 2 if its window does, 4 if a smaller id has its window, 8 if
+    one has its text up to the next anchor."""
+    parts = [unpack(p, np.uint64, np.uint64, np.uint64, np.uint8, np.uint8) for p in payloads]
+    a, b, after, count = (np.concatenate(x) for x in zip(*(p[:4] for p in parts)))
+    low = np.concatenate([_ids(p[4]) for p in parts])
     order = multikey_order(a, b, after)
     head, window, text = _runs(order, a), _runs(order, a, b), _runs(order, a, b, after)
     shared = np.bincount(head, weights=count)[head] > 1
     whole = (np.bincount(window, weights=count)[window] > 1) & (b > 0)
-    first = np.full(len(order) + 1, len(order))
-    np.minimum.at(first, text, np.arange(len(order)))
-    sender = (first[text] == np.arange(len(order))) | (after == 0)
-    return _split(shared + 2 * whole + 4 * sender, [len(p[0]) for p in parts])
+    later, known = (lowest(run, low, len(order))[run] < low for run in (window, text))
+    return _split(shared + 2 * whole + 4 * (later & whole) + 8 * (known & (after > 0)), [len(p[0]) for p in parts])
 
 
 def _window_answers(payloads: list[bytes]) -> list[bytes]:
-    """Whether each window occurs elsewhere."""
-    parts = [unpack(p, np.uint64, np.uint32, np.uint8) for p in payloads]
-    a, b, count = (np.concatenate(x) for x in zip(*parts))
+    """For each window: 1 if it occurs elsewhere, 2 if a smaller id has it."""
+    parts = [unpack(p, np.uint64, np.uint32, np.uint8, np.uint8) for p in payloads]
+    a, b, count = (np.concatenate(x) for x in zip(*(p[:3] for p in parts)))
+    low = np.concatenate([_ids(p[3]) for p in parts])
     run = _runs(multikey_order(a, b), a, b)
-    return _split(np.bincount(run, weights=count)[run] > 1, [len(p[0]) for p in parts])
+    return _split((np.bincount(run, weights=count)[run] > 1) + 2 * (lowest(run, low, len(run))[run] < low), [len(p[0]) for p in parts])
 
 
 def _sampled(gathered: DataFrame, window: int, gram: int, buckets: int) -> tuple[_Splitters, _Splitters]:
@@ -215,7 +237,8 @@ def _sampled(gathered: DataFrame, window: int, gram: int, buckets: int) -> tuple
 
 def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW,
                  gram: int = GRAM, chunk_bytes: int = chunks.CHUNK_BYTES) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) of each row.  Two grams must
+    """doc_id, n_bytes, n_removed, n_spans, kept (binary: the remaining bytes) and n_later (removed bytes of windows that a
+    smaller id has as well: what would go if the first copy stayed) of each row.  Two grams must
     cover a window: window / 2 <= gram <= window."""
     if not window <= 2 * gram <= 2 * window:
         raise ValueError(f"a gram of {gram} bytes doesn't fit a window of {window}")
@@ -225,47 +248,48 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            a, b, after, count, _, _ = _Chunk(row["docs"], window, gram).suffixes()
-            yield _messages(row["chunk"], heads.deal(a, b)[0], a, b, after, np.minimum(count, 2).astype(np.uint8))
+            a, b, after, count, low, _ = _Chunk(row["docs"], window, gram).suffixes()
+            yield _messages(row["chunk"], heads.deal(a, b)[0], a, b, after, np.minimum(count, 2).astype(np.uint8), low)
 
     def asked(row):
         c = _Chunk(row["docs"], window, gram)
-        a, b, after, count, index, at = c.suffixes()
+        a, b, after, count, low, index = c.suffixes()
         starts, cut = heads.deal(a, b)
         flags = _flags(row["replies"], starts, len(a))
-        shared, whole, sender = flags & 1 > 0, flags & 2 > 0, flags & 4 > 0
-        # the sending chunk sends the text of the first of equal anchors
-        first = np.zeros(len(index), bool)
-        first[at] = True
-        p, covered = c.candidates((shared | cut)[index], whole[index], (sender[index] & first) | (after[index] == 0))
+        shared, whole, later, known = (flags & bit > 0 for bit in (1, 2, 4, 8))
+        # within an entry, its smallest id has what the others have
+        after_low = c.owners(c.anchors) > low[index]
+        p, covered, copied = c.candidates((shared | cut)[index], whole[index], (known[index] | after_low) & (after[index] > 0), later[index] | after_low)
         a, b = c.head[p], c.head[p + window - gram].astype(np.uint32) if len(p) else np.zeros(0, np.uint32)
         order = multikey_order(a, b)
         index = _runs(order, a, b)
         count = np.bincount(index)
         one = np.zeros(len(count), np.int64)
         one[index] = np.arange(len(index))
-        a, b = a[one], b[one]
-        return c, p, covered, a, b, count, index, windows.deal(a, b.astype(np.uint64))[0]
+        a, b, low = a[one], b[one], lowest(index, c.owners(p), len(count))
+        return c, p, covered, copied, a, b, count, low, index, windows.deal(a, b.astype(np.uint64))[0]
 
     def send_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            _, _, _, a, b, count, _, starts = asked(row)
-            yield _messages(row["chunk"], starts, a, b, np.minimum(count, 2).astype(np.uint8))
+            *_, a, b, count, low, _, starts = asked(row)
+            yield _messages(row["chunk"], starts, a, b, np.minimum(count, 2).astype(np.uint8), low)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in exchange.rows(batches):
-            c, p, gone, a, _, _, index, starts = asked(row)
-            gone |= cover(p[_flags(row["repeats"], starts, len(a))[index] > 0], window, len(c.data))
+            c, p, gone, copied, a, _, _, low, index, starts = asked(row)
+            flags = _flags(row["repeats"], starts, len(a))[index]
+            gone |= cover(p[flags & 1 > 0], window, len(c.data))
+            copied |= cover(p[(flags & 2 > 0) | (c.owners(p) > low[index])], window, len(c.data))
             kept = c.data[~gone].tobytes()
             removed = sums(gone, c.offsets)
             ends = np.concatenate([[0], np.cumsum(np.diff(c.offsets) - removed)]).tolist()
             yield pa.record_batch({
                 "doc_id": c.doc_ids, "n_bytes": pa.array(np.diff(c.offsets)), "n_removed": pa.array(removed),
                 "n_spans": pa.array(spans(gone, c.offsets)),
-                "kept": pa.array([kept[s:e] for s, e in zip(ends[:-1], ends[1:])], pa.binary())})
+                "kept": pa.array([kept[s:e] for s, e in zip(ends[:-1], ends[1:])], pa.binary()), "n_later": pa.array(sums(copied, c.offsets))})
 
     told = stage(exchange.ask(gathered.mapInArrow(send_anchors, exchange.MESSAGE), _anchor_answers), "shared-suffixes")
     first = exchange.with_replies(gathered, told)
     repeats = exchange.ask(first.mapInArrow(send_windows, exchange.MESSAGE), _window_answers)
     second = exchange.with_replies(first, repeats, "repeats")
-    return second.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return second.mapInArrow(remove, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, n_later long")

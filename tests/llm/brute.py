@@ -48,16 +48,22 @@ def substrings(docs, k):
 
 
 def suffixes(docs, k):
-    """(doc_id, n_bytes, n_removed, n_spans, sha256)."""
+    """(doc_id, n_bytes, n_removed, n_spans, sha256, n_later); no id is the largest."""
+    order = lambda i: (1 << 63) - 1 if i is None else i
     data = [(i, (x or "").encode()) for i, x in docs]
-    n = Counter(b[p:p + k] for _, b in data for p in range(len(b) - k + 1))
+    n, owner = Counter(b[p:p + k] for _, b in data for p in range(len(b) - k + 1)), {}
+    for i, b in data:
+        for p in range(len(b) - k + 1):
+            owner[b[p:p + k]] = min(owner.get(b[p:p + k], order(i)), order(i))
     out = []
     for i, b in data:
-        gone = bytearray(len(b))
+        gone, later = bytearray(len(b)), bytearray(len(b))
         for p in range(len(b) - k + 1):
             if n[b[p:p + k]] > 1:
                 gone[p:p + k] = b"\1" * k
-        out.append((i, len(b), sum(gone), sum(g for g, _ in itertools.groupby(gone)), sha(bytes(x for x, g in zip(b, gone) if not g))))
+            if owner[b[p:p + k]] < order(i):
+                later[p:p + k] = b"\1" * k
+        out.append((i, len(b), sum(gone), sum(g for g, _ in itertools.groupby(gone)), sha(bytes(x for x, g in zip(b, gone) if not g)), sum(later)))
     return out
 
 

@@ -33,12 +33,12 @@ def test_substrings(frame, copies, window, chunk):
 def test_suffixes(frame, copies, window, gram, chunk):
     docs = copies(window, lambda rng: rng.choice("abcé \n"), "", window)
     got = suffixes.suffix_dedup(frame(docs), window=window, gram=gram, chunk_bytes=chunk).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256), "n_later")
     assert rows(got) == sorted(brute.suffixes(docs, window), key=KEY)
 
 
 def test_small_table(frame, small):
-    assert rows(suffixes.suffix_dedup(frame(small)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256))) \
+    assert rows(suffixes.suffix_dedup(frame(small)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256), "n_later")) \
         == sorted(brute.suffixes(small, 400), key=KEY)
 
 
