@@ -43,9 +43,9 @@ from strideframe.llm.skew import salted_join
 from strideframe.llm.store import stage
 
 SHINGLE, PERCENT = 4, 85
-#: Cells of the hash range by whose counts suffixes are compared, with 16 bits each in one number; sets of more elements
-#: than these hold pass the filter unseen.
-CELLS, MOST = 4, (1 << 15) - 1
+#: Cells of the hash range by whose counts suffixes are compared, eight bytes in one number.  A suffix with more than
+#: MOST elements in a cell has all bytes set: its cells bound nothing.
+CELLS, MOST = 16, 254
 #: Bytes of documents behind a bucket's elements, on average.
 BUCKET_BYTES = 32 << 20
 # fixed values: words are runs of all but 0x20 and 0x09-0x0D
@@ -135,7 +135,7 @@ def _members(gathered: DataFrame, shingle: int) -> DataFrame:
 
 
 def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent: int, buckets: int) -> DataFrame:
-    """sid, n, alone (elements of no other set), elements, entries (array of key, pos, cells) of the representatives that
+    """sid, n, alone (elements of no other set), elements, entries (array of key, pos, low, high: the cells) of the representatives that
     may have a partner."""
     chosen = classes.groupBy("rep.chunk").agg(F.collect_list(F.struct("rep.i", "sid")).alias("reps"))
     asked = gathered.join(chosen, "chunk")
@@ -173,9 +173,11 @@ def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent:
                 tail = np.bincount(cell[size[i]:], minlength=CELLS)
                 steps = np.zeros((size[i], CELLS), np.int64)
                 steps[np.arange(size[i]), cell[:size[i]]] = 1
-                behind = np.minimum(tail + steps.sum(0) - np.cumsum(steps, axis=0), MOST) @ (1 << 16 * np.arange(CELLS))
+                behind = (tail + steps.sum(0) - np.cumsum(steps, axis=0))[p]
+                behind[behind.max(1) > MOST] = 255
+                low, high = np.ascontiguousarray(behind.astype(np.uint8)).view(np.int64).T.tolist() if len(p) else ([], [])
                 found.append((int(sids[i]), int(n[i]), int(alone[i]), c.hashes[a:b].view(np.int64),
-                              [{"key": k, "pos": q, "cells": x} for k, q, x in zip(own[p].view(np.int64).tolist(), p.tolist(), behind[p].tolist())]))
+                              [dict(zip(("key", "pos", "low", "high"), e)) for e in zip(own[p].view(np.int64).tolist(), p.tolist(), low, high)]))
                 if len(found) >= 200:
                     yield _rows(found)
                     found = []
@@ -184,27 +186,28 @@ def _candidates(gathered: DataFrame, classes: DataFrame, shingle: int, percent:
 
     told = stage(exchange.ask(asked.mapInArrow(send, exchange.MESSAGE), _frequencies), "frequencies")
     return stage(exchange.with_replies(asked, told).mapInArrow(
-        order, "sid long, n int, alone int, elements array<long>, entries array<struct<key: long, pos: int, cells: long>>"), "candidates")
+        order, "sid long, n int, alone int, elements array<long>, entries array<struct<key: long, pos: int, low: long, high: long>>"), "candidates")
 
 
 def _rows(found: list[tuple]) -> pa.RecordBatch:
     sid, n, alone, elements, entries = zip(*found)
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("cells", pa.int64())]))
+    kind = pa.list_(pa.struct([("key", pa.int64()), ("pos", pa.int32()), ("low", pa.int64()), ("high", pa.int64())]))
     return pa.record_batch({"sid": pa.array(sid, pa.int64()), "n": pa.array(n, pa.int32()), "alone": pa.array(alone, pa.int32()), "elements": pa.array(elements, pa.list_(pa.int64())),
                             "entries": pa.array(entries, kind)})
 
 
 def _passes(percent: int) -> Column:
     """Whether two entries x and y of a list may belong to a pair that is similar enough."""
-    x, y = ({k: F.col(f"{s}.{k}") for k in ("n", "pos", "alone", "cells")} for s in "xy")
+    x, y = ({k: F.col(f"{s}.{k}") for k in ("n", "pos", "alone")} | {"cells": [F.col(f"{s}.low"), F.col(f"{s}.high")]} for s in "xy")
     small, large = F.least(x["n"], y["n"]), F.greatest(x["n"], y["n"])
     needed = percent * (x["n"] + y["n"])  # (100 + percent) * overlap >= needed
     # elements ahead of the common one that other sets have as well, and those behind it
     ahead = F.least(x["pos"] - x["alone"], y["pos"] - y["alone"]) + 1
     rest = F.least(x["n"] - x["pos"], y["n"] - y["pos"]) - 1
-    suffix = sum(F.least(*(F.shiftrightunsigned(c["cells"], 16 * k).bitwiseAND(F.lit((1 << 16) - 1)) for c in (x, y))) for k in range(CELLS))
+    cell = [F.least(*(F.shiftrightunsigned(c["cells"][k // 8], 8 * (k % 8)).bitwiseAND(F.lit(255)) for c in (x, y))) for k in range(CELLS)]
+    unbounded = (x["cells"][0] == -1) & (y["cells"][0] == -1)
     return (100 * small >= percent * large) & ((100 + percent) * (ahead + rest) >= needed) \
-        & ((large > MOST) | ((100 + percent) * (ahead + suffix) >= needed))
+        & (unbounded | ((100 + percent) * (ahead + sum(cell[1:], cell[0])) >= needed))
 
 
 def _compared(pairs: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -224,7 +227,7 @@ def _paired(rows: DataFrame, percent: int) -> DataFrame:
 
 def _links(candidates: DataFrame, percent: int) -> DataFrame | None:
     """u > v (sids): verified links that connect all that is similar enough, directly or by others."""
-    x = F.struct("sid", "n", F.col("e.pos").alias("pos"), "alone", F.col("e.cells").alias("cells"))
+    x = F.struct("sid", "n", F.col("e.pos").alias("pos"), "alone", F.col("e.low").alias("low"), F.col("e.high").alias("high"))
     own = candidates.select("sid", "n", "alone", F.explode("entries").alias("e")).select(F.col("e.key").alias("key"), "sid", F.col("sid").alias("comp"), x.alias("x"))
     links = before = None
     while True:
@@ -252,13 +255,13 @@ def _bridged(members: DataFrame, candidates: DataFrame, links: DataFrame, percen
     """``links`` with all links between sets of different components that have a list in common.
 
     One minus the similarity is a distance.  A component's radius is the largest distance of its sets to its root; two
-    components whose roots lie further apart than both radii and a link's length have no link.  Only the
-    others' sets are paired.
+    components whose roots lie further apart than both radii and a link's length have no link.  Of the others' sets
+    those are paired whose own distances to the roots leave room for a link.
     """
     apart = 1 - F.col("common") / F.col("whole")
     rays = members.where("sid != comp").select(F.col("sid").alias("u"), F.col("comp").alias("v")).distinct()
-    radius = _compared(stage(rays, "rays"), candidates).groupBy(F.col("v").alias("comp")).agg(F.max(apart).alias("radius"))
-    radius = stage(radius, "radius")
+    rays = stage(_compared(stage(rays, "rays"), candidates).select(F.col("u").alias("sid"), F.col("v").alias("comp"), apart.alias("ray")), "rays")
+    radius = stage(rays.groupBy("comp").agg(F.max("ray").alias("radius")), "radius")
     # a component with one set in a list meets others of one set by these two, else by their roots
     parts = stage(members.groupBy("key", "comp").agg(F.count("*").alias("c"), F.min("x").alias("x")), "parts")
     met = salted_join(parts, parts.select("key", F.col("comp").alias("v"), F.col("c").alias("d"), F.col("x").alias("y")), "key", "comp")
@@ -269,12 +272,15 @@ def _bridged(members: DataFrame, candidates: DataFrame, links: DataFrame, percen
     for side in "uv":
         measured = salted_join(measured, radius.select(F.col("comp").alias(side), F.col("radius").alias(f"radius_{side}")), side, "v" if side == "u" else "u", "left")
     near = measured.where(apart <= F.coalesce("radius_u", F.lit(0.0)) + F.coalesce("radius_v", F.lit(0.0)) + (100 - percent) / 100 + 1e-9)
-    near = stage(near.select("u", "v", (100 * F.col("common") >= percent * F.col("whole")).alias("linked")), "near-components")
+    near = stage(near.select("u", "v", apart.alias("apart"), (100 * F.col("common") >= percent * F.col("whole")).alias("linked")), "near-components")
     # two components that are linked already need no further link
-    open_ = near.where("NOT linked").select("u", "v")
-    asking = salted_join(members.select("key", F.col("comp").alias("u"), F.col("x").alias("y")), open_, "u", "key").select(F.struct("key", F.col("v").alias("comp")).alias("at"), "y")
-    asked = members.select(F.struct("key", "comp").alias("at"), "x", "sid")
-    rows = salted_join(asked, asking, "at", "sid")
+    open_ = near.where("NOT linked").select("u", "v", "apart")
+    held = members.join(rays.select("sid", "ray"), "sid", "left").select("key", "sid", "comp", "x", F.coalesce("ray", F.lit(0.0)).alias("ray"))
+    asking = salted_join(held.select("key", F.col("comp").alias("u"), F.col("x").alias("y"), F.col("ray").alias("ray_y")), open_, "u", "key") \
+        .select(F.struct("key", F.col("v").alias("comp")).alias("at"), "y", "ray_y", "apart")
+    asked = held.select(F.struct("key", "comp").alias("at"), "x", "sid", "ray")
+    # the same inequality for the two sets themselves
+    rows = salted_join(asked, asking, "at", "sid").where(F.col("apart") <= F.col("ray") + F.col("ray_y") + (100 - percent) / 100 + 1e-9)
     rows = rows.select("x", "y").union(met.where("lone").select("x", "y"))
     more = _compared(_paired(rows, percent), candidates).where(100 * F.col("common") >= percent * F.col("whole")).select("u", "v")
     return links.union(near.where("linked").select("u", "v")).union(stage(more, "links"))
