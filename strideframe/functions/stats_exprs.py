@@ -15,9 +15,10 @@ def complete_pair(x, y) -> tuple[Column, Column]:
 
 
 def pearson(x, y) -> Column:
-    """Pearson r of the complete pairs, one buffer a pair; NULL (not NaN) for a constant column or one row."""
+    """Pearson r of the complete pairs; NULL (not an error) for a constant column or one row.  ``corr`` itself is an
+    error there under ANSI rules, so it is divided by hand, from aggregates that leave out incomplete pairs themselves."""
     x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
-    return F.nullif(F.corr(x, y), F.lit(float("nan")))
+    return F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
 
 
 def pearson_rounded(x, y, digits: int) -> Column:
