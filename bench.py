@@ -23,6 +23,7 @@ HEADLINE = [
     "v_activity_kpi", "weekday_hour_pivot", "trend_grid", "v_sleep_page_kpi", "wear_calendar",
     "welch_weekend", "kruskal_weekday", "spearman_sit_sleep", "anova_bedtime", "corr_matrix",
     "box_steps_weekday", "describe", "hexbin", "dq_checks", "persona_profile", "elbow",
+    "mean_ci_bootstrap", "regression_ci_bootstrap", "users_by_week", "sketch_quantiles", "points_by_persona",
 ]
 DIRECT = ["kpi_snapshot", "dim_user", "data_quality"]
 
