@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from strideframe.config import AUDIT_STEPS, StudyConfig
 from strideframe.operators.staging import Staged
 
-KEEP, COPIES = "_keep", "_copies"
+KEEP, COPIES, MINUTES = "_keep", "_copies", "_minutes"
 
 
 @dataclass
@@ -70,9 +70,29 @@ def measure_sleep_day(stg: DataFrame, cfg: StudyConfig) -> Measured:
     return _without_copies(stg, _before_cut(F.col("sleep_date"), cfg))
 
 
-def measure_minute_sleep(stg: DataFrame) -> Measured:
-    """Exact duplicate minutes removed (R5 is not applied to this table)."""
-    return _without_copies(stg)
+def pack_minutes(stg: DataFrame) -> DataFrame:
+    """R1 for minute rows: (user_id, log_id, sleep_state, base, MINUTES, COPIES), one row for all minutes of an hour that
+    agree in the other columns and in their seconds (``base`` is the time without its minutes).
+
+    A minute is one bit of MINUTES, so copies vanish in a bitwise or, which is taken before the exchange: rows and
+    aggregation buffers that travel are hours, not minutes.  Exact for any times; rows without a time keep one bit.
+    """
+    base = F.timestamp_add("MINUTE", -F.minute("ts"), F.col("ts"))
+    return (stg.groupBy("user_id", "log_id", "sleep_state", base.alias("base"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, coalesce(minute(ts), 0))")).alias(MINUTES), F.count(F.lit(1)).alias(COPIES)))
+
+
+def unpack_minutes(packed: DataFrame) -> DataFrame:
+    """The distinct minutes of ``pack_minutes`` as rows again; the first one of each packed row carries its COPIES."""
+    at, first = F.col("_at"), F.expr(f"bit_count({MINUTES} ^ ({MINUTES} - 1)) - 1")
+    each = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(59))).alias("_at")).where(F.getbit(F.col(MINUTES), at) == 1)
+    return each.select("user_id", F.timestamp_add("MINUTE", at, F.col("base")).alias("ts"), "sleep_state", "log_id",
+                       F.when(at == first, F.col(COPIES)).otherwise(F.lit(0).cast("long")).alias(COPIES))
+
+
+def measure_minute_sleep(packed: DataFrame) -> Measured:
+    """Exact duplicate minutes removed (R5 is not applied to this table), from the packed minutes."""
+    return Measured(unpack_minutes(packed), {"before": F.coalesce(F.sum(COPIES), F.lit(0)), "after": F.count(F.lit(1))})
 
 
 def measure_hourly(stg: DataFrame, cfg: StudyConfig) -> Measured:
@@ -90,10 +110,10 @@ def measure_weight(stg: DataFrame) -> Measured:
                     ["user_id", "log_date", "weight_kg", "bmi", "is_manual"])
 
 
-def measure_all(stg: Staged, cfg: StudyConfig) -> dict[str, Measured]:
-    """The measured frame behind each cleaned table."""
+def measure_all(stg: Staged, cfg: StudyConfig, packed: DataFrame | None = None) -> dict[str, Measured]:
+    """The measured frame behind each cleaned table; ``packed`` are the packed minutes if they are already there."""
     return {"daily": measure_daily(stg.daily_activity, cfg), "sleep_day": measure_sleep_day(stg.sleep_day, cfg),
-            "minute_sleep": measure_minute_sleep(stg.minute_sleep), "hourly": measure_hourly(stg.hourly, cfg),
+            "minute_sleep": measure_minute_sleep(pack_minutes(stg.minute_sleep) if packed is None else packed), "hourly": measure_hourly(stg.hourly, cfg),
             "heartrate": measure_heartrate(stg.heartrate, cfg), "weight": measure_weight(stg.weight)}
 
 
