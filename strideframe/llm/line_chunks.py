@@ -10,7 +10,9 @@ Chunks with a word in them are counted over the corpus by hash; where a hash rep
 with the first one's byte by byte.  The lines of all equal ones but the first (smallest doc_id, then position) go.
 
 Everything is DataFrame operations.  A hash that a third of all chunks share is counted by partial aggregation, and joins
-on hashes are salted (see skew).  Texts are shuffled by document, and repeated chunks by hash.
+on hashes are salted (see skew).  Texts are shuffled by document, and repeated chunks by hash.  Hot hashes are known from
+the staged counts of chunks, so no job but the last one reads marks or shuffles texts, and its branches share one exchange
+of them (two if ``docs`` has columns besides id and text, which only one branch needs).
 
 Results: a null text stays null, an empty one empty.  Rows with equal id and equal text count as one
 document and are treated alike; rows with equal id and other text are told apart by the text's hash.
@@ -53,13 +55,15 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                        *([F.struct(*others).alias("own")] if others else []))
 
 
-def _marked(keyed: DataFrame, mean: int) -> DataFrame:
-    """``keyed`` with marks: array of (at, h, first) of its repeated chunks, null where it has none."""
+def _marked(keyed: DataFrame, mean: int) -> tuple[DataFrame, DataFrame]:
+    """``keyed`` with marks: array of (at, h, first) of its repeated chunks, null where it has none; and how often each
+    repeated chunk occurs (h, n)."""
     found = keyed.select(*_KEY, F.explode(chunks(F.col("text"), mean)).alias("c")).select(*_KEY, "c.at", "c.h")
     firsts = stage(found.groupBy("h").agg(F.count("*").alias("n"), F.min(F.struct(*_KEY, "at")).alias("first")).where("n > 1"), "repeated-chunks")
-    marked = salted_join(found, firsts.select("h", "first"), "h", "k1", counts=firsts.select("h", "n"))
+    repeats = firsts.select("h", "n")
+    marked = salted_join(found, firsts.select("h", "first"), "h", "k1", counts=repeats)
     marks = marked.groupBy(*_KEY).agg(F.collect_set(F.struct("at", "h", "first")).alias("marks"))
-    return keyed.join(marks, _KEY, "left")
+    return keyed.join(marks, _KEY, "left"), repeats
 
 
 def _is_first(mark: Column) -> Column:
@@ -67,14 +71,14 @@ def _is_first(mark: Column) -> Column:
         & (mark["first"]["at"] == mark["at"])
 
 
-def _unequal(rows: DataFrame) -> DataFrame:
+def _unequal(rows: DataFrame, repeats: DataFrame) -> DataFrame:
     """known, k1, k2, wrong: the places of marked chunks whose hash is the first one's and whose bytes aren't."""
     pieces = rows.where("marks IS NOT NULL").select(*_KEY, F.explode(_let(F.split("text", "\n"), lambda ls: F.transform("marks", lambda m: F.struct(
         m["at"].alias("at"), m["h"].alias("h"), _is_first(m).alias("is_first"),
         F.concat_ws("\n", F.get(ls, m["at"]), F.get(ls, m["at"] + 1)).alias("text"))))).alias("p")).select(*_KEY, "p.*")
     firsts = pieces.where("is_first").groupBy("h").agg(F.min("text").alias("kept"))
     others = pieces.where("NOT is_first")
-    same = salted_join(others, firsts, "h", "k1", counts=others.groupBy("h").agg(F.count("*").alias("n")))
+    same = salted_join(others, firsts, "h", "k1", counts=repeats)
     return same.where(F.col("text").cast("binary") != F.col("kept").cast("binary")).groupBy(*_KEY).agg(F.collect_set("at").alias("wrong"))
 
 
@@ -86,8 +90,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with the lines of repeated chunks removed from the text; with ``counts``, the columns COUNTS (long) behind
     their own, in place of any so named.  With ``least_left`` documents go that had lines removed and have no word left, or
     less than this share of their characters: what is left of a copy of others."""
-    rows = _marked(_keyed(docs, id_col, text_col), mean)
-    rows = rows.join(_unequal(rows), _KEY, "left")
+    rows, repeats = _marked(_keyed(docs, id_col, text_col), mean)
+    rows = rows.join(_unequal(rows, repeats), _KEY, "left")
     later = F.transform(F.filter(F.coalesce("marks", F.array()), lambda m: ~_is_first(m)), lambda m: m["at"])
     gone = F.array_except(later, F.coalesce("wrong", F.array().cast("array<int>")))
 

@@ -10,7 +10,7 @@ from conftest import SMALL
 from pyspark.sql import functions as F
 
 from strideframe.llm import decontamination, line_chunks, personal, quality, queries
-from strideframe.llm.store import texts
+from strideframe.llm.store import documents, texts
 
 ODD = [(0, None), (1, ""), (2, " \t\n"), (3, "a b c d e f g h i j"), (4, "the of " * 40), (5, "x y z w v " * 3 + "q"),
        (5, "x y z w v " * 3 + "q"), (None, "Ünï cödé 日本 😀 #tag"), (6, "l1 a\nl2 b\nl1 a\n\nl1 a"), (7, "w" * 50_000), (8, "a b c\x1cd " * 4000)]
@@ -99,6 +99,15 @@ def test_line_chunks_compare_bytes(spark, frame, monkeypatch):
     assert all(out[i] == x for i, x in docs[:12])
 
 
+def test_line_chunks_count_hot_hashes_without_texts(spark, monkeypatch):
+    """Salting reads the staged counts: a job over the texts would shuffle them once more."""
+    counted, join = [], line_chunks.salted_join
+    monkeypatch.setattr(line_chunks, "salted_join", lambda *a, counts=None: counted.append(counts) or join(*a, counts=counts))
+    line_chunks.line_dedup(texts(documents(spark, SMALL)))
+    assert len(counted) == 2
+    assert all(c is not None and c.inputFiles() and not any("documents" in f for f in c.inputFiles()) for c in counted)
+
+
 def test_scraps_of_copies_go(frame):
     origin = "\n".join(f"line {i} of the origin" for i in range(12))
     docs = [(1, origin), (2, origin + "\nend"), (3, origin), (4, "\n".join(f"own {i}" for i in range(40)) + "\n" + origin), (5, None), (6, "own"), (7, "")]
