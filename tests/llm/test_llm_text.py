@@ -1,5 +1,6 @@
 """Quality rules, line chunks, personal data, decontamination."""
 import random
+from collections import Counter
 
 import brute
 import numpy as np
@@ -197,6 +198,48 @@ def test_personal_sample_is_of_distinct_texts(frame):
     assert personal.fit(frame(docs + [(1000 + i, hot) for i in range(400)]), sample=300) is not None
 
 
+def test_personal_fit_reads_all_texts(frame):
+    """2,500 texts without examples, whose hashes come first, don't keep the others from the fit."""
+    signed = lambda x: (xxhash.xxh64_intdigest(x.encode(), 42) + (1 << 63)) % (1 << 64)
+    docs, want = _spelled(600)
+    docs = [d for d in docs if signed(d[1]) >= 1 << 63]
+    empty = [x for x in (f"no {k}" for k in range(6000)) if signed(x) < 1 << 63][:2500]
+    assert len(docs) > 200 and len(empty) == 2500
+    rows = personal.find_personal(frame(docs + [(1000 + i, x) for i, x in enumerate(empty)])).collect()
+    found = {r.doc_id: set(r.spans.split(",")) - set(r.base.split(",")) for r in rows}
+    assert sum(len(found[i] & want[i]) for i, _ in docs) > 0.95 * sum(len(want[i]) for i, _ in docs)
+
+
+def test_personal_examples_of_all_texts(frame):
+    """Copies count once, nulls and empty texts not; addresses without digit or at-sign and texts of many examples count."""
+    docs, _ = _spelled(40)
+    docs += [(500, "dinner (AT) home, we [ at ] work"), (501, " ".join(f"20{i % 90 + 10}-01-02 at 10.{i % 256}.0.1, " for i in range(3000))), (502, None), (503, "")]
+    want = Counter((tuple(x), y) for t in {t for _, t in docs if t} for x, y in personal.examples(t))
+    assert len(list(personal.examples(docs[40][1]))) == 2 and sum(want.values()) > 2 * personal.BATCH
+    rows = personal.labelled(frame(docs + docs[:30] + [(None, docs[0][1])] * 50))
+    assert Counter((tuple(r.x), r.label) for r in rows.collect()) == want
+
+
+def test_personal_examples_beside_base_spans():
+    """A harmless candidate is an example if it overlaps no base span, however many lie before and behind."""
+    text = "a@b.org 1.2.3.4 2024-01-30 12 " * 30 + "x+10.0.0.1.10.0.0.2.10.0.0.3.10.0.0.4.10.0.0.5@10.0.0.1 @ c 2024-01-30 12"
+    base = personal.base_spans(text)
+    harmless = [s for s in personal.candidates(text) if not any(a < s[1] and s[0] < b for a, b, _ in base) and personal.harmless(text, s)]
+    exact = [s for s in personal.candidates(text) if s in base]
+    got = list(personal.examples(text))[:len(harmless) + len(exact)]
+    assert harmless and sorted(got) == sorted([(personal.features(text, s), 0.0) for s in harmless] + [(personal.features(text, s), 1.0) for s in exact])
+
+
+@pytest.mark.parametrize("precision", [0.5, 0.8, 0.9, 0.99, 1.0])
+def test_personal_threshold(spark, precision):
+    rng = random.Random(5)
+    judged = [(p := round(rng.random(), 2 if i % 2 else 4), float(rng.random() < p + 0.1)) for i in range(3000)]
+    fits = [p for p in {p for p, _ in judged if p > 0.5} if np.mean([y for q, y in judged if q >= p]) >= precision]
+    assert personal._threshold(spark.createDataFrame(judged, "p double, label double").repartition(5), precision) == min(fits, default=None)
+    low = spark.createDataFrame([(0.5, 1.0), (0.9, 0.0)], "p double, label double")
+    assert personal._threshold(low, precision) is None and personal._threshold(low.where("p < 0.6"), precision) is None
+
+
 def test_harmless_candidates():
     def judged(text, kind):
         return {personal.harmless(text, s) for s in personal.candidates(text) if s[2] == kind}
